@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe
+from engramlake.llm import byte_bpe, chat_format
 
 QUERIES = {
     "op5_byte_bpe": byte_bpe.query,
+    "op9_chat_format": chat_format.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_chat_format": chat_format.ORACLE,
+}
