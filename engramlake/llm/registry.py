@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe, chat_format
+from engramlake.llm import byte_bpe, chat_format, jaccard_join
 
 QUERIES = {
+    "op3_jaccard_join": jaccard_join.query,
     "op5_byte_bpe": byte_bpe.query,
     "op9_chat_format": chat_format.query,
 }
