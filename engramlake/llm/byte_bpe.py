@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ from pyspark.sql import types as T
 from engramlake.llm.shared import table
 
 #: Distinct space-led chunks remembered by a Python worker before it forgets all.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
 #: Texts are handed to Arrow in slices of about this many characters.
 SLICE_CHARS = 4_000_000
+_MARKS = frozenset(".,;:!?")
+_INT = struct.Struct("<i")
 
 
 def byte_characters() -> list[str]:
@@ -94,52 +97,71 @@ class Codec:
         self.chunks: dict[str, list[int]] = {}
         self.odd_space = re.compile(r" [\s\x85\x1c-\x1f]| \Z")
 
-    def _pieces(self, pre_tokens: list[str]) -> dict[str, list[int]]:
-        raw = {t: t.encode("utf-8", "replace") for t in set(pre_tokens)}
-        known = {t: [self.ranks[b]] for t, b in raw.items() if b in self.ranks}
-        rest = [t for t in raw if t not in known]
-        if rest:
-            coded = self.model.encode([raw[t].decode("latin-1").translate(self.map) for t in rest], num_threads=1)
-            known.update(zip(rest, coded))
+    def _pieces(self, pre_tokens: set[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens, as little-endian 32-bit integers."""
+        known, rest, mapped = {}, [], []
+        for t in pre_tokens:
+            raw = t.encode("utf-8", "replace")
+            rank = self.ranks.get(raw)
+            if rank is None:
+                rest.append(t)
+                mapped.append(raw.decode("latin-1").translate(self.map))
+            else:
+                known[t] = _INT.pack(rank)
+        for t, ids in zip(rest, self.model.encode(mapped, num_threads=1) if rest else ()):
+            known[t] = struct.pack(f"<{len(ids)}i", *ids)
         return known
 
+    def _pre_tokens(self, chunk: str) -> list[str]:
+        """The pattern's matches.  A word of Latin letters, with a space before it
+        or one mark behind it, needs no search: letters are one match and the mark
+        another."""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha() and max(body) < "\u0250":
+            return [chunk]
+        if body[-1:] in _MARKS and (word := body[:-1]).isalpha() and max(word) < "\u0250":
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
     def _learn(self, chunks: set[str]) -> None:
         if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
             self.chunks = {}
-        cut = {c: self.pattern.findall(c) for c in chunks}
-        ids = self._pieces([t for ts in cut.values() for t in ts])
+        cut = {c: self._pre_tokens(c) for c in chunks}
+        ids = self._pieces({t for ts in cut.values() for t in ts})
         for c, ts in cut.items():
-            self.chunks[c] = ids[ts[0]] if len(ts) == 1 else [i for t in ts for i in ids[t]]
+            self.chunks[c] = ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])
 
     def _cut(self, text: str) -> list[str]:
         """Chunks whose pre-tokens are those of the text: before each space that a
         visible character follows, no pre-token goes on.  Else the text itself."""
         if self.odd_space.search(text):
             return [text]
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+        if not text.startswith(" "):
+            head, _, text = text.partition(" ")
+            return [head, *[" " + x for x in text.split(" ")]] if text else [head]
+        return [" " + x for x in text[1:].split(" ")]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as 32-bit integers."""
         whole = []
         for t in texts:
             cut = self._cut(t)
             if len(cut) == 1:  # may be long: not remembered
                 ts = self.pattern.findall(t)
-                ids = self._pieces(ts)
-                whole.append([i for x in ts for i in ids[x]])
-                continue
-            new = set(cut).difference(self.chunks)
-            if new:
-                held = len(self.chunks)
-                self._learn(new)
-                if len(self.chunks) < held + len(new):  # forgotten: the whole text anew
-                    self._learn(set(cut).difference(self.chunks))
-            known = self.chunks
-            whole.append([i for c in cut for i in known[c]])
+                known, cut = self._pieces(set(ts)), ts
+            else:
+                new = set(cut).difference(self.chunks)
+                if new:
+                    held = len(self.chunks)
+                    self._learn(new)
+                    if len(self.chunks) < held + len(new):  # forgotten: the whole text anew
+                        self._learn(set(cut).difference(self.chunks))
+                known = self.chunks
+            whole.append(np.frombuffer(b"".join(map(known.__getitem__, cut)), dtype="<i4"))
         return whole
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -178,7 +200,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decode: b
             for part, rows in _slices(batch, "_text"):
                 ids = own.encode([(x or b"").decode("utf-8", "replace") for x in rows])
                 columns = [part.column(part.schema.get_field_index(f"c{k}")) for k in range(len(names))]
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
                 if decode:
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
@@ -194,7 +217,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
         own = codec(path, pattern)
         for batch in batches:
             coded = batch.column(batch.schema.get_field_index(ids))
-            yield batch.append_column("decoded", pa.array([own.decode(x.as_py() or []) for x in coded], pa.binary()))
+            yield batch.append_column("decoded", pa.array([own.decode(np.array(x.as_py() or [], dtype=np.int32)) for x in coded], pa.binary()))
 
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("decoded", T.BinaryType(), False)]))
 
