@@ -123,14 +123,6 @@ class Codec:
             return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
-            self.chunks = {}
-        cut = {c: self._pre_tokens(c) for c in chunks}
-        ids = self._pieces({t for ts in cut.values() for t in ts})
-        for c, ts in cut.items():
-            self.chunks[c] = ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])
-
     def _cut(self, text: str) -> list[str]:
         """Chunks whose pre-tokens are those of the text: before each space that a
         visible character follows, no pre-token goes on.  Else the text itself."""
@@ -142,23 +134,19 @@ class Codec:
         return [" " + x for x in text[1:].split(" ")]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as 32-bit integers."""
-        whole = []
-        for t in texts:
-            cut = self._cut(t)
-            if len(cut) == 1:  # may be long: not remembered
-                ts = self.pattern.findall(t)
-                known, cut = self._pieces(set(ts)), ts
-            else:
-                new = set(cut).difference(self.chunks)
-                if new:
-                    held = len(self.chunks)
-                    self._learn(new)
-                    if len(self.chunks) < held + len(new):  # forgotten: the whole text anew
-                        self._learn(set(cut).difference(self.chunks))
-                known = self.chunks
-            whole.append(np.frombuffer(b"".join(map(known.__getitem__, cut)), dtype="<i4"))
-        return whole
+        """The ids of each text, as 32-bit integers.  The model is called once for
+        all pre-tokens that are not remembered."""
+        cuts = [self._cut(t) for t in texts]
+        cuts = [cut if len(cut) > 1 else self.pattern.findall(t) for cut, t in zip(cuts, texts)]
+        every = set().union(*cuts)
+        if len(self.chunks) + len(every) > CACHE_CHUNKS and len(self.chunks.keys() | every) > CACHE_CHUNKS:
+            self.chunks = {}
+        new = {c: self._pre_tokens(c) for c in every.difference(self.chunks)}
+        ids = self._pieces({t for ts in new.values() for t in ts})
+        known = self.chunks
+        for c, ts in new.items():
+            known[c] = ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])
+        return [np.frombuffer(b"".join(map(known.__getitem__, cut)), dtype="<i4") for cut in cuts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
