@@ -9,15 +9,15 @@ three subsets of two sub-partitions are enumerated: one of them is the same for
 both sets, and its hash is a shared signature (Arasu, Ganti and Kaushik, 2006).
 
 Scale.  Equal sets are one node (a pre-aggregated minimum).  Signatures are two
-longs a row, dealt once by signature and read as a sorted stream with a bounded
-buffer: a bucket of up to ``BUCKET`` sets gives all its pairs, a larger one the
-pairs with its smallest set.  Pairs are verified exactly by set size and
-intersection; only linked ones form edges.  A larger bucket that is not then
-one component is cut anew by signatures of other partitions of the domain
-(similar sets share one there too), restricted to pairs that are not yet
-connected, until no such bucket is left or ``LEVELS`` are used; then pairs of
-different components in a bucket are all verified.  So no link between
-components is lost, and nothing grows with the square of a group of copies.
+longs a row, dealt once by signature and read as a sorted stream that keeps one
+row: each set of a bucket is tied to the bucket's smallest set, so a bucket
+gives a row per member, never its pairs.  Sets that can be similar are thus in
+one cluster of tied sets.  A cluster is compared in cells of bounded size: a
+small one whole, a larger one by size bands and salted blocks, each pair of
+blocks that can hold links in a cell of its own.  In a cell, pairs that links
+already join are skipped, a lower bound of the difference (from counts of the
+sets' hashes in 64 bins) drops most others, and the rest are verified exactly;
+only a spanning forest of links leaves it.  No link between components is lost.
 
 Defined results: null or wordless text is an empty set, linked with nothing,
 its own component; fewer than k words are one shingle; equal rows are copies;
@@ -39,7 +39,6 @@ from engramlake.llm import wordhash as W
 from engramlake.llm.shared import components, materialize, table
 
 U = np.uint64
-BUCKET, LEVELS = 12, 5
 #: Ratio of a band's ends.
 BAND = 1.4
 
@@ -55,7 +54,7 @@ def bands(low: int, high: int) -> list[int]:
 _BANDS = np.array(bands(1, 1 << 40))
 
 
-def signatures(u: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
+def signatures(u: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a sorted set of 64-bit hashes, for its own band and, where
     the next band holds sizes it can be similar to, for that one.
 
@@ -65,8 +64,6 @@ def signatures(u: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=U)
     with np.errstate(over="ignore"):
-        if level:
-            u = np.sort(W.mix(u ^ W.mix(np.array([level], dtype=U))[0]))
         total = np.concatenate([np.zeros(1, dtype=U), np.cumsum(W.mix(u + U(0x632BE59BD9B4E019)))])
         own = int(np.searchsorted(_BANDS, n, side="right")) - 1
         out = []
@@ -82,12 +79,12 @@ def signatures(u: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
             sums = total[np.concatenate([[0], np.searchsorted(u, ends), [n]])]
             each = (sums[1:] - sums[:-1]).reshape(parts, subs)
             left = each.sum(axis=1, keepdims=True) - each if subs > 1 else each
-            tag = np.arange(parts * subs, dtype=U).reshape(parts, subs) + U(band) * U(1 << 40) + U(level) * U(1 << 56)
+            tag = np.arange(parts * subs, dtype=U).reshape(parts, subs) + U(band) * U(1 << 40)
             out.append(W.mix(left ^ W.mix(tag)).ravel())
         return np.concatenate(out)
 
 
-def _sets(df: DataFrame, text: str, size: int, percent: int, level: int, full: bool) -> DataFrame:
+def _sets(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """doc_id, n, f1, f2 (fingerprint) and signatures of every text."""
     out = T.StructType.fromDDL("doc_id long, n long, f1 long, f2 long, sigs array<long>")
 
@@ -103,7 +100,7 @@ def _sets(df: DataFrame, text: str, size: int, percent: int, level: int, full: b
                     with np.errstate(over="ignore"):
                         f1.append(u.sum(dtype=U))
                         f2.append(W.mix(u ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=U))
-                    sigs.append(signatures(u, percent, level))
+                    sigs.append(signatures(u, percent))
                     ends.append(ends[-1] + len(sigs[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(np.array(f1, dtype=U).view(np.int64)), pa.array(np.array(f2, dtype=U).view(np.int64)),
@@ -114,97 +111,112 @@ def _sets(df: DataFrame, text: str, size: int, percent: int, level: int, full: b
     return df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")).mapInArrow(run, out)
 
 
-def _buckets(rows: DataFrame, key: list[str], parts: int) -> DataFrame:
-    """Candidate pairs (a, b, sig) of rows (sig, doc, comp) that share ``key``.
-
-    Rows are dealt and sorted by key once and read as a stream.  ``sig`` is null
-    for pairs of small buckets; for larger ones it names the bucket.  Pairs of
-    one component are left out.
-    """
-    out = T.StructType.fromDDL("a long, b long, sig long")
+def _ties(rows: DataFrame, parts: int) -> DataFrame:
+    """(a, b) for every doc b of a bucket and the bucket's smallest doc a, of rows (sig, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sig, over = [], None, False
-        a: list = []
-        b: list = []
-        s: list = []
-
-        def put(x, y, name):
-            a.append(x)
-            b.append(y)
-            s.append(name)
-
-        def close():
-            if not over:
-                for i, (x, cx) in enumerate(held):
-                    for y, cy in held[:i]:
-                        if cx != cy and x != y:
-                            put(y, x, None)
-
+        sig, first = None, None
         for batch in batches:
-            sigs, docs, comps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(sigs):
+            if not len(batch):
                 continue
-            # rows alone in their bucket, seen within the batch, need no Python
-            same = sigs[1:] == sigs[:-1]
-            near = np.zeros(len(sigs), dtype=bool)
-            near[1:] |= same
-            near[:-1] |= same
-            near[0] = near[-1] = True
-            for g, d, c in zip(sigs[near].tolist(), docs[near].tolist(), comps[near].tolist()):
-                if g != sig:
-                    close()
-                    held, sig, over = [(d, c)], g, False
-                elif not over and len(held) < BUCKET:
-                    held.append((d, c))
-                else:
-                    if not over:
-                        over = True
-                        put(held[0][0], held[0][0], sig)
-                        for x, cx in held[1:]:
-                            put(held[0][0], x, sig)
-                    put(held[0][0], d, sig)
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, s)], names=out.names)
-                a, b, s = [], [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, s)], names=out.names)
-
-    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "doc").select("sig", "doc", "comp").mapInArrow(run, out)
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) with 100 * intersection >= percent * union.
-
-    Each text is dealt once by doc_id (the exchange is reused) and the pair with
-    b's text once by a; a popular a is not copied through the shuffle, and AQE
-    splits its share.
-    """
-    own = docs.select(F.col("doc_id").alias("d"), F.col(text).cast("binary").alias("t"))
-    two = pairs.select("a", "b").join(own.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
-    two = two.join(own.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
+            sigs, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            new = np.ones(len(sigs), dtype=bool)
+            new[1:] = sigs[1:] != sigs[:-1]
+            new[0] = sig is None or sigs[0] != sig
+            heads = np.where(new, np.arange(len(sigs)), -1)
+            heads = np.maximum.accumulate(heads)
+            lead = np.where(heads >= 0, docs[heads], first if first is not None else 0)
+            sig, first = sigs[-1], lead[-1]
+            tied = lead != docs
+            yield pa.RecordBatch.from_arrays([pa.array(lead[tied]), pa.array(docs[tied])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in batches:
-            good = np.zeros(len(batch), dtype=bool)
-            firsts = batch.column(0).to_pylist()
-            # a's rows come together after the join: its set is made once
-            texts = batch.column(3)
-            sets = []
-            for _, data, at in W.runs(batch.column(2)):
-                h, _, _, rows = W.words(data, at)
-                sets += [W.shingles(h, x, y, size) for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())]
-            for k, a in enumerate(firsts):
-                if a != last:
-                    _, data, at = next(W.runs(texts.slice(k, 1)))
-                    h, _, _, rows = W.words(data, at)
-                    last, kept = a, W.shingles(h, 0, len(h), size)
-                both = len(np.intersect1d(kept, sets[k], assume_unique=True))
-                good[k] = both and 100 * both >= percent * (len(kept) + len(sets[k]) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
+    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "doc").select("sig", "doc").mapInArrow(run, "a long, b long")
+
+
+#: Sets and shingles that a block of a cell holds at most, by its expected share.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 
-    return two.select("a", "b", "tb", "ta").mapInArrow(run, "a long, b long")
+
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """(doc, cell, side) of members (doc, n, cluster): the cells each is compared in.
+
+    Bands of sizes have the ratio 100 / percent, so links stay within a band or
+    join neighbours.  Side 0 meets its own cell mates; in a cell of two blocks
+    side 0 meets side 1 only.
+    """
+    whole = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    small = (F.col("c") <= BLOCK_SETS) & (F.col("w") <= BLOCK_SHINGLES)
+    one = members.join(whole.where(small).select("cluster"), "cluster").select("doc", F.xxhash64("cluster").alias("cell"), F.lit(0).alias("side"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    rest = members.join(whole.where(~small).select("cluster"), "cluster").withColumn("band", band)
+    blocks = rest.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    near = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    under = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    known = blocks.join(near, ["cluster", "band"], "left").join(under, ["cluster", "band"], "left")
+    rest = rest.join(known, ["cluster", "band"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    name = lambda i, p, j, q: F.xxhash64("cluster", i, p, j, q)
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(0)) - 1)
+    some = lambda n, x: F.when(F.coalesce(n, F.lit(0)) > 0, x).otherwise(F.array().cast("array<struct<cell:bigint,side:int>>"))
+    pair = lambda cell, side: F.struct(cell.alias("cell"), side.cast("int").alias("side"))
+    b, own = F.col("band"), F.col("own")
+    within = F.transform(to(F.col("blocks")), lambda q: pair(name(b, F.least(own, q), b, F.greatest(own, q)), F.when(own > q, F.lit(1)).otherwise(F.lit(0))))
+    upward = some(F.col("above"), F.transform(to(F.col("above")), lambda q: pair(name(b, own, b + 1, q), F.lit(0))))
+    downward = some(F.col("below"), F.transform(to(F.col("below")), lambda q: pair(name(b - 1, q, b, own), F.lit(1))))
+    many = rest.select("doc", F.explode(F.concat(within, upward, downward)).alias("x")).select("doc", "x.cell", "x.side")
+    return one.unionByName(many)
+
+
+def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple]:
+    """A spanning forest of the links between sets of a cell, as pairs of ids."""
+    count = len(sets)
+    sizes = np.array([len(u) for u in sets], dtype=np.int64)
+    bins = np.zeros((count, 64), dtype=np.int32)
+    for k, u in enumerate(sets):
+        bins[k] = np.bincount((u >> U(58)).astype(np.int64), minlength=64)
+    comp = np.arange(count)
+    two = sides.any()
+    found = []
+    for i in range(count - 1):
+        with_i = comp[i + 1 :] != comp[i]
+        if two:
+            with_i &= sides[i + 1 :] != sides[i]
+        at = np.flatnonzero(with_i) + i + 1
+        if not len(at):
+            continue
+        # |difference| <= (100 - percent) / (100 + percent) * (sum of sizes) for links
+        apart = np.abs(bins[at] - bins[i]).sum(axis=1)
+        at = at[(100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[i])]
+        for j in at.tolist():
+            if comp[i] == comp[j]:
+                continue
+            u, v = sets[i], sets[j]
+            at_v = np.searchsorted(v, u)
+            at_v[at_v == len(v)] = 0
+            both = int((v[at_v] == u).sum())
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                found.append((ids[i], ids[j]))
+                comp[comp == comp[j]] = comp[i]
+    return found
+
+
+def _links(docs: DataFrame, cells: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """Links (a, b) found in the cells, enough to connect all that links connect."""
+    own = docs.select(F.col("doc_id").alias("doc"), F.col(text).cast("binary").alias("t"))
+    rows = cells.join(own, "doc").select("cell", "doc", "side", "t")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, sides = group.column("doc").to_pylist(), group.column("side").to_numpy()
+        sets, order = [], []
+        for chunk in group.column("t").chunks:
+            for _, data, at in W.runs(chunk):
+                h, _, _, ends = W.words(data, at)
+                sets += [W.shingles(h, x, y, size) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
+        found = _compare([ids[k] for k in order], [sets[k] for k in order], sides[order], percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -212,37 +224,19 @@ def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select("doc_id", text)
-    sets = materialize(_sets(docs, text, size, percent, 0, True), "sets")
+    sets = materialize(_sets(docs, text, size, percent), "sets")
     copies = materialize(
         sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "copies"
     )
     single = sets.where("n > 0").join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = single.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp"))
-    edges, labels = None, None
-    for level in range(1, LEVELS + 1):
-        found = materialize(_buckets(rows, ["sig"], parts), "pairs")
-        pairs = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if labels is not None:
-            pairs = _cross(pairs, labels)
-        good = materialize(_verify(pairs, docs, text, size, percent), "links")
-        edges = good if edges is None else edges.unionByName(good)
-        labels = components(edges)
-        large = found.where("sig is not null").select("sig", F.col("b").alias("doc")).distinct()
-        large = _labelled(large, labels)
-        mixed = large.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        large = materialize(large.join(mixed, "sig"), "large")
-        if large.isEmpty():
-            break
-        if level == LEVELS:  # what is left is compared in full, across components only
-            other = large.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-            pairs = large.join(other, "sig").where("doc < b and comp <> cb").select(F.col("doc").alias("a"), "b").distinct()
-            edges = edges.unionByName(materialize(_verify(pairs, docs, text, size, percent), "links"))
-            labels = components(edges)
-            break
-        again = docs.join(large.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        anew = _sets(again, text, size, percent, level, False).select(F.col("doc_id").alias("doc"), "sigs").dropDuplicates(["doc"])
-        rows = large.join(anew, "doc").select("sig", "doc", "comp", F.explode("sigs").alias("s"))
-        rows = rows.select(F.xxhash64("sig", "s").alias("sig"), "doc", "comp")
+    ties = _ties(single.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), parts)
+    clusters = components(materialize(ties.distinct(), "ties"))
+    members = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    members = materialize(members.join(copies.select(F.col("rep").alias("doc"), "n"), "doc").dropDuplicates(["doc"]), "members")
+    cells = _cells(members, percent)
+    # rows that repeat a doc_id repeat its text
+    found = materialize(_links(docs, cells, text, size, percent), "links")
+    labels = components(found)
     known = copies.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left")
@@ -253,18 +247,5 @@ def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     )
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    named = rows.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    return named.select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-
-
-def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that no chain of links connects yet."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), size=3, percent=90)

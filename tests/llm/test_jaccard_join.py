@@ -42,13 +42,12 @@ def test_similar_sets_share_a_signature(percent):
         u, v = np.unique(u), np.unique(v)
         both = len(np.intersect1d(u, v))
         if 100 * both >= percent * (len(u) + len(v) - both):
-            for level in (0, 1):
-                assert np.intersect1d(J.signatures(u, percent, level), J.signatures(v, percent, level)).size
+            assert np.intersect1d(J.signatures(u, percent), J.signatures(v, percent)).size
 
 
-@pytest.mark.parametrize(("size", "percent", "bucket"), [(3, 90, 12), (5, 80, 3)])
-def test_against_brute_force(spark, monkeypatch, size, percent, bucket):
-    monkeypatch.setattr(J, "BUCKET", bucket)
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 256), (5, 80, 3)])
+def test_against_brute_force(spark, monkeypatch, size, percent, block):
+    monkeypatch.setattr(J, "BLOCK_SETS", block)
     rng = random.Random(size)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
     rows = [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "one"), (906, "É x"), (907, "é x")]
