@@ -67,3 +67,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each class and at most twice as many, chosen by a
+    hash of the key: the same rows at any partitioning.
+
+    The class counts are one aggregate; the filter is narrow.  The number of
+    classes must be small, as it is for labels.
+    """
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == value, F.lit(min(1.0, per_class / n))).otherwise(share)
+    return df.where(place < share)
