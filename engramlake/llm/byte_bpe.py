@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramlake.llm.shared import table
+from engramlake.llm.shared import arrow_map, table
 
 #: Distinct space-led chunks remembered by a Python worker before it forgets all.
 CACHE_CHUNKS = 500_000
@@ -195,7 +195,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decode: b
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
 
     plain = df.select(F.col(f"`{text}`").cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-    return plain.mapInArrow(run, out)
+    return arrow_map(plain, run, out)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -207,7 +207,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
             coded = batch.column(batch.schema.get_field_index(ids))
             yield batch.append_column("decoded", pa.array([own.decode(np.array(x.as_py() or [], dtype=np.int32)) for x in coded], pa.binary()))
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("decoded", T.BinaryType(), False)]))
+    return arrow_map(df, run, T.StructType([*df.schema, T.StructField("decoded", T.BinaryType(), False)]))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramlake.llm import wordhash as W
-from engramlake.llm.shared import components, materialize, table
+from engramlake.llm.shared import arrow_map, components, materialize, table
 
 U = np.uint64
 #: Ratio of a band's ends.
@@ -108,7 +108,7 @@ def _sets(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                     names=out.names,
                 )
 
-    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")).mapInArrow(run, out)
+    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")), run, out)
 
 
 def _ties(rows: DataFrame, parts: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _ties(rows: DataFrame, parts: int) -> DataFrame:
             tied = lead != docs
             yield pa.RecordBatch.from_arrays([pa.array(lead[tied]), pa.array(docs[tied])], names=["a", "b"])
 
-    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "doc").select("sig", "doc").mapInArrow(run, "a long, b long")
+    return arrow_map(rows.repartition(parts, "sig").sortWithinPartitions("sig", "doc").select("sig", "doc"), run, "a long, b long")
 
 
 #: Sets and shingles that a block of a cell holds at most, by its expected share.

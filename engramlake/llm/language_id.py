@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm import wordhash as W
-from engramlake.llm.shared import bounded_sample, table
+from engramlake.llm.shared import arrow_map, bounded_sample, table
 
 FEATURES = 1 << 13
 PER_LANGUAGE = 400
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
             packed = [x.tobytes() for p in packed for x in p]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["key", "lang", "bits"])
 
-    found = rows.select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).cast("binary")).mapInArrow(run, "key string, lang string, bits binary").toArrow()
+    found = arrow_map(rows.select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).cast("binary")), run, "key string, lang string, bits binary").toArrow()
     if not len(found):
         return None
     order = sorted(zip(found["key"].to_pylist(), found["lang"].to_pylist(), found["bits"].to_pylist()))
@@ -136,7 +136,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
     letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
     kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
-    return df.select(F.col(f"`{text}`").cast("binary").alias("t"), letter.alias("letter"), *kept).mapInArrow(run, schema)
+    return arrow_map(df.select(F.col(f"`{text}`").cast("binary").alias("t"), letter.alias("letter"), *kept), run, schema)
 
 
 def held_out(key: str, folds: int, fold: int):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe, chat_format, jaccard_join, language_id
+from engramlake.llm import byte_bpe, chat_format, jaccard_join, language_id, toxicity
 
 QUERIES = {
     "op3_jaccard_join": jaccard_join.query,
     "op5_byte_bpe": byte_bpe.query,
+    "op6_toxicity": toxicity.query,
     "op9_chat_format": chat_format.query,
     "op10_language_id": language_id.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_toxicity": toxicity.query,
     "op9_chat_format": chat_format.ORACLE,
 }

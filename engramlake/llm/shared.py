@@ -38,6 +38,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in small batches, with an allocator that gives memory back.
+
+    Texts may be long: a batch of the default size can hold hundreds of MB.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+    def lean(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+
+    return df.mapInArrow(lean, schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """Connected components of an edge table: (node, component), smallest id first.
 
