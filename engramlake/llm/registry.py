@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe, chat_format, jaccard_join, language_id, secrets_scan, toxicity
+from engramlake.llm import byte_bpe, chat_format, jaccard_join, language_id, secrets_scan, toxicity, vector_dedup
 
 QUERIES = {
     "op3_jaccard_join": jaccard_join.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_toxicity": toxicity.query,
+    "op7_vector_dedup": vector_dedup.query,
     "op8_secrets_scan": secrets_scan.query,
     "op9_chat_format": chat_format.query,
     "op10_language_id": language_id.query,
