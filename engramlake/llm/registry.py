@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe, chat_format, jaccard_join, language_id, license_scan, line_dedup, secrets_scan, toxicity, vector_dedup
+from engramlake.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, secrets_scan, toxicity, vector_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_license_scan": license_scan.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_toxicity": toxicity.query,
     "op7_vector_dedup": vector_dedup.query,

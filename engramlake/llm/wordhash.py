@@ -21,6 +21,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Breaks between runs of letters and digits (bytes beyond ASCII count as letters).
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Bytes of text worked on at once, unless one text is longer.
 CHUNK = 1_000_000
 
@@ -50,12 +53,12 @@ def runs(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray
         k = stop
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, offsets of rows into the words)."""
+def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, offsets of rows into the words); ``breaks``: bytes between words."""
     if not len(data):
         z = np.zeros(0, dtype=np.int64)
         return np.zeros(0, dtype=U), z, z, np.zeros(len(at), dtype=np.int64)
-    space = _SPACE[data]
+    space = breaks[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[at] = True
     inside = ~space
