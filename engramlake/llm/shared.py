@@ -86,9 +86,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     )
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class and at most twice as many, chosen by a
-    hash of the key: the same rows at any partitioning.
+def bounded_sample(df: DataFrame, label: str, key: str, per_class: int | dict) -> DataFrame:
+    """About ``per_class`` rows of each class (or as a dict says, by class), chosen by
+    a hash of the key: the same rows at any partitioning.
 
     The class counts are one aggregate; the filter is narrow.  The number of
     classes must be small, as it is for labels.
@@ -97,5 +97,5 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataF
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(label) == value, F.lit(min(1.0, per_class / n))).otherwise(share)
+        share = F.when(F.col(label) == value, F.lit(min(1.0, (per_class if isinstance(per_class, int) else per_class[value]) / n))).otherwise(share)
     return df.where(place < share)

@@ -17,8 +17,8 @@ calibrates scores, clean texts as a class weighing CLEAN times the toxic ones.
 In scoring, landmarks and coefficients fold into one weight per subsequence
 feature, which is the same number; words are never Python objects.
 
-Learning uses a sample of about ``PER_CLASS`` labelled texts a class outside the
-held-out fold (at most twice as many); everything else covers all rows and
+Learning uses a sample of about ``SAMPLE`` labelled texts outside the held-out
+fold; everything else covers all rows and
 whole texts.  Defined results: null, empty or wordless texts get the score of
 no evidence; rows without doc_id are not held out; repeated rows get equal
 scores; without both labels to learn from, every score is 0.
@@ -39,8 +39,9 @@ from engramlake.llm import wordhash as W
 from engramlake.llm.language_id import held_out
 from engramlake.llm.shared import arrow_map, bounded_sample, table
 
-PER_CLASS = 2500
-LANDMARKS = 800
+#: Labelled texts to learn from, about, by label.
+SAMPLE = {0: 6000, 1: 1500}
+LANDMARKS = 600
 #: Weight of the clean class against the toxic one in the calibration.
 CLEAN = 6.0
 #: Log-likelihood ratio that an n-gram's words need to start as positive.
@@ -150,7 +151,7 @@ def nystrom(words: list[bytes], known: np.ndarray, fold: np.ndarray) -> np.ndarr
         word, at, value = word[hit][order], at[hit][order], value[hit][order]
         if len(word):
             head = np.flatnonzero(np.diff(word, prepend=-1))
-            out[k + word[head]] = np.add.reduceat(fold[at] * value[:, None], head)
+            out[k + word[head]] = np.add.reduceat(fold[at] * value[:, None].astype(np.float32), head)
     return out
 
 
@@ -233,26 +234,32 @@ class Model:
     def __init__(self, texts: list[bytes], toxic: list[int], seed: int = 6):
         rng = np.random.default_rng(seed)
         y = np.array(toxic)
-        bags = [sorted(set(_words(t)) - {b""}) for t in texts]
-        of_class = [[bags[k] for k in np.flatnonzero(y == v)] for v in (1, 0)]
-        hot, cool = ([of[k] for k in _apart(of)] for of in of_class)
+        hot = [sorted(set(_words(texts[k])) - {b""}) for k in np.flatnonzero(y == 1)]
+        hot = [hot[k] for k in _apart(hot)]
+        other: dict[bytes, int] = {}  # words of clean texts, and in how many
+        for k in np.flatnonzero(y == 0):
+            for w in set(_words(texts[k])) - {b""}:
+                other[w] = other.get(w, 0) + 1
+        calm = int((y == 0).sum())
         # n-grams of words: in how many toxic and clean texts
+        rate = len(hot) / max(1, len(hot) + calm)
+        enough = EVIDENCE / max(1e-9, -np.log(max(rate, 1e-9)))  # fewer texts than that are no evidence
+        # a table of hashes first, so that only n-grams that may have enough are kept by name
+        table_ = np.zeros(1 << 22, dtype=np.int32)
+        for bag in hot:
+            h = np.fromiter({zlib.crc32(g) & (1 << 22) - 1 for w in bag for g in _grams(w)}, dtype=np.int64)
+            table_[h] += 1
         seen: dict[bytes, int] = {}
         for bag in hot:
-            for g in {g for w in bag for g in _grams(w)}:
+            for g in {g for w in bag for g in _grams(w) if table_[zlib.crc32(g) & (1 << 22) - 1] >= enough}:
                 seen[g] = seen.get(g, 0) + 1
-        seen = {g: n for g, n in seen.items() if n >= 3}
+        seen = {g: n for g, n in seen.items() if n >= enough}
         clean: dict[bytes, int] = {}
-        other: dict[bytes, int] = {}
-        for bag in cool:
-            for w in bag:
-                other[w] = other.get(w, 0) + 1
         for w, n in other.items():
             for g in set(_grams(w)):
                 if g in seen:
                     clean[g] = clean.get(g, 0) + n
         # n-grams whose texts are toxic far beyond chance (log-likelihood ratio) and nearly always
-        rate = len(hot) / max(1, len(hot) + len(cool))
         chosen = set()
         for g, n in seen.items():
             c = clean.get(g, 0)
@@ -282,11 +289,11 @@ class Model:
                 marks = positive[: LANDMARKS // 4] + some(positive[LANDMARKS // 4 :], LANDMARKS // 4) + some(hard, LANDMARKS // 4) + some(negative, LANDMARKS // 4)
                 word, ids, value = sparse([w[:WORD] for w in marks])
                 known, at = np.unique(ids, return_inverse=True)
-                z = np.zeros((len(known), len(marks)))
-                np.add.at(z, (at, word), value)
-                values, vectors = np.linalg.eigh(z.T @ z)
-                good = values > 1e-6 * values.max()
-                fold = z @ (vectors[:, good] / np.sqrt(values[good]))
+                z = np.zeros((len(known), len(marks)), dtype=np.float32)
+                np.add.at(z, (at, word), value.astype(np.float32))
+                values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
+                good = values > 1e-5 * values.max()
+                fold = z @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
                 yes = positive + [_gapped(w, rng) for _ in range(min(20, max(1, 600 // len(positive)))) for w in positive[:600]]
                 no = negative + hard + [_gapped(w, rng) for w in negative[:600]]
                 x = nystrom([w[:WORD] for w in yes + no], known, fold)
@@ -320,7 +327,8 @@ class Model:
     def of_words(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        return word_scores(*_joined([w[:WORD] for w in words]), self.weights) + self.bias
+        part = 20_000
+        return np.concatenate([word_scores(*_joined([w[:WORD] for w in words[k : k + part]]), self.weights) for k in range(0, len(words), part)]) + self.bias
 
     def strongest(self, column: pa.Array) -> np.ndarray:
         """The strongest word's decision value of each text; the bias if it has none."""
@@ -340,7 +348,7 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Model | None:
     """A model of rows with a text and a 0/1 label, or None without both labels."""
-    rows = bounded_sample(labelled.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()), toxic, key, PER_CLASS)
+    rows = bounded_sample(labelled.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()), toxic, key, SAMPLE)
     found = rows.select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).toArrow()
     found = sorted(zip(found["k"].to_pylist(), found["y"].to_pylist(), found["t"].to_pylist()))
     labels = [y for _, y, _ in found]
@@ -369,8 +377,8 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
 def fit_tables(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model | None:
     """Chooses the sample among labels first, so that only its texts are read on."""
     known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out("doc_id", 5, 0))
-    chosen = bounded_sample(known.dropDuplicates(["doc_id"]), "toxic", "doc_id", PER_CLASS)
-    # at most 4 * PER_CLASS pairs of numbers by bounded_sample: small enough for every executor
+    chosen = bounded_sample(known.dropDuplicates(["doc_id"]), "toxic", "doc_id", SAMPLE)
+    # about the numbers in SAMPLE, each a pair of numbers: small enough for every executor
     return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
 
