@@ -141,8 +141,8 @@ def sparse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def nystrom(words: list[bytes], known: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """Normalised features of words times ``fold``, whose rows are the features ``known``."""
-    out = np.zeros((len(words), fold.shape[1]))
+    """Normalised features of words times ``fold``, whose rows are the features ``known``; then a column of ones."""
+    out = np.zeros((len(words), fold.shape[1] + 1))
     for k in range(0, len(words), 2000):
         word, ids, value = sparse(words[k : k + 2000])
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
@@ -151,7 +151,8 @@ def nystrom(words: list[bytes], known: np.ndarray, fold: np.ndarray) -> np.ndarr
         word, at, value = word[hit][order], at[hit][order], value[hit][order]
         if len(word):
             head = np.flatnonzero(np.diff(word, prepend=-1))
-            out[k + word[head]] = np.add.reduceat(fold[at] * value[:, None].astype(np.float32), head)
+            out[k + word[head], :-1] = np.add.reduceat(fold[at] * value[:, None].astype(np.float32), head)
+    out[:, -1] = 1
     return out
 
 
@@ -197,8 +198,7 @@ def _gapped(word: bytes, rng: np.random.Generator) -> bytes:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps; the last coefficient is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Squared-hinge linear SVM by Newton steps; the last column is of ones, for the bias."""
     ridge = np.eye(x.shape[1]) / COST
     ridge[-1, -1] = 1e-6
     beta = np.zeros(x.shape[1])

@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from engramlake.llm.shared import arrow_map, components, materialize, table
 
 #: Dimensions of a block, rows of a cell aimed at, pivots at most, rows of a piece.
-BLOCK, CELL, MOST_PIVOTS, PIECE = 8, 600, 512, 1500
+BLOCK, CELL, MOST_PIVOTS, PIECE = 16, 8000, 4096, 4000
 #: Slack for rounding: budgets are widened by it; the cosine itself is not.
-SLACK = 1e-9
+SLACK, COARSE = 1e-9, 1e-5
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -100,23 +100,27 @@ class Blocks:
         """Index pairs of linked unit vectors whose first block within budget is ``block``."""
         a, b = self.cuts[block]
         own_l, own_r = left @ self.turn, right @ self.turn
+        near_l, near_r = own_l[:, a:b].astype(np.float32), own_r[:, a:b].astype(np.float32)
+        half = ((near_r * near_r).sum(axis=1) - np.float32(self.budget[block] + COARSE)) / 2
         for start in range(0, len(left), 256):
-            near = self.squares(own_l[start : start + 256, a:b], own_r[:, a:b]) <= self.budget[block] + SLACK
-            i, j = np.nonzero(near)
+            part = near_l[start : start + 256]
+            # |l - r|^2 <= budget, in single precision with slack: what passes is verified below
+            i, j = np.nonzero(part @ near_r.T >= half + (part * part).sum(axis=1)[:, None] / 2)
             i += start
             if triangle:
                 i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), 200_000):
-                x, y = i[k : k + 200_000], j[k : k + 200_000]
+            for k in range(0, len(i), 100_000):
+                x, y = i[k : k + 100_000], j[k : k + 100_000]
                 # sums of the same products in the same order wherever a pair is met
                 good = (left[x] * right[y]).sum(axis=1) >= self.cosine
                 x, y = x[good], y[good]
-                if block and len(x):
+                if len(x):
                     apart = (own_l[x] - own_r[y]) ** 2
-                    earlier = np.zeros(len(x), dtype=bool)
-                    for e, (c, d) in enumerate(self.cuts[:block]):
-                        earlier |= apart[:, c:d].sum(axis=1) <= self.budget[e]
-                    x, y = x[~earlier], y[~earlier]
+                    first = np.zeros(len(x), dtype=bool)
+                    for e, (c, d) in reversed(list(enumerate(self.cuts[: block + 1]))):
+                        within = apart[:, c:d].sum(axis=1) <= self.budget[e]
+                        first = within if e == block else first & ~within
+                    x, y = x[first], y[first]
                 yield x, y
 
 
