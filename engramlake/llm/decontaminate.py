@@ -39,7 +39,7 @@ from engramlake.llm import wordhash as W
 from engramlake.llm.shared import arrow_map, table
 
 STEP, SPAN, PASSAGE = 16, 3, 48
-NEAR, COPIED, PARAPHRASED, DENSE = 0.42, 0.7, 0.5, 1.3
+NEAR, COPIED, PARAPHRASED, DENSE = 0.55, 0.7, 0.5, 1.3
 ITEMS, RANK = 2000, 512
 #: Share of items from which on a benchmark word is common.
 COMMON = 0.02
@@ -262,6 +262,9 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
         n = len(items.words[i])
         lo = int(rows[r] + (begin[b] - first[r]) * STEP)
         lo, hi = max(int(rows[r]), lo - n), min(int(rows[r + 1]), lo + STEP * SPAN + n)
+        # no subsequence is longer than the item's words that are there at all
+        if np.isin(items.hashes[i], h[lo:hi]).sum() < PARAPHRASED * n:
+            continue
         words = [data[x:y].tobytes().lower() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
         share = leaks(items.words[i], items.answers[i], words)
         if share and (not held or share > held[0]):
