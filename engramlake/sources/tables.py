@@ -1,0 +1,78 @@
+"""Input tables and the memory model built on them.
+
+Every function returns a lazy DataFrame with pruned columns; filters and
+projections of callers reach the parquet scan.  Timestamps in the inputs have
+no zone; they are read as UTC.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FACT_TYPES = ("semantic", "episodic", "opinion", "temporal")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atomic facts: one per document, with deterministic metadata."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        d.alias("fact_id"),
+        F.col("text").alias("content"),
+        F.col("lang").alias("profile_id"),
+        F.col("source").alias("session_id"),
+        F.element_at(F.array(*[F.lit(t) for t in FACT_TYPES]), (d % 4 + 1).cast("int")).alias("fact_type"),
+        F.when(d % 10 == 0, "global").when(d % 10 == 1, "shared").otherwise("personal").alias("scope"),
+        (F.lit(0.3) + (d % 70) / F.lit(100.0)).alias("importance"),
+        (F.lit(0.5) + (d % 50) / F.lit(100.0)).alias("confidence"),
+        (d % 20).alias("access_count"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (d % 365).cast("int")).alias("created_on"),
+    )
+
+
+#: The same facts in SQL, for queries that check results.
+FACTS_SQL = """facts AS (
+  SELECT doc_id AS fact_id, text AS content, lang AS profile_id, source AS session_id,
+    CASE doc_id % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'episodic' WHEN 2 THEN 'opinion' ELSE 'temporal' END AS fact_type,
+    CASE doc_id % 10 WHEN 0 THEN 'global' WHEN 1 THEN 'shared' ELSE 'personal' END AS scope,
+    0.3::DOUBLE + (doc_id % 70) / 100.0::DOUBLE AS importance, 0.5::DOUBLE + (doc_id % 50) / 100.0::DOUBLE AS confidence,
+    doc_id % 20 AS access_count, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS created_on
+  FROM documents)"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact vectors in double precision with their community."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("fact_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("community"), (F.col("vec_id") % 20).alias("access_count")
+    )
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool events with UTC timestamps."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bi-temporal validity: an order opens it, the last shipment closes it."""
+    closed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fact_id")).agg(F.max("l_shipdate").alias("valid_until"))
+    opened = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("valid_from"))
+    return opened.join(closed, "fact_id", "left")
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed directed edges between the parts of an order's successive lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    pairs = li.join(nxt, ["l_orderkey", "l_linenumber"]).where(F.col("l_partkey") != F.col("dst"))
+    return pairs.groupBy(F.col("l_partkey").alias("src"), "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+PART_EDGES_SQL = """edges AS (
+  SELECT a.l_partkey AS src, b.l_partkey AS dst, CAST(count(*) AS DOUBLE) AS weight
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
