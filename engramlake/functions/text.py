@@ -6,9 +6,12 @@ check them elsewhere.  Null texts give null, unless said otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engramlake.functions.vectors import let
+
 #: Words that carry no topic.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 WORD = r"[\p{L}\p{N}]+"
@@ -95,10 +98,11 @@ def redact_secrets(text: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for the empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    each = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(-F.aggregate(each, F.lit(0.0), lambda s, p: s + p * F.log2(p)))
+    def bits(chars: Column) -> Column:
+        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+        return -F.aggregate(F.transform(F.array_sort(F.array_distinct(chars)), share), F.lit(0.0), lambda s, p: s + p * F.log2(p))
+
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(let(F.filter(F.split(text, ""), lambda c: c != ""), bits))
 
 
 def topic_signature(text: Column) -> Column:
@@ -153,7 +157,6 @@ def jaro_winkler(left: str, right: str, weight: float = 0.1) -> float:
 
 def jaro_winkler_udf():
     """The similarity as an Arrow-batched UDF; null if either side is."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:

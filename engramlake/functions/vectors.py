@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -25,15 +30,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def fisher_mean(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n < 1e-12, a).otherwise(F.transform(a, lambda x: x / n))
+    return let(norm(a), lambda n: F.when(n < 1e-12, a).otherwise(F.transform(a, lambda x: x / n)))
 
 
 def fisher_variance(a: Column, low: float = 0.05, high: float = 2.0) -> Column:
     """High where a component says little: 2 - 1.95 |m| / max |m|, clipped."""
-    m = F.transform(fisher_mean(a), F.abs)
-    top = F.array_max(m)
-    return F.transform(m, lambda x: F.when(top < 1e-12, F.lit(high)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), high - (high - low) * x / top))))
+    spread = lambda x, top: F.when(top < 1e-12, F.lit(high)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), high - (high - low) * x / top)))
+    return let(F.transform(fisher_mean(a), F.abs), lambda m: let(F.array_max(m), lambda top: F.transform(m, lambda x: spread(x, top))))
 
 
 def fisher_similarity(query: Column, mean: Column, variance: Column, temperature: float = 15.0) -> Column:
