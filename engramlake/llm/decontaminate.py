@@ -39,7 +39,7 @@ from engramlake.llm import wordhash as W
 from engramlake.llm.shared import arrow_map, table
 
 STEP, SPAN, PASSAGE = 16, 3, 48
-NEAR, COPIED, PARAPHRASED, DENSE = 0.55, 0.7, 0.5, 1.3
+NEAR, COPIED, PARAPHRASED, DENSE = 0.6, 0.7, 0.5, 1.3
 ITEMS, RANK = 2000, 512
 #: Share of items from which on a benchmark word is common.
 COMMON = 0.02
@@ -64,6 +64,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [plain_words(t) for _, t in rows]
         self.hashes = [_hashes(w) for w in self.words]
+        self.counts = [dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)))) for h in self.hashes]
         seen: dict[int, int] = {}
         for h in self.hashes:
             for x in set(h.tolist()):
@@ -263,7 +264,8 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
         lo = int(rows[r] + (begin[b] - first[r]) * STEP)
         lo, hi = max(int(rows[r]), lo - n), min(int(rows[r + 1]), lo + STEP * SPAN + n)
         # no subsequence is longer than the item's words that are there at all
-        if np.isin(items.hashes[i], h[lo:hi]).sum() < PARAPHRASED * n:
+        there = items.counts[i].keys() & h[lo:hi].tolist()
+        if sum(items.counts[i][w] for w in there) < PARAPHRASED * n:
             continue
         words = [data[x:y].tobytes().lower() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
         share = leaks(items.words[i], items.answers[i], words)
@@ -292,7 +294,7 @@ def _marked(df: DataFrame, docs: DataFrame, items: Items, text: str, name: str)
     size = len(items.vocabulary)
     if not size:
         return df.withColumn(name, F.array().cast(MATCHES))
-    space = Space(items, sketch(docs, text, items, min(RANK, size, len(items.ids) + 64)))
+    space = Space(items, sketch(docs, text, items, min(RANK, size, len(items.ids) + 32)))
     out = T.StructType([*df.schema.fields, T.StructField(name, MATCHES)])
     spot = df.columns.index(text)
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
