@@ -8,8 +8,8 @@ differ in one shingle at most; each is cut into three sub-partitions, and the
 three subsets of two sub-partitions are enumerated: one of them is the same for
 both sets, and its hash is a shared signature (Arasu, Ganti and Kaushik, 2006).
 
-Scale.  Equal sets are one node (a pre-aggregated minimum).  Signatures are two
-longs a row, dealt once by signature and read as a sorted stream that keeps one
+Scale.  Equal sets are one node (a pre-aggregated minimum) and send their
+signatures once a task.  Signatures are two longs a row, dealt once by signature and read as a sorted stream that keeps one
 row: each set of a bucket is tied to the bucket's smallest set, so a bucket
 gives a row per member, never its pairs.  Sets that can be similar are thus in
 one cluster of tied sets.  A cluster is compared in cells of bounded size: a
@@ -72,43 +72,80 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
                 break  # no size of that band is near enough
             most = 2 * (int(_BANDS[band + 1]) - 1)
             apart = most * (100 - percent) // (100 + percent)
-            parts = apart // 2 + 1
+            # one partition at least has one difference at most; with ``spare`` more, so
+            # many, and one besides, do
+            spare = 1 + apart // 12 if apart else 0
+            parts = apart // 2 + 1 + spare
             subs = 3 if apart else 1
             # sub-partition j holds hashes from j / (parts * subs) of the domain on
             ends = (np.arange(parts * subs + 1, dtype=U) * U((1 << 64) // (parts * subs) - 1))[1:-1]
-            sums = total[np.concatenate([[0], np.searchsorted(u, ends), [n]])]
-            each = (sums[1:] - sums[:-1]).reshape(parts, subs)
-            left = each.sum(axis=1, keepdims=True) - each if subs > 1 else each
+            place = np.concatenate([[0], np.searchsorted(u, ends), [n]])
+            sums = total[place]
+            each, size = (sums[1:] - sums[:-1]).reshape(parts, subs), (place[1:] - place[:-1]).reshape(parts, subs)
+            left, filled = each, size > 0
+            if subs > 1:
+                left, filled = each.sum(axis=1, keepdims=True) - each, size.sum(axis=1, keepdims=True) > size
             tag = np.arange(parts * subs, dtype=U).reshape(parts, subs) + U(band) * U(1 << 40)
-            out.append(W.mix(left ^ W.mix(tag)).ravel())
+            sigs = W.mix(left ^ W.mix(tag))
+            # an empty subset says nothing; a set with few of them is found by others:
+            # of the partitions that agree, one has no empty subset
+            few = (~filled).any(axis=1).sum() <= spare
+            out.append(sigs[filled] if few else sigs.ravel())
         return np.concatenate(out)
 
 
-def _sets(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint) and signatures of every text."""
-    out = T.StructType.fromDDL("doc_id long, n long, f1 long, f2 long, sigs array<long>")
+def _shingled(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(doc ids, sets) of runs of the rows of a batch of (doc_id, text)."""
+    for row, data, at in W.runs(batch.column(1)):
+        h, _, _, rows = W.words(data, at)
+        sets = [W.shingles(h, a, b, size) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
+        yield batch.column(0).slice(row, len(sets)), sets
+
+
+def _fingerprint(u: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return int(u.sum(dtype=U).view(np.int64)), int(W.mix(u ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=U).view(np.int64))
+
+
+def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
+    """doc_id, n and f1, f2 (fingerprint) of the set of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sets in _shingled(batch, size):
+                prints = [_fingerprint(u) for u in sets]
+                columns = [pa.array([len(u) for u in sets], pa.int64()), *(pa.array([f[k] for f in prints], pa.int64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n", "f1", "f2"])
+
+    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")), run, "doc_id long, n long, f1 long, f2 long")
+
+
+#: Fingerprints a task remembers, to send the signatures of a set once.
+SEEN = 200_000
+
+
+def _signed(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """(sig, doc) for every signature of every set, of copies within a task the first one's only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0)
-            for row, data, at in W.runs(batch.column(1)):
-                h, _, _, rows = W.words(data, at)
-                n, f1, f2, sigs, ends = [], [], [], [], [0]
-                for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
-                    u = W.shingles(h, a, b, size)
-                    n.append(len(u))
-                    with np.errstate(over="ignore"):
-                        f1.append(u.sum(dtype=U))
-                        f2.append(W.mix(u ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=U))
+            for ids, sets in _shingled(batch, size):
+                docs, sigs = [], []
+                for doc, u in zip(ids.to_pylist(), sets):
+                    if doc is None or not len(u) or (own := _fingerprint(u)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(own)
+                    docs.append(doc)
                     sigs.append(signatures(u, percent))
-                    ends.append(ends[-1] + len(sigs[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(np.array(f1, dtype=U).view(np.int64)), pa.array(np.array(f2, dtype=U).view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs).view(np.int64)))],
-                    names=out.names,
-                )
+                if docs:
+                    ends = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))], names=["doc", "sigs"])
 
-    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")), run, out)
+    made = arrow_map(df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")), run, "doc long, sigs array<long>")
+    return made.select(F.explode("sigs").alias("sig"), "doc")
 
 
 def _ties(rows: DataFrame, parts: int) -> DataFrame:
@@ -224,13 +261,15 @@ def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select("doc_id", text)
-    sets = materialize(_sets(docs, text, size, percent), "sets")
+    sets = materialize(_sets(docs, text, size), "sets")
     copies = materialize(
         sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "copies"
     )
-    single = sets.where("n > 0").join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    ties = _ties(single.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), parts)
-    clusters = components(materialize(ties.distinct(), "ties"))
+    ties = materialize(_ties(_signed(docs, text, size, percent), parts).distinct(), "ties")
+    # of copies, the smallest doc_id stands for the set
+    named = sets.where("doc_id is not null").join(copies, ["n", "f1", "f2"]).select("doc_id", "rep").distinct()
+    ties = ties.join(named.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    clusters = components(ties.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     members = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     members = materialize(members.join(copies.select(F.col("rep").alias("doc"), "n"), "doc").dropDuplicates(["doc"]), "members")
     cells = _cells(members, percent)
