@@ -41,14 +41,14 @@ from engramlake.llm.shared import arrow_map, bounded_sample, table
 
 #: Labelled texts to learn from, about, by label.
 SAMPLE = {0: 6000, 1: 1500}
-LANDMARKS = 600
+LANDMARKS = 440
 #: Weight of the clean class against the toxic one in the calibration.
 CLEAN = 6.0
 #: Log-likelihood ratio that an n-gram's words need to start as positive.
 EVIDENCE = 16.0
 #: Decay per character passed over, steps up to this long, bytes of a word.
 DECAY, STEP, WORD = 0.8, 2, 32
-ROUNDS, COST, HARD = 6, 100.0, 1500
+ROUNDS, COST, HARD = 6, 100.0, 1200
 _SYMBOLS = 32
 
 _CODE = np.full(256, 28, dtype=np.int32)
@@ -143,8 +143,8 @@ def sparse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def nystrom(words: list[bytes], known: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """Normalised features of words times ``fold``, whose rows are the features ``known``; then a column of ones."""
     out = np.zeros((len(words), fold.shape[1] + 1))
-    for k in range(0, len(words), 2000):
-        word, ids, value = sparse(words[k : k + 2000])
+    for k in range(0, len(words), 400):
+        word, ids, value = sparse(words[k : k + 400])
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
         hit = known[at] == ids
         order = np.argsort(word[hit], kind="stable")
@@ -327,7 +327,7 @@ class Model:
     def of_words(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        part = 20_000
+        part = 5_000
         return np.concatenate([word_scores(*_joined([w[:WORD] for w in words[k : k + part]]), self.weights) for k in range(0, len(words), part)]) + self.bias
 
     def strongest(self, column: pa.Array) -> np.ndarray:
