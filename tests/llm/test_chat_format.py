@@ -1,11 +1,11 @@
-import oracle
+import sql_twin
 from pyspark.sql import functions as F
 
 from engramlake.llm import chat_format as C
 
 
 def test_against_sql(spark):
-    oracle.same(C.query(spark, "/root/testdata/sf0.001"), C.ORACLE, "/root/testdata/sf0.001")
+    sql_twin.same(C.query(spark, "/root/testdata/sf0.001"), C.ORACLE, "/root/testdata/sf0.001")
 
 
 def test_parts_spans_and_round_trip(spark):

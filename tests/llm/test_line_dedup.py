@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-import oracle
+import sql_twin
 
 from engramlake.llm import line_dedup as L
 
@@ -35,7 +35,7 @@ def brute(rows):
 
 def test_against_sql(spark):
     for sf in ("sf0.001", "sf0.01"):
-        oracle.same(L.query(spark, f"/root/testdata/{sf}"), L.ORACLE, f"/root/testdata/{sf}")
+        sql_twin.same(L.query(spark, f"/root/testdata/{sf}"), L.ORACLE, f"/root/testdata/{sf}")
 
 
 def test_against_brute_force_and_edges(spark):
