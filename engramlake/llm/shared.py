@@ -47,10 +47,18 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
     def lean(batches):
+        import ctypes
+
         import pyarrow as pa
 
         pa.set_memory_pool(pa.system_memory_pool())
+        # workers live on between tasks: what they free goes back to the system
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
         yield from run(batches)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
     return df.mapInArrow(lean, schema)
 
