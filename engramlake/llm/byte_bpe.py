@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from engramlake.llm.shared import arrow_map, table
 
 #: Distinct space-led chunks remembered by a Python worker before it forgets all.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 #: Texts are handed to Arrow in slices of about this many characters.
 SLICE_CHARS = 4_000_000
 _MARKS = frozenset(".,;:!?")
@@ -193,6 +193,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", decode: b
                 if decode:
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
+        own.chunks = {}  # a worker that waits for its next task holds no memory for this one
 
     plain = df.select(F.col(f"`{text}`").cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     return arrow_map(plain, run, out)
