@@ -1,6 +1,6 @@
 """All queries of the memory engine; importing the modules registers them."""
 
-from engramlake.plans import graph_queries, math_queries, relational_queries, text_queries  # noqa: F401
+from engramlake.plans import encoding_queries, graph_queries, math_queries, relational_queries, text_queries  # noqa: F401
 from engramlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
