@@ -44,9 +44,9 @@ def consolidation(similarity: Column, same_kind: Column, contradicts: Column) ->
     return F.when(contradicts & (similarity > 0.85), "supersede").when(similarity > 0.95, "noop").when((similarity > 0.85) & same_kind, "update").when(similarity > 0.85, "supersede").otherwise("add")
 
 
-def semantic_edges(vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
-    """(src, dst, weight): up to ``most`` neighbours of cosine ``least`` in the same community."""
-    a = vectors.select(F.col("fact_id").alias("src"), "community", F.col("v").alias("x"))
+def semantic_edges(new: DataFrame, vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
+    """(src, dst, weight): up to ``most`` neighbours of cosine ``least`` in the same community, for new facts."""
+    a = new.select(F.col("fact_id").alias("src"), "community", F.col("v").alias("x"))
     b = vectors.select(F.col("fact_id").alias("dst"), "community", F.col("v").alias("y"))
     scored = a.join(b, "community").where("src <> dst").select("src", "dst", V.cosine(F.col("x"), F.col("y")).alias("weight")).where(F.col("weight") >= least)
     w = Window.partitionBy("src").orderBy(F.round("weight", 9).desc(), "dst")

@@ -116,12 +116,9 @@ def collapse_chains(edges: DataFrame) -> DataFrame:
     return left.unionByName(added).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def shared_entity_pairs(bridge: DataFrame, least: int, most: int) -> DataFrame:
-    """(a, b, shared): facts with ``least`` shared entities or more; entities that
-    more than ``most`` facts have are no evidence and are left out by definition."""
-    rare = bridge.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("entity")
-    kept = bridge.join(rare, "entity")
-    pairs = kept.select(F.col("fact_id").alias("a"), "entity").join(kept.select(F.col("fact_id").alias("b"), "entity"), "entity").where("a < b")
+def shared_entity_pairs(bridge: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared): facts with ``least`` shared entities or more."""
+    pairs = bridge.select(F.col("fact_id").alias("a"), "entity").join(bridge.select(F.col("fact_id").alias("b"), "entity"), "entity").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 

@@ -42,11 +42,11 @@ def entity_merge(spark, sf):
     return E.merge_entity(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").alias("entity")), 7, 11)
 
 
-@query(f"""WITH {VEC_SQL}, p AS (SELECT a.fact_id AS new, b.fact_id AS old, round({COS}(a.v, b.v), 9) AS s, a.fact_id % 4 = b.fact_id % 4 AS same, (a.fact_id + b.fact_id) % 11 = 0 AS contra FROM vec a JOIN vec b ON a.community = b.community AND b.fact_id < a.fact_id),
+@query(f"""WITH {VEC_SQL}, p AS (SELECT a.fact_id AS new, b.fact_id AS old, round({COS}(a.v, b.v), 9) AS s, a.fact_id % 4 = b.fact_id % 4 AS same, (a.fact_id + b.fact_id) % 11 = 0 AS contra FROM vec a JOIN vec b ON a.community = b.community AND b.fact_id < a.fact_id WHERE a.fact_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY s DESC, old) AS n FROM p) SELECT new, old, round(s, 4) AS similarity, CASE WHEN contra AND s > 0.85 THEN 'supersede' WHEN s > 0.95 THEN 'noop' WHEN s > 0.85 AND same THEN 'update' WHEN s > 0.85 THEN 'supersede' ELSE 'add' END AS action FROM k WHERE n = 1""")
 def consolidation_actions(spark, sf):
     v = vectors(spark, sf)
-    a = v.select(F.col("fact_id").alias("new"), "community", F.col("v").alias("x"))
+    a = v.where("fact_id % 20 = 0").select(F.col("fact_id").alias("new"), "community", F.col("v").alias("x"))  # the stated new facts
     b = v.select(F.col("fact_id").alias("old"), "community", F.col("v").alias("y"))
     p = a.join(b, "community").where("old < new").select("new", "old", V.cosine(F.col("x"), F.col("y")).alias("s"))
     best = R.top_per_group(p, "new", [F.round("s", 9).desc(), F.col("old")], 1)
@@ -54,10 +54,11 @@ def consolidation_actions(spark, sf):
     return best.select("new", "old", F.round("s", 4).alias("similarity"), act.alias("action"))
 
 
-@query(f"""WITH {VEC_SQL}, p AS (SELECT a.fact_id AS src, b.fact_id AS dst, {COS}(a.v, b.v) AS w FROM vec a JOIN vec b ON a.community = b.community AND a.fact_id <> b.fact_id), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS n FROM p WHERE w >= 0.2)
+@query(f"""WITH {VEC_SQL}, p AS (SELECT a.fact_id AS src, b.fact_id AS dst, {COS}(a.v, b.v) AS w FROM vec a JOIN vec b ON a.community = b.community AND a.fact_id <> b.fact_id WHERE a.fact_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS n FROM p WHERE w >= 0.2)
 SELECT src, dst, round(w, 6) AS weight FROM k WHERE n <= 5""")
 def semantic_edges(spark, sf):
-    return E.semantic_edges(vectors(spark, sf), 0.2, 5).select("src", "dst", F.round("weight", 6).alias("weight"))
+    v = vectors(spark, sf)
+    return E.semantic_edges(v.where("fact_id % 20 = 0"), v, 0.2, 5).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {FACTS_SQL}, b AS (SELECT DISTINCT l_orderkey AS fact_id, l_partkey AS entity FROM lineitem), r AS (SELECT entity, fact_id, content, row_number() OVER (PARTITION BY entity ORDER BY fact_id DESC) AS n FROM b JOIN facts USING (fact_id))
@@ -92,22 +93,22 @@ def thompson_choice(spark, sf):
     return Z.thompson(L.bandit_posterior(p, ["stratum", "arm"], "r"), ["stratum"], "arm", 11).select("stratum", "arm", F.round("sample", 6).alias("sample"))
 
 
-@query(f"""WITH {FACTS_SQL}, p AS (SELECT p_partkey AS entity, p_name FROM part), q AS (SELECT entity FROM p WHERE entity % 10 = 4) SELECT q.entity AS query_id, l_orderkey AS fact_id, 0.95::DOUBLE AS score FROM q JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) ON l_partkey = q.entity""")
+@query(f"""WITH {FACTS_SQL}, p AS (SELECT p_partkey AS entity, p_name FROM part), q AS (SELECT entity FROM p WHERE entity % 20 = 0) SELECT q.entity AS query_id, l_orderkey AS fact_id, 0.95::DOUBLE AS score FROM q JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) ON l_partkey = q.entity""")
 def profile_channel(spark, sf):
-    q = table(spark, sf, "part").where("p_partkey % 10 = 4").select(F.col("p_partkey").alias("query_id"))
+    q = table(spark, sf, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"))
     b = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("query_id"), F.col("l_orderkey").alias("fact_id")).distinct()
     return q.join(b, "query_id").withColumn("score", F.lit(0.95))
 
 
-@query("""WITH b AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS e FROM lineitem), s AS (SELECT DISTINCT f FROM b WHERE f % 97 = 1), p AS (SELECT x.f AS a, y.f AS b FROM s x JOIN s y ON y.f = (SELECT min(f) FROM s WHERE f > x.f)),
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS e FROM lineitem), s AS (SELECT o_orderkey AS f FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20), p AS (SELECT x.f AS a, y.f AS b FROM s x JOIN s y ON y.f = (SELECT min(f) FROM s WHERE f > x.f)),
 o AS (SELECT p.a, p.b, m.f, count(DISTINCT m1.e) AS n1 FROM p JOIN b m1 ON m1.f = p.a JOIN b m ON m.e = m1.e AND m.f <> p.a AND m.f <> p.b GROUP BY 1, 2, 3), t AS (SELECT p.a, p.b, m.f, count(DISTINCT m1.e) AS n2 FROM p JOIN b m1 ON m1.f = p.b JOIN b m ON m.e = m1.e AND m.f <> p.a AND m.f <> p.b GROUP BY 1, 2, 3)
 SELECT a, b, f AS bridge, CAST(round(least(1.0, 0.5 + 0.15 * (n1 + n2)), 6) AS DOUBLE) AS score FROM o JOIN t USING (a, b, f)""")
 def bridge_discovery(spark, sf):
     from pyspark.sql import Window
 
     b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("f"), F.col("l_partkey").alias("e")).distinct()
-    seeds = b.where("f % 97 = 1").select("f").distinct()
-    # a short list of seeds in one order; their number is the query's
+    seeds = table(spark, sf, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("f"))
+    # the twenty seeds of a ranking, in one order
     pairs = seeds.select(F.col("f").alias("a"), F.lead("f").over(Window.partitionBy(F.lit(0)).orderBy("f")).alias("b")).where("b IS NOT NULL")
     side = lambda end, n: (
         pairs.join(b.select(F.col("f").alias(end), "e"), end).join(b, "e").where("f <> a AND f <> b").groupBy("a", "b", "f").agg(F.count_distinct("e").alias(n))
@@ -115,19 +116,19 @@ def bridge_discovery(spark, sf):
     return side("a", "n1").join(side("b", "n2"), ["a", "b", "f"]).select("a", "b", F.col("f").alias("bridge"), F.round(F.least(F.lit(1.0), 0.5 + 0.15 * (F.col("n1") + F.col("n2"))), 6).alias("score"))
 
 
-@query(f"""WITH {FACTS_SQL}, seed AS (SELECT fact_id, session_id, 1.0::DOUBLE / (fact_id + 1) AS s FROM facts WHERE fact_id < 20) SELECT f.fact_id, round(max(0.8 * s), 6) AS score FROM seed JOIN facts f USING (session_id) WHERE f.fact_id >= 20 GROUP BY f.fact_id""")
+@query(f"""WITH {FACTS_SQL}, seed AS (SELECT fact_id, session_id, importance * confidence AS s FROM facts ORDER BY round(importance * confidence, 9) DESC, fact_id LIMIT 20) SELECT f.fact_id, round(max(0.8 * s), 6) AS score FROM seed JOIN facts f USING (session_id) WHERE f.fact_id NOT IN (SELECT fact_id FROM seed) GROUP BY f.fact_id""")
 def scene_expansion(spark, sf):
-    f = facts(spark, sf).select("fact_id", "session_id")
-    seed = f.where("fact_id < 20").select("session_id", (1.0 / (F.col("fact_id") + 1)).alias("s"))
-    return f.where("fact_id >= 20").join(seed, "session_id").groupBy("fact_id").agg(F.round(F.max(0.8 * F.col("s")), 6).alias("score"))
+    f = facts(spark, sf).select("fact_id", "session_id", (F.col("importance") * F.col("confidence")).alias("s"))
+    seed = f.orderBy(F.round("s", 9).desc(), "fact_id").limit(20)  # the twenty best seeds
+    rest = f.drop("s").join(seed.select("fact_id"), "fact_id", "left_anti")
+    return rest.join(seed.select("session_id", "s"), "session_id").groupBy("fact_id").agg(F.round(F.max(0.8 * F.col("s")), 6).alias("score"))
 
 
-@query(rf"""WITH w AS (SELECT p_partkey AS id, unnest({WORDS_SQL.replace('text', 'p_name')}) AS w FROM part), g AS (SELECT DISTINCT id, substr(w, CAST(i AS INTEGER), 3) AS g FROM w, range(1, 40) r(i) WHERE i <= length(w) - 2),
-q AS (SELECT DISTINCT g FROM g WHERE id = 1) SELECT id, count(*) AS hits FROM g JOIN q USING (g) GROUP BY id HAVING count(*) >= 2""")
+@query(rf"""WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name AS id, unnest({WORDS_SQL.replace('text', 'p_name')}) AS w FROM n), g AS (SELECT DISTINCT id, substr(w, CAST(i AS INTEGER), 3) AS g FROM w, range(1, 40) r(i) WHERE i <= length(w) - 2),
+q AS (SELECT id AS name, g FROM g) SELECT name, id AS found, count(*) AS hits FROM g JOIN q USING (g) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def trigram_lookup(spark, sf):
-    g = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(T.trigrams(F.col("p_name"))).alias("g"))
-    q = g.where("id = 1").select("g")
-    return g.join(q, "g").groupBy("id").agg(F.count("*").alias("hits")).where("hits >= 2")
+    g = table(spark, sf, "part").select("p_name").distinct().select(F.col("p_name").alias("found"), F.explode(T.trigrams(F.col("p_name"))).alias("g"))
+    return g.join(g.withColumnRenamed("found", "name"), "g").groupBy("name", "found").agg(F.count("*").alias("hits")).where("hits >= 2")
 
 
 @query(f"""WITH {PART_EDGES_SQL}, c AS (SELECT p_partkey AS node, p_brand AS community FROM part), x AS (SELECT least(a.community, b.community) AS a, greatest(a.community, b.community) AS b FROM edges JOIN c a ON src = a.node JOIN c b ON dst = b.node WHERE a.community <> b.community)
@@ -202,13 +203,13 @@ def auto_invoke(spark, sf):
     return f.crossJoin(F.broadcast(most)).select("fact_id", s.alias("s")).where("s >= 0.12").orderBy(F.round("s", 9).desc(), "fact_id").limit(30).select("fact_id", F.round("s", 6).alias("score"))
 
 
-@query(f"""WITH {VEC_SQL}, s AS (SELECT q.fact_id AS query_id, x.fact_id, {COS}(q.v, x.v) AS s FROM vec q, vec x WHERE q.fact_id % 250 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, fact_id) AS n, max(s) OVER (PARTITION BY query_id) AS m, min(s) OVER (PARTITION BY query_id) AS l FROM s)
+@query(f"""WITH {VEC_SQL}, s AS (SELECT q.fact_id AS query_id, x.fact_id, {COS}(q.v, x.v) AS s FROM vec q, vec x WHERE q.fact_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, fact_id) AS n, max(s) OVER (PARTITION BY query_id) AS m, min(s) OVER (PARTITION BY query_id) AS l FROM s)
 SELECT query_id, fact_id, round((s - l) / (m - l), 6) AS scaled FROM r WHERE n <= 20""")
 def minmax_rerank(spark, sf):
     from pyspark.sql import Window
 
     v = vectors(spark, sf)
-    q = v.where("fact_id % 250 = 0").select(F.col("fact_id").alias("query_id"), "v")
+    q = v.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "v")
     every = Q.nearest(q, v, 1 << 30)
     w = Window.partitionBy("query_id")
     out = every.withColumn("m", F.max("score").over(w)).withColumn("l", F.min("score").over(w)).where("rank <= 20")

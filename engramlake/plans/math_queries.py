@@ -44,11 +44,11 @@ def recency_boost(spark, sf):
     return facts(spark, sf).select("fact_id", F.round(V.recency_boost(age), 6).alias("boost"))
 
 
-@query(f"""WITH {VEC_SQL}, s AS (SELECT q.fact_id AS query_id, x.fact_id, round({COS}(q.v, x.v), 9) AS s FROM vec q, vec x WHERE q.fact_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fact_id) AS rank FROM s)
+@query(f"""WITH {VEC_SQL}, s AS (SELECT q.fact_id AS query_id, x.fact_id, round({COS}(q.v, x.v), 9) AS s FROM vec q, vec x WHERE q.fact_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fact_id) AS rank FROM s)
 SELECT query_id, fact_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""")
 def cosine_topk(spark, sf):
     v = vectors(spark, sf)
-    q = v.where("fact_id % 50 = 0").select(F.col("fact_id").alias("query_id"), "v")
+    q = v.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "v")
     return Q.nearest(q, v, 10).select("query_id", "fact_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -115,23 +115,23 @@ def coupling_state(spark, sf):
     return f.select("fact_id", F.round(V.effective_temperature(mv, acc), 6).alias("temperature"), F.round(V.equilibrium_radius(acc, age, F.lit(0.5)), 6).alias("radius"))
 
 
-@query(f"""WITH {VEC_SQL} SELECT a.fact_id AS a, b.fact_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: power(z[2] - z[1], 2)))) / ({_norm('a.v')} + {_norm('b.v')} + 1e-12), 6) AS disagreement
-FROM vec a JOIN vec b ON a.community = b.community AND b.fact_id > a.fact_id AND b.fact_id <= a.fact_id + 15""")
+@query(f"""WITH {VEC_SQL}, p AS (SELECT fact_id AS b, v AS w, lag(fact_id) OVER o AS a, lag(v) OVER o AS u FROM vec WINDOW o AS (PARTITION BY community ORDER BY fact_id))
+SELECT a, b, round(sqrt(list_sum(list_transform(list_zip(u, w), lambda z: power(z[2] - z[1], 2)))) / ({_norm('u')} + {_norm('w')} + 1e-12), 6) AS disagreement FROM p WHERE a IS NOT NULL""")
 def sheaf_contradictions(spark, sf):
-    v = vectors(spark, sf).select("fact_id", "community", "v")
-    # neighbours by id within a community: dealt by blocks of 15 ids, each to its own and the next
-    a = v.withColumn("block", F.explode(F.array(F.floor(F.col("fact_id") / 15), F.floor(F.col("fact_id") / 15) + 1)))
-    b = v.select(F.col("fact_id").alias("b"), "community", F.col("v").alias("w"), F.floor(F.col("fact_id") / 15).alias("block"))
-    pairs = a.join(b, ["community", "block"]).where((F.col("b") > F.col("fact_id")) & (F.col("b") <= F.col("fact_id") + 15))
-    return pairs.select(F.col("fact_id").alias("a"), "b", F.round(V.coboundary(F.col("v"), F.col("w")), 6).alias("disagreement"))
+    """Each fact against the one before it in its community."""
+    from pyspark.sql import Window
 
+    o = Window.partitionBy("community").orderBy("fact_id")
+    pairs = vectors(spark, sf).select(F.lag("fact_id").over(o).alias("a"), F.col("fact_id").alias("b"), F.lag("v").over(o).alias("u"), F.col("v").alias("w")).where("a IS NOT NULL")
+    return pairs.select("a", "b", F.round(V.coboundary(F.col("u"), F.col("w")), 6).alias("disagreement"))
 
-@query(f"""WITH {VEC_SQL}, z AS (SELECT q.fact_id AS query_id, x.fact_id, list_dot_product(q.v, x.v) / sqrt(64.0::DOUBLE) AS z FROM vec q, vec x WHERE q.fact_id % 100 = 0), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY query_id)) AS e FROM z),
+
+@query(f"""WITH {VEC_SQL}, z AS (SELECT q.fact_id AS query_id, x.fact_id, list_dot_product(q.v, x.v) / sqrt(64.0::DOUBLE) AS z FROM vec q, vec x WHERE q.fact_id % 20 = 0), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY query_id)) AS e FROM z),
 s AS (SELECT query_id, fact_id, e / sum(e) OVER (PARTITION BY query_id) AS s FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, fact_id) AS rank FROM s)
 SELECT query_id, fact_id, round(s, 6) AS attention, rank FROM r WHERE rank <= 5""")
 def hopfield_topk(spark, sf):
     v = vectors(spark, sf)
-    q = v.where("fact_id % 100 = 0").select(F.col("fact_id").alias("query_id"), "v")
+    q = v.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "v")
     return Q.top(Q.hopfield(q, v, F.lit(1.0) / F.sqrt(F.lit(64.0))), 5).select("query_id", "fact_id", F.round("score", 6).alias("attention"), F.col("rank").cast("long").alias("rank"))
 
 

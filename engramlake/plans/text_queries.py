@@ -44,10 +44,10 @@ def valid_at(spark, sf):
     return R.valid_at(validity(spark, sf), "1997-06-01 00:00:00").select("fact_id")
 
 
-@query("SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id % 3 = 0 AND d.event_type = 'error' AND d.user_id = e.user_id AND d.event_type = e.event_type)")
+@query("SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.value >= 100 AND d.event_type = 'error' AND d.user_id = e.user_id AND d.event_type = e.event_type)")
 def deny_policies(spark, sf):
-    e = events(spark, sf).select("event_id", "user_id", "event_type")
-    return R.denied(e, e.where((F.col("user_id") % 3 == 0) & (F.col("event_type") == "error")), ["user_id", "event_type"])
+    e = events(spark, sf)
+    return R.denied(e.select("event_id", "user_id", "event_type"), e.where("value >= 100 AND event_type = 'error'"), ["user_id", "event_type"])
 
 
 @query(f"""WITH {FACTS_SQL}, z AS (SELECT fact_id, confidence AS score, CASE WHEN fact_id % 6 = 5 THEN NULL WHEN fact_id % 6 = 0 THEN 'active' WHEN fact_id % 6 = 1 THEN 'warm' WHEN fact_id % 6 = 2 THEN 'cold' ELSE 'archive' END AS zone FROM facts)
