@@ -22,11 +22,12 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(facts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, delta: float = 1.0) -> DataFrame:
     """BM25+ over (fact_id, content) for (query_id, query): ln((N + 1) / df) times the
     saturated term frequency plus delta, for terms that occur."""
-    post = postings(facts, "fact_id", "content")
-    sizes = facts.select(F.size(T.tokenize(F.col("content"))).alias("n")).agg(F.avg("n").alias("avg_len"), F.count("*").alias("docs"))  # one row
+    words = facts.select("fact_id", T.tokenize(F.col("content")).alias("_w")).withColumn("length", F.size("_w"))
+    sizes = words.agg(F.avg("length").alias("avg_len"), F.count("*").alias("docs"))  # one row
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
-    hits = post.join(terms, "term")
-    df = hits.select("term", "fact_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    # only words that some query has go on to the shuffle
+    hits = words.select("fact_id", "length", F.explode("_w").alias("term")).join(terms, "term").groupBy("query_id", "fact_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    df = hits.groupBy("term").agg(F.count_distinct("fact_id").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(sizes))
     tf, length = F.col("tf"), F.col("length")
     part = F.log((F.col("docs") + 1) / F.col("df")) * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("avg_len"))) + delta)
