@@ -171,7 +171,7 @@ def _ties(rows: DataFrame, parts: int) -> DataFrame:
 
 
 #: Sets and shingles that a block of a cell holds at most, by its expected share.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_500_000
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
