@@ -171,7 +171,7 @@ def _ties(rows: DataFrame, parts: int) -> DataFrame:
 
 
 #: Sets and shingles that a block of a cell holds at most, by its expected share.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_500_000
+BLOCK_SETS, BLOCK_SHINGLES = 8192, 5_000_000
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int)
     """A spanning forest of the links between sets of a cell, as pairs of ids."""
     count = len(sets)
     sizes = np.array([len(u) for u in sets], dtype=np.int64)
-    bins = np.zeros((count, 64), dtype=np.int32)
+    bins = np.zeros((count, 64), dtype=np.int32 if sizes.max(initial=0) > 30_000 else np.int16)
     for k, u in enumerate(sets):
         bins[k] = np.bincount((u >> U(58)).astype(np.int64), minlength=64)
     comp = np.arange(count)

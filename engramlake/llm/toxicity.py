@@ -27,6 +27,7 @@ scores; without both labels to learn from, every score is 0.
 from __future__ import annotations
 
 import itertools
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -346,6 +347,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(slope * np.clip(self.strongest(column), -3, 3) + intercept, -30, 30)))
 
 
+def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Model | None:
+    """A model of rows with a text and a 0/1 label, or None without both labels."""
+    rows = bounded_sample(labelled.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()), toxic, key, SAMPLE)
+    rows = rows.select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        labels = [y for _, y, _ in found]
+        if {0, 1} <= set(labels):
+            made = pickle.dumps(Model([t for _, _, t in found], labels))
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
+
+    # the sample is bounded: one task trains, and only the model comes to the driver
+    made = arrow_map(rows.repartition(1), train, "model binary").toArrow()["model"].to_pylist()
+    return pickle.loads(made[0]) if made else None
+
+
+def score(self, column: pa.Array) -> np.ndarray:
+        slope, intercept = self.line
+        return 1 / (1 + np.exp(-np.clip(slope * np.clip(self.strongest(column), -3, 3) + intercept, -30, 30)))
+
+
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Model | None:
     """A model of rows with a text and a 0/1 label, or None without both labels."""
     rows = bounded_sample(labelled.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()), toxic, key, SAMPLE)
