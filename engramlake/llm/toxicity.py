@@ -364,20 +364,6 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
     return pickle.loads(made[0]) if made else None
 
 
-def score(self, column: pa.Array) -> np.ndarray:
-        slope, intercept = self.line
-        return 1 / (1 + np.exp(-np.clip(slope * np.clip(self.strongest(column), -3, 3) + intercept, -30, 30)))
-
-
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Model | None:
-    """A model of rows with a text and a 0/1 label, or None without both labels."""
-    rows = bounded_sample(labelled.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()), toxic, key, SAMPLE)
-    found = rows.select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).toArrow()
-    found = sorted(zip(found["k"].to_pylist(), found["y"].to_pylist(), found["t"].to_pylist()))
-    labels = [y for _, y, _ in found]
-    return Model([t for _, _, t in found], labels) if {0, 1} <= set(labels) else None
-
-
 def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` (without the text, unless kept) and ``score``, ``predicted``.  A narrow step."""
     names = [c for c in df.columns if keep_text or c != text]
