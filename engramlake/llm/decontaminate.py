@@ -12,13 +12,14 @@ directions are in the space whatever the corpus holds.
 
 A second pass slides windows of ``SPAN`` blocks of ``STEP`` words over whole
 texts, projects them and keeps window and item pairs of cosine ``NEAR`` or
-more.  Those are checked by the longest common subsequence of words within the
+more.  Pairs of which the window's surroundings hold enough of the item's words
+(an upper bound, so nothing is lost by it) are checked by the longest common subsequence of words within the
 window and its surroundings: it is a leak if the subsequence covers ``COPIED``
 of the item; or ``PARAPHRASED`` of it, in a dense stretch or with the answer, the
 uncommon words of the item's last sentence, mostly there.
 
 The benchmark is read to the driver in parts of at most ``ITEMS`` items, one
-pair of passes a part; sketches are bounded by its vocabulary and summed in two
+pair of passes a part, as the space needs a dimension for each item; sketches are bounded by its vocabulary and summed in two
 steps of groups.  Defined results: null, empty or wordless texts and items
 match nothing; equal items are each reported; repeated rows get equal results;
 other columns are untouched; an empty benchmark finds nothing.
@@ -39,8 +40,10 @@ from engramlake.llm import wordhash as W
 from engramlake.llm.shared import arrow_map, table
 
 STEP, SPAN, PASSAGE = 16, 3, 48
-NEAR, COPIED, PARAPHRASED, DENSE = 0.6, 0.7, 0.5, 1.3
-ITEMS, RANK = 2000, 512
+NEAR, COPIED, PARAPHRASED, DENSE = 0.42, 0.7, 0.5, 1.3
+ITEMS, RANK = 450, 512
+#: Places of a table of windows and words that is filled at once.
+TABLE = 1 << 22
 #: Share of items from which on a benchmark word is common.
 COMMON = 0.02
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -57,10 +60,18 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return W.words(data, np.array([0, len(data)]), W.MARKS)[0]
 
 
+def _least(items: int) -> float:
+    """In so many items a word is common."""
+    return max(3, COMMON * items)
+
+
 class Items:
-    """Benchmark items: words, answers, and the vocabulary that tells them apart."""
+    """Benchmark items: words, answers, and the vocabulary that tells them apart.
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
+    ``common``: hashes of the words common in the whole benchmark; without it ``rows`` are the whole.
+    """
+
+    def __init__(self, rows: list[tuple[int, bytes]], common: set[int] | None = None):
         self.ids = [i for i, _ in rows]
         self.words = [plain_words(t) for _, t in rows]
         self.hashes = [_hashes(w) for w in self.words]
@@ -69,11 +80,19 @@ class Items:
         for h in self.hashes:
             for x in set(h.tolist()):
                 seen[x] = seen.get(x, 0) + 1
-        least = max(3, COMMON * len(rows))
-        kept = sorted(x for x, n in seen.items() if n < least)
+        if common is None:
+            common = {x for x, n in seen.items() if n >= _least(len(rows))}
+        kept = sorted(x for x in seen if x not in common)
         self.vocabulary = np.array(kept, dtype=np.uint64)
-        self.quick = np.zeros(1 << 16, dtype=bool)
-        self.quick[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        self.quick = _quick(self.vocabulary)
+        self.every = np.array(sorted(seen), dtype=np.uint64)
+        self.quick_every = _quick(self.every)
+        # distinct words of each item (numbers in ``every``), how often it has them, where they begin
+        distinct = [len(c) for c in self.counts]
+        self.begins = np.cumsum([0, *distinct])
+        self.held = np.searchsorted(self.every, np.array([x for c in self.counts for x in c], dtype=np.uint64))
+        self.often = np.array([n for c in self.counts for n in c.values()], dtype=np.int64)
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         rare = set(kept)
         self.answers = []
         for (_, text), words in zip(rows, self.words):
@@ -84,19 +103,54 @@ class Items:
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h, vocabulary numbers) of the words of the vocabulary."""
-        if not len(self.vocabulary):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        at = np.flatnonzero(self.quick[(h >> np.uint64(48)).astype(np.int64)])
-        v = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[v] == h[at]
-        return at[hit], v[hit]
-
-
-def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, sums of the rows of each), keys in order."""
-    order = np.argsort(keys, kind="stable")
-    head = np.flatnonzero(np.diff(keys[order], prepend=-1))
-    return keys[order][head], np.add.reduceat(rows[order], head, axis=0)
+        return _lookup(self.vocabulary, self.quick, h)
+
+
+def _quick(known: np.ndarray) -> np.ndarray:
+    """Whether a known hash begins with these 16 bits."""
+    quick = np.zeros(1 << 16, dtype=bool)
+    quick[(known >> np.uint64(48)).astype(np.int64)] = True
+    return quick
+
+
+def _lookup(known: np.ndarray, quick: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in h, places in ``known``, which is sorted) of the known hashes."""
+    if not len(known):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(quick[(h >> np.uint64(48)).astype(np.int64)])
+    v = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+    hit = known[v] == h[at]
+    return at[hit], v[hit]
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) for every place of the ranges."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[which]
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of ``rows[at]`` of each), keys in order."""
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        at, keys = at[order], keys[order]
+    # pieces of up to 16 rows, whose k-th rows are added at once, then the sums of pieces
+    head = np.flatnonzero(np.diff(keys, prepend=-1))
+    sizes = np.diff(np.append(head, len(keys)))
+    _, nth = _spread(np.zeros(len(head), dtype=np.int64), -(-sizes // 16))
+    begins = np.repeat(head, -(-sizes // 16)) + nth * 16
+    sizes = np.diff(np.append(begins, len(keys)))
+    by = np.argsort(-sizes, kind="stable")
+    begins, sizes = begins[by], sizes[by]
+    total = rows[at[begins]]
+    for k in range(1, int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes, -k, side="left"))
+        total[:n] += rows[at[begins[:n] + k]]
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    if len(begins) == len(head):
+        return keys[head], total[back]
+    return _sums(total, back, keys[np.sort(begins)])
 
 
 class Sketch:
@@ -112,8 +166,8 @@ class Sketch:
         if not len(v):
             return
         np.add.at(self.df, np.unique(passage * len(self.df) + v) % len(self.df), 1)
-        which, seen = _sums(self.test[v], passage)
-        words, sums = _sums(seen[np.searchsorted(which, passage)], v)
+        which, seen = _sums(self.test, v, passage)
+        words, sums = _sums(seen, np.searchsorted(which, passage), v)
         self.y[words] += sums
 
 
@@ -232,6 +286,29 @@ def leaks(item: list[bytes], answer: set[bytes], words: list[bytes]) -> float:
     return 0.0
 
 
+def _held(items: Items, h: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """How many of item i's words are in the widest range lo..hi of its window's pairs; windows in order."""
+    out = np.zeros(len(i), dtype=np.int64)
+    if not len(i):
+        return out
+    place, v = _lookup(items.every, items.quick_every, h)
+    head = np.flatnonzero(np.diff(window, prepend=-1))
+    number = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(i))))
+    a, z = np.searchsorted(place, np.minimum.reduceat(lo, head)), np.searchsorted(place, np.maximum.reduceat(hi, head))
+    step = max(1, TABLE // len(items.every))
+    there = np.zeros((min(step, len(head)), len(items.every)), dtype=bool)
+    for k in range(0, len(head), step):
+        which, at = _spread(a[k : k + step], z[k : k + step] - a[k : k + step])
+        there[which, v[at]] = True
+        pairs = slice(*np.searchsorted(number, [k, k + step]))
+        own = i[pairs]
+        pair, word = _spread(items.begins[own], items.begins[own + 1] - items.begins[own])
+        found = there[number[pairs][pair] - k, items.held[word]]
+        out[pairs] = np.bincount(pair, weights=found * items.often[word], minlength=len(own))
+        there[which, v[at]] = False
+    return out
+
+
 def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> list[dict[int, tuple[float, float]]]:
     """For each row: item -> (share, cosine) of its leaks."""
     h, starts, ends, rows = W.words(data, at, W.MARKS)
@@ -242,7 +319,7 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
         return found
     row = np.searchsorted(rows, place, side="right") - 1
     block = first[row] + (place - rows[row]) // STEP
-    which, sums = _sums(space.word[v], block)
+    which, sums = _sums(space.word, v, block)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(np.append(first, blocks)))
     dense = np.zeros((blocks + SPAN, space.word.shape[1]), dtype=np.float32)
     dense[which] = sums
@@ -255,7 +332,11 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
         total += dense[begin + k] * same[:, None]
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     cosine = (total / np.maximum(norm, 1e-12)) @ space.items.T
-    for b, i in zip(*(x.tolist() for x in np.nonzero(cosine >= NEAR))):
+    b, i = np.nonzero(cosine >= NEAR)
+    lo = rows[owner[begin[b]]] + (begin[b] - first[owner[begin[b]]]) * STEP
+    held = _held(items, h, i, np.maximum(rows[owner[begin[b]]], lo - items.sizes[i]), np.minimum(rows[owner[begin[b]] + 1], lo + STEP * SPAN + items.sizes[i]), b)
+    enough = held >= PARAPHRASED * items.sizes[i]
+    for b, i in zip(b[enough].tolist(), i[enough].tolist()):
         r = int(owner[begin[b]])
         held = found[r].get(i)
         if held and held[0] >= 1.0:
@@ -277,14 +358,31 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType())]))
 
 
+def common_words(items: DataFrame, count: int) -> set[int]:
+    """Hashes of the words that are common among ``count`` items, whose texts are ``t``.
+
+    They are few: at most 1 / COMMON times the words of an item.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_hashes(plain_words(t))).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["h"])
+
+    seen = arrow_map(items.select("t"), run, "h long").groupBy("h").count().where(F.col("count") >= _least(count))
+    return set(seen.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64).tolist())
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """``docs`` with ``leaks``: array of struct<item_id, share, cosine> by item_id; empty for clean texts."""
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("i is not null and t is not null")
-    parts = max(1, -(-items.count() // ITEMS))
+    count = items.count()
+    parts = max(1, -(-count // ITEMS))
+    common = common_words(items, count) if parts > 1 else None
     out = docs
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").toArrow()
-        own = Items(list(zip(rows["i"].to_pylist(), rows["t"].to_pylist())))
+        own = Items(list(zip(rows["i"].to_pylist(), rows["t"].to_pylist())), common)
         out = _marked(out, docs, own, text, f"_leaks{part}")
     lists = [F.col(f"_leaks{p}") for p in range(parts)]
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.flatten(F.array(*lists))).alias("leaks"))

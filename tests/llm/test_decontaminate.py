@@ -111,3 +111,28 @@ def test_parts_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 15)
     parts = {r.doc_id: r.item_ids for r in D.query(spark, sf).collect()}
     assert sum(whole[d] != parts[d] for d in whole) <= 1
+
+
+def test_paraphrases_from_a_large_benchmark(spark):
+    rng = random.Random(3)
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    bag = [w for t in texts for w in t]
+    long = [t for t in texts if len(t) > 80]
+    bench = []
+    for k in range(2000):
+        t, n = rng.choice(long), rng.randint(20, 59)
+        at = rng.randrange(len(t) - n)
+        bench.append((k, " ".join(t[at : at + n])))
+    docs = []
+    for k in range(300):  # two words of five replaced
+        item = rng.choice(bench)[1].split()
+        kept = set(rng.sample(range(len(item)), round(0.6 * len(item))))
+        pad = [rng.choice(bag) for _ in range(150)]
+        pad[70:70] = [w if n in kept else rng.choice(bag) for n, w in enumerate(item)]
+        docs.append((k, " ".join(pad)))
+    items = D.Items([(k, t.encode()) for k, t in bench])
+    rest = [(1000 + k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in D.mark(spark.createDataFrame(docs + rest, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in docs for i in brute(t, items)}
+    found = sum(i in got[d] for d, i in want)
+    assert len(want) > 150 and found >= 0.99 * len(want), (found, len(want))
