@@ -1,7 +1,7 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
 Texts are words (runs of letters and digits, lower case).  Passages are
-TF-IDF vectors over the words of the benchmark that are not common within it.
+TF-IDF vectors over the words of the benchmark.
 A randomised SVD gives the latent space: every task multiplies its passages A
 with a random matrix, and the sums A'(A W) of all tasks give, in one pass over
 the corpus, the sketch Y of A'A from which the Nystrom formula yields singular
@@ -14,7 +14,8 @@ A second pass slides windows of ``SPAN`` blocks of ``STEP`` words over whole
 texts, projects them and keeps window and item pairs of cosine ``NEAR`` or
 more.  Pairs of which the window's surroundings hold enough of the item's words
 (an upper bound, so nothing is lost by it) are checked by the longest common subsequence of words within the
-window and its surroundings: it is a leak if the subsequence covers ``COPIED``
+window and its surroundings; verbatim copies are looked up besides, by the word of the
+item that is rarest in the corpus: it is a leak if the subsequence covers ``COPIED``
 of the item; or ``PARAPHRASED`` of it, in a dense stretch or with the answer, the
 uncommon words of the item's last sentence, mostly there.
 
@@ -44,7 +45,7 @@ NEAR, COPIED, PARAPHRASED, DENSE = 0.42, 0.7, 0.5, 1.3
 ITEMS, RANK = 450, 512
 #: Places of a table of windows and words that is filled at once.
 TABLE = 1 << 22
-#: Share of items from which on a benchmark word is common.
+#: Share of distinct items from which on a benchmark word is common, so that an answer does without it.
 COMMON = 0.02
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -66,7 +67,7 @@ def _least(items: int) -> float:
 
 
 class Items:
-    """Benchmark items: words, answers, and the vocabulary that tells them apart.
+    """Benchmark items: words, answers, and the vocabulary.
 
     ``common``: hashes of the words common in the whole benchmark; without it ``rows`` are the whole.
     """
@@ -76,24 +77,27 @@ class Items:
         self.words = [plain_words(t) for _, t in rows]
         self.hashes = [_hashes(w) for w in self.words]
         self.counts = [dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)))) for h in self.hashes]
+        # items of equal words count once
         seen: dict[int, int] = {}
-        for h in self.hashes:
-            for x in set(h.tolist()):
+        apart = {h.tobytes(): c for h, c in zip(self.hashes, self.counts) if c}
+        for c in apart.values():
+            for x in c:
                 seen[x] = seen.get(x, 0) + 1
         if common is None:
-            common = {x for x, n in seen.items() if n >= _least(len(rows))}
-        kept = sorted(x for x in seen if x not in common)
-        self.vocabulary = np.array(kept, dtype=np.uint64)
-        self.quick = _quick(self.vocabulary)
-        self.every = np.array(sorted(seen), dtype=np.uint64)
-        self.quick_every = _quick(self.every)
-        # distinct words of each item (numbers in ``every``), how often it has them, where they begin
+            common = {x for x, n in seen.items() if n >= _least(len(apart))}
+        rare = {x for x in seen if x not in common}
+        # all words: items of common words only have copies too
+        self.vocabulary = np.array(sorted(seen), dtype=np.uint64)
+        self.quick = np.zeros(1 << 16, dtype=bool)
+        self.quick[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        # distinct words of each item (vocabulary numbers), how often it has them, where they begin
         distinct = [len(c) for c in self.counts]
         self.begins = np.cumsum([0, *distinct])
-        self.held = np.searchsorted(self.every, np.array([x for c in self.counts for x in c], dtype=np.uint64))
+        self.held = np.searchsorted(self.vocabulary, np.array([x for c in self.counts for x in c], dtype=np.uint64))
         self.often = np.array([n for c in self.counts for n in c.values()], dtype=np.int64)
+        self.flat = np.concatenate([*self.hashes, np.zeros(0, dtype=np.uint64)])
+        self.offsets = np.cumsum([0, *map(len, self.hashes)])
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        rare = set(kept)
         self.answers = []
         for (_, text), words in zip(rows, self.words):
             parts = [p for p in re.split(rb"(?<=[.!?])\s+", text.strip()) if plain_words(p)]
@@ -103,24 +107,12 @@ class Items:
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h, vocabulary numbers) of the words of the vocabulary."""
-        return _lookup(self.vocabulary, self.quick, h)
-
-
-def _quick(known: np.ndarray) -> np.ndarray:
-    """Whether a known hash begins with these 16 bits."""
-    quick = np.zeros(1 << 16, dtype=bool)
-    quick[(known >> np.uint64(48)).astype(np.int64)] = True
-    return quick
-
-
-def _lookup(known: np.ndarray, quick: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in h, places in ``known``, which is sorted) of the known hashes."""
-    if not len(known):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.flatnonzero(quick[(h >> np.uint64(48)).astype(np.int64)])
-    v = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-    hit = known[v] == h[at]
-    return at[hit], v[hit]
+        if not len(self.vocabulary):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(self.quick[(h >> np.uint64(48)).astype(np.int64)])
+        v = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
+        hit = self.vocabulary[v] == h[at]
+        return at[hit], v[hit]
 
 
 def _spread(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,11 +233,17 @@ class Space:
         left = left[:, single > 1e-6 * max(single.max(initial=0), 1e-300)]
         self.word = (idf[:, None] * left).astype(np.float32)
         q = np.stack([self.word[v].sum(axis=0) if len(v) else np.zeros(self.word.shape[1]) for v in looked]) if looked else np.zeros((0, left.shape[1]))
+        # verbatim copies are looked up by the word of an item that is rarest in the corpus
+        by = sorted((int(v[seen.df[v].argmin()]), i) for i, v in enumerate(looked) if len(v))
+        self.anchored = np.array([i for _, i in by], dtype=np.int64)
+        self.anchors = np.searchsorted(np.array([v for v, _ in by], dtype=np.int64), np.arange(len(items.vocabulary) + 1))
+        self.ahead = np.array([int(np.flatnonzero(items.hashes[i] == items.vocabulary[v])[0]) for v, i in by], dtype=np.int64)
         self.items = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def common_subsequence(item: list[bytes], words: list[bytes]) -> tuple[int, int]:
-    """(length of the longest common subsequence, words it spans in ``words``), by bit rows."""
+def common_subsequence(item: list[bytes], words: list[bytes], least: float = 0) -> tuple[int, int]:
+    """(length of the longest common subsequence, words it spans in ``words``), by bit rows;
+    a length under ``least`` has no span."""
     masks: dict[bytes, int] = {}
     for k, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << k
@@ -259,22 +257,26 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> tuple[int, int]
             out.append(len(item) - row.bit_count())
         return out
 
-    ahead = lengths(words, masks)
+    at = [k for k, w in enumerate(words) if w in masks]
+    own = [words[k] for k in at]
+    ahead = lengths(own, masks)
     if not ahead or not ahead[-1]:
         return 0, 0
     best = ahead[-1]
+    if best < least:
+        return best, 0
     end = ahead.index(best) + 1
     back: dict[bytes, int] = {}
     for k, w in enumerate(reversed(item)):
         back[w] = back.get(w, 0) | 1 << k
-    return best, lengths(words[:end][::-1], back).index(best) + 1
+    return best, at[end - 1] - at[end - 1 - lengths(own[:end][::-1], back).index(best)] + 1
 
 
 def leaks(item: list[bytes], answer: set[bytes], words: list[bytes]) -> float:
     """The share of the item that ``words`` hold in order, if that is a leak, else 0."""
     if not item:
         return 0.0
-    n, span = common_subsequence(item, words)
+    n, span = common_subsequence(item, words, PARAPHRASED * len(item))
     share = n / len(item)
     if share >= COPIED and span <= 2 * len(item):
         return share
@@ -286,17 +288,16 @@ def leaks(item: list[bytes], answer: set[bytes], words: list[bytes]) -> float:
     return 0.0
 
 
-def _held(items: Items, h: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: np.ndarray) -> np.ndarray:
+def _held(items: Items, place: np.ndarray, v: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: np.ndarray) -> np.ndarray:
     """How many of item i's words are in the widest range lo..hi of its window's pairs; windows in order."""
     out = np.zeros(len(i), dtype=np.int64)
     if not len(i):
         return out
-    place, v = _lookup(items.every, items.quick_every, h)
     head = np.flatnonzero(np.diff(window, prepend=-1))
     number = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(i))))
     a, z = np.searchsorted(place, np.minimum.reduceat(lo, head)), np.searchsorted(place, np.maximum.reduceat(hi, head))
-    step = max(1, TABLE // len(items.every))
-    there = np.zeros((min(step, len(head)), len(items.every)), dtype=bool)
+    step = max(1, TABLE // len(items.vocabulary))
+    there = np.zeros((min(step, len(head)), len(items.vocabulary)), dtype=bool)
     for k in range(0, len(head), step):
         which, at = _spread(a[k : k + step], z[k : k + step] - a[k : k + step])
         there[which, v[at]] = True
@@ -309,6 +310,21 @@ def _held(items: Items, h: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.nda
     return out
 
 
+def _verbatim(items: Items, space: Space, h: np.ndarray, rows: np.ndarray, row: np.ndarray, place: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, first word, number of the anchor's hit) of the items whose words stand there one after another."""
+    hit, at = _spread(space.anchors[v], space.anchors[v + 1] - space.anchors[v])
+    i = space.anchored[at]
+    start = place[hit] - space.ahead[at]
+    good = np.flatnonzero((start >= rows[row[hit]]) & (start + items.sizes[i] <= rows[row[hit] + 1]))
+    for share in (0, 0.25, 0.5, 0.75, 1):  # a few words first
+        k = ((items.sizes[i[good]] - 1) * share).astype(np.int64)
+        good = good[h[start[good] + k] == items.flat[items.offsets[i[good]] + k]]
+    for g in good.tolist():
+        own = items.hashes[i[g]]
+        if (h[start[g] : start[g] + len(own)] == own).all():
+            yield int(row[hit[g]]), int(i[g]), int(start[g]), int(hit[g])
+
+
 def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> list[dict[int, tuple[float, float]]]:
     """For each row: item -> (share, cosine) of its leaks."""
     h, starts, ends, rows = W.words(data, at, W.MARKS)
@@ -334,7 +350,7 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
     cosine = (total / np.maximum(norm, 1e-12)) @ space.items.T
     b, i = np.nonzero(cosine >= NEAR)
     lo = rows[owner[begin[b]]] + (begin[b] - first[owner[begin[b]]]) * STEP
-    held = _held(items, h, i, np.maximum(rows[owner[begin[b]]], lo - items.sizes[i]), np.minimum(rows[owner[begin[b]] + 1], lo + STEP * SPAN + items.sizes[i]), b)
+    held = _held(items, place, v, i, np.maximum(rows[owner[begin[b]]], lo - items.sizes[i]), np.minimum(rows[owner[begin[b]] + 1], lo + STEP * SPAN + items.sizes[i]), b)
     enough = held >= PARAPHRASED * items.sizes[i]
     for b, i in zip(b[enough].tolist(), i[enough].tolist()):
         r = int(owner[begin[b]])
@@ -352,6 +368,11 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
         share = leaks(items.words[i], items.answers[i], words)
         if share and (not held or share > held[0]):
             found[r][i] = (share, float(cosine[b, i]))
+    for r, i, lo, k in _verbatim(items, space, h, rows, row, place, v):
+        if i not in found[r] or found[r][i][0] < 1.0:
+            words = [data[x:y].tobytes().lower() for x, y in zip(starts[lo : lo + len(items.words[i])].tolist(), ends[lo : lo + len(items.words[i])].tolist())]
+            if share := leaks(items.words[i], items.answers[i], words):
+                found[r][i] = (share, float(cosine[np.searchsorted(begin, block[k]), i]))
     return found
 
 
@@ -359,7 +380,7 @@ MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.St
 
 
 def common_words(items: DataFrame, count: int) -> set[int]:
-    """Hashes of the words that are common among ``count`` items, whose texts are ``t``.
+    """Hashes of the words that are common among the ``count`` distinct texts ``t`` of items.
 
     They are few: at most 1 / COMMON times the words of an item.
     """
@@ -369,7 +390,7 @@ def common_words(items: DataFrame, count: int) -> set[int]:
             found = [np.unique(_hashes(plain_words(t))).view(np.int64) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["h"])
 
-    seen = arrow_map(items.select("t"), run, "h long").groupBy("h").count().where(F.col("count") >= _least(count))
+    seen = arrow_map(items.select("t").distinct(), run, "h long").groupBy("h").count().where(F.col("count") >= _least(count))
     return set(seen.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64).tolist())
 
 
@@ -378,7 +399,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("i is not null and t is not null")
     count = items.count()
     parts = max(1, -(-count // ITEMS))
-    common = common_words(items, count) if parts > 1 else None
+    common = common_words(items, items.select("t").distinct().count()) if parts > 1 else None
     out = docs
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").toArrow()

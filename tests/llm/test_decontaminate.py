@@ -136,3 +136,22 @@ def test_paraphrases_from_a_large_benchmark(spark):
     want = {(d, i) for d, t in docs for i in brute(t, items)}
     found = sum(i in got[d] for d, i in want)
     assert len(want) > 150 and found >= 0.99 * len(want), (found, len(want))
+
+
+def test_items_that_repeat_or_share_a_template(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["on", "ti", "er", "an", "re", "ha", "st", "the"]) for _ in range(rng.randint(2, 4)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    texts = [make(30) for _ in range(8)]
+    head = make(24)
+    tables = [
+        [(k, texts[k % 8]) for k in range(24)],  # a table three times
+        [(k, texts[0] if k % 3 == 0 else make(30)) for k in range(60)],
+        [(k, head + " " + make(3)) for k in range(40)] + [(90, head)],  # an item of a template's words only
+    ]
+    for bench in tables:
+        docs = [(k, make(90) + " " + bench[k * 3 % len(bench)][1] + " " + make(70)) for k in range(12)] + [(50, make(80) + " " + bench[-1][1]), (51, make(200))]
+        got = {r.doc_id: {x.item_id for x in r.leaks} for r in D.mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+        for d, t in docs:
+            assert got[d] >= {i for i, item in bench if f" {item} " in f" {t} "}, d
+        assert not got[51]
