@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
-    "op6_toxicity": toxicity.query,
     "op9_chat_format": chat_format.ORACLE,
 }
