@@ -92,7 +92,8 @@ class Blocks:
                 # distance to the plane that halves the way between two pivots
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (d - d[rows, home][:, None]) / (2 * gap[home])
-                reach = (plane <= np.sqrt(self.budget[k]) + SLACK) & (np.arange(len(p)) > home[:, None])
+                # pivots too near to tell apart have no plane: the other's cell is within reach
+                reach = ((gap[home] <= 1e-6) | (plane <= np.sqrt(self.budget[k]) + SLACK)) & (np.arange(len(p)) > home[:, None])
                 i, j = np.nonzero(reach)
                 yield k, np.concatenate([rows, i]) + start, np.concatenate([home, j]), np.concatenate([np.ones(len(rows), dtype=bool), np.zeros(len(i), dtype=bool)])
 

@@ -65,3 +65,17 @@ def test_whole_small_table(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert V.near_duplicates(df).count() == 0
+
+
+def test_cells_of_pivots_too_near_to_tell_apart():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    blocks = V.Blocks(x, len(x), 0.9)
+    turned = x @ blocks.turn
+    for k, (a, b) in enumerate(blocks.cuts):
+        p = turned[0, a:b]
+        blocks.pivots[k] = np.stack([p, p + 1e-12])
+    for _, row, cell, home in blocks.cells(turned):
+        first = set(row[home & (cell == 0)].tolist())
+        assert first and set(row[~home & (cell == 1)].tolist()) == first
