@@ -180,6 +180,15 @@ def best_match(template: list[str], words: list[str]) -> tuple[float, int, int]
         n = sum(lo <= y <= hi for _, y in here)
         if best is None or n > best[0]:
             best = (n, s + lo, s + hi + 1)
+    if best is None or best[0] < COVERAGE * len(template):
+        # copies close together hide each other's words from the alignment: one copy at a time
+        for s in sorted({max(0, y - k) for k, w in enumerate(template[: spare + 1]) for y in seen.get(w, ())}):
+            part = words[s : s + len(template)]
+            if len(own.intersection(part)) < len(own) - spare:
+                continue
+            here = align(template, part)
+            if here and (best is None or len(here) > best[0]):
+                best = (len(here), s + here[0][1], s + here[-1][1] + 1)
     return best and (best[0] / len(template), best[1], best[2])
 
 

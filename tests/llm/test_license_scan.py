@@ -78,3 +78,10 @@ def test_filter_loses_nothing_on_the_table(spark):
                 hits += 1
                 assert got[r.doc_id], (r.doc_id, name)
     assert hits > 0
+
+
+def test_copies_close_together():
+    notice = "All rights reserved."
+    text = "some words before " * 4 + f"{notice} {notice} " + "and many other words after that " * 6
+    found = [text[a:b] for _, _, a, b in L.findings(text)]
+    assert [f.lower().rstrip(".") for f in found] == ["all rights reserved"] * 2
