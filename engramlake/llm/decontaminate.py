@@ -2,13 +2,15 @@
 
 Texts are words (runs of letters and digits, lower case).  Passages are
 TF-IDF vectors over the words of the benchmark.
-A randomised SVD gives the latent space: every task multiplies its passages A
-with a random matrix, and the sums A'(A W) of all tasks give, in one pass over
-the corpus, the sketch Y of A'A from which the Nystrom formula yields singular
-vectors (Halko, Martinsson and Tropp, 2011, 5.5).  The pass also counts
-document frequencies; as they scale columns, they are applied to the sketch
-afterwards.  The benchmark's own passages are folded in, so that its
-directions are in the space whatever the corpus holds.
+A randomised SVD gives the latent space: every task multiplies a sparse random
+matrix S (one sign a passage, in one of BUCKETS rows; Clarkson and Woodruff,
+2013) with its passages A, and the sums of all tasks give, in one pass over the
+corpus, the sketch S A, whose right singular vectors are near those of A.  The
+pass also counts document frequencies; as they scale columns, they are applied
+to the sketch afterwards.  All sums are of whole numbers, thus the same in any
+order.  The space is spanned by the TOPICS strongest directions and the
+benchmark's own passages, so an item is in it as it is, and a window's cosine
+with it is never less than that of the plain TF-IDF vectors.
 
 A second pass slides windows of ``SPAN`` blocks of ``STEP`` words over whole
 texts, projects them and keeps window and item pairs of cosine ``NEAR`` or
@@ -20,10 +22,10 @@ of the item; or ``PARAPHRASED`` of it, in a dense stretch or with the answer, th
 uncommon words of the item's last sentence, mostly there.
 
 The benchmark is read to the driver in parts of at most ``ITEMS`` items, one
-pair of passes a part, as the space needs a dimension for each item; sketches are bounded by its vocabulary and summed in two
-steps of groups.  Defined results: null, empty or wordless texts and items
+pair of passes a part, as the space needs a dimension for each item; sketches are bounded by its vocabulary and summed by a
+tree of groups of FAN.  Long texts are worked on in slices of SLICE blocks.  Defined results: null, empty or wordless texts and items
 match nothing; equal items are each reported; repeated rows get equal results;
-other columns are untouched; an empty benchmark finds nothing.
+other columns are untouched, but one named ``leaks`` is replaced; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -41,8 +43,12 @@ from engramlake.llm import wordhash as W
 from engramlake.llm.shared import arrow_map, table
 
 STEP, SPAN, PASSAGE = 16, 3, 48
-NEAR, COPIED, PARAPHRASED, DENSE = 0.42, 0.7, 0.5, 1.3
-ITEMS, RANK = 450, 512
+NEAR, COPIED, PARAPHRASED, DENSE = 0.3, 0.7, 0.5, 1.3
+ITEMS, TOPICS, BUCKETS = 450, 32, 256
+#: Bytes of text of a part of the benchmark, about; its vocabulary bounds what a task is sent.
+PART_BYTES = 1 << 20
+#: Sketches added up at once; blocks of words projected at once.
+FAN, SLICE = 32, 1 << 15
 #: Places of a table of windows and words that is filled at once.
 TABLE = 1 << 22
 #: Share of distinct items from which on a benchmark word is common, so that an answer does without it.
@@ -146,21 +152,20 @@ def _sums(rows: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarra
 
 
 class Sketch:
-    """Sums over passages: their number, document frequencies and A'(A W)."""
+    """Sums over passages: their number, document frequencies and S A, by word."""
 
-    def __init__(self, size: int, rank: int):
-        self.test = np.random.default_rng(4).normal(size=(size, rank)).astype(np.float32)
-        self.count, self.df, self.y = 0, np.zeros(size, dtype=np.int64), np.zeros((size, rank))
+    def __init__(self, size: int):
+        self.count, self.df, self.y = 0, np.zeros(size, dtype=np.int64), np.zeros((size, BUCKETS), dtype=np.int64)
 
-    def add(self, passage: np.ndarray, v: np.ndarray, passages: int) -> None:
-        """Words ``v`` of the vocabulary and their passages' numbers."""
-        self.count += passages
+    def add(self, passage: np.ndarray, v: np.ndarray, marks: np.ndarray) -> None:
+        """Words ``v`` of the vocabulary, their passages' numbers, and a random number of each passage."""
+        self.count += len(marks)
         if not len(v):
             return
         np.add.at(self.df, np.unique(passage * len(self.df) + v) % len(self.df), 1)
-        which, seen = _sums(self.test, v, passage)
-        words, sums = _sums(seen, np.searchsorted(which, passage), v)
-        self.y[words] += sums
+        own = marks[passage]
+        bucket, sign = (own >> np.uint64(1)) % np.uint64(BUCKETS), (own & np.uint64(1)).astype(np.int64) * 2 - 1
+        np.add.at(self.y.reshape(-1), v * BUCKETS + bucket.astype(np.int64), sign)
 
 
 def _passages(rows: np.ndarray, size: int) -> tuple[np.ndarray, int]:
@@ -169,8 +174,8 @@ def _passages(rows: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     return np.cumsum(n) - n, int(n.sum())
 
 
-def sketch(docs: DataFrame, text: str, items: Items, rank: int) -> Sketch:
-    """The sums over every passage of every text, added up in two steps of groups."""
+def sketch(docs: DataFrame, text: str, items: Items) -> Sketch:
+    """The sums over every passage of every text, added up by a tree of groups."""
     size = len(items.vocabulary)
     chunk = 128
     out = T.StructType.fromDDL("task int, chunk int, body binary")
@@ -178,67 +183,77 @@ def sketch(docs: DataFrame, text: str, items: Items, rank: int) -> Sketch:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = Sketch(size, rank)
+        own, task = Sketch(size), TaskContext.get().partitionId()
+        rng = np.random.default_rng([4, task])
         for batch in batches:
             for _, data, at in W.runs(batch.column(0)):
                 h, _, _, rows = W.words(data, at, W.MARKS)
                 first, n = _passages(rows, PASSAGE)
                 place, v = items.lookup(h)
                 row = np.searchsorted(rows, place, side="right") - 1
-                own.add(first[row] + (place - rows[row]) // PASSAGE, v, n)
-        task = TaskContext.get().partitionId()
-        parts = [(-1, np.array([own.count], dtype=np.float64).tobytes())]
+                own.add(first[row] + (place - rows[row]) // PASSAGE, v, rng.integers(0, 1 << 32, n, dtype=np.uint64))
+        parts = [(-1, np.array([own.count], dtype=np.int64).tobytes())]
         for a in range(0, size, chunk):
             b = slice(a, a + chunk)
             if own.df[b].any():
-                parts.append((a, np.hstack([own.df[b, None].astype(np.float64), own.y[b]]).tobytes()))
+                parts.append((a, np.hstack([own.df[b, None], own.y[b]]).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array([a for a, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=out.names)
 
     def total(group: pa.Table) -> pa.Table:
-        body = sum(np.frombuffer(x.as_py()) for x in group.column("body"))
+        body = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in group.column("body"))
         return pa.table({"task": group.column("task")[:1], "chunk": group.column("chunk")[:1], "body": pa.array([body.tobytes()], pa.binary())})
 
-    parts = arrow_map(docs.select(F.col(text).cast("binary").alias("t")), run, out)
-    some = parts.withColumn("task", (F.col("task") % 64).cast("int")).groupBy("task", "chunk").applyInArrow(total, out)
-    done = Sketch(size, rank)
-    for r in some.groupBy("chunk").applyInArrow(total, out).toArrow().to_pylist():
-        body = np.frombuffer(r["body"])
+    texts = docs.select(F.col(text).cast("binary").alias("t"))
+    tasks = texts.rdd.getNumPartitions()
+    parts = arrow_map(texts, run, out)
+    while tasks > 1:
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("task", "chunk").applyInArrow(total, out)
+        tasks = -(-tasks // FAN)
+    done = Sketch(size)
+    for r in parts.toArrow().to_pylist():
+        body = np.frombuffer(r["body"], dtype=np.int64)
         if r["chunk"] < 0:
             done.count = int(body[0])
         else:
-            body = body.reshape(-1, 1 + rank)
+            body = body.reshape(-1, 1 + BUCKETS)
             at = slice(r["chunk"], r["chunk"] + len(body))
-            done.df[at], done.y[at] = body[:, 0].astype(np.int64), body[:, 1:]
+            done.df[at], done.y[at] = body[:, 0], body[:, 1:]
     return done
 
 
+def _directions(rows: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` right singular vectors of ``rows``, the strongest first, as columns."""
+    if not rows.size:
+        return np.zeros((rows.shape[1], 0))
+    values, vectors = np.linalg.eigh(rows @ rows.T)
+    values, vectors = values[::-1][:most], vectors[:, ::-1][:, :most]
+    good = values > 1e-10 * max(values.max(initial=0), 1e-300)
+    return rows.T @ (vectors[:, good] / np.sqrt(values[good]))
+
+
 class Space:
     """The latent space: word vectors scaled by inverse document frequency, and the items in it."""
 
     def __init__(self, items: Items, seen: Sketch):
-        rank = seen.test.shape[1]
-        own = Sketch(len(items.vocabulary), rank)
+        size = len(items.vocabulary)
         looked = [items.lookup(h)[1] for h in items.hashes]
-        for v in looked:
-            own.add(np.zeros(len(v), dtype=np.int64), v, 1)
-        # the items fold in with the weight of as many passages as make them count
-        weight = max(1.0, float(np.abs(seen.y).max()) / max(1e-9, float(np.abs(own.y).max())))
-        y = seen.y + weight * own.y
-        idf = np.log((1 + seen.count + own.count) / (1 + seen.df + own.df)) + 1
-        core = seen.test.T.astype(np.float64) @ y
-        values, vectors = np.linalg.eigh((core + core.T) / 2)
-        good = values > 1e-9 * max(values.max(initial=0), 1e-300)
-        factor = (idf[:, None] * y) @ (vectors[:, good] / np.sqrt(values[good]))
-        left, single, _ = np.linalg.svd(factor, full_matrices=False)
-        left = left[:, single > 1e-6 * max(single.max(initial=0), 1e-300)]
+        own = np.zeros((len(looked), size))
+        for k, v in enumerate(looked):
+            np.add.at(own[k], v, 1)
+        idf = np.log((1 + seen.count + len(looked)) / (1 + seen.df + (own > 0).sum(axis=0))) + 1
+        vectors = own * idf
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        topics = _directions((idf[:, None] * seen.y).T, TOPICS)
+        rest = vectors - (vectors @ topics) @ topics.T
+        rest[np.linalg.norm(rest, axis=1) < 1e-6] = 0
+        left = np.hstack([topics, _directions(rest, len(rest))])
         self.word = (idf[:, None] * left).astype(np.float32)
-        q = np.stack([self.word[v].sum(axis=0) if len(v) else np.zeros(self.word.shape[1]) for v in looked]) if looked else np.zeros((0, left.shape[1]))
         # verbatim copies are looked up by the word of an item that is rarest in the corpus
         by = sorted((int(v[seen.df[v].argmin()]), i) for i, v in enumerate(looked) if len(v))
         self.anchored = np.array([i for _, i in by], dtype=np.int64)
-        self.anchors = np.searchsorted(np.array([v for v, _ in by], dtype=np.int64), np.arange(len(items.vocabulary) + 1))
+        self.anchors = np.searchsorted(np.array([v for v, _ in by], dtype=np.int64), np.arange(size + 1))
         self.ahead = np.array([int(np.flatnonzero(items.hashes[i] == items.vocabulary[v])[0]) for v, i in by], dtype=np.int64)
-        self.items = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.items = (vectors @ left).astype(np.float32)
 
 
 def common_subsequence(item: list[bytes], words: list[bytes], least: float = 0) -> tuple[int, int]:
@@ -335,44 +350,45 @@ def _matches(items: Items, space: Space, data: np.ndarray, at: np.ndarray) -> li
         return found
     row = np.searchsorted(rows, place, side="right") - 1
     block = first[row] + (place - rows[row]) // STEP
-    which, sums = _sums(space.word, v, block)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(np.append(first, blocks)))
-    dense = np.zeros((blocks + SPAN, space.word.shape[1]), dtype=np.float32)
-    dense[which] = sums
-    # windows that begin at a block with such words, or up to SPAN - 1 blocks before it
-    begin = np.unique(np.concatenate([which - k for k in range(SPAN)]))
-    begin = begin[begin >= 0]
-    total = dense[begin].copy()
-    for k in range(1, SPAN):
-        same = (begin + k < blocks) & (owner[np.minimum(begin + k, blocks - 1)] == owner[begin])
-        total += dense[begin + k] * same[:, None]
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    cosine = (total / np.maximum(norm, 1e-12)) @ space.items.T
-    b, i = np.nonzero(cosine >= NEAR)
-    lo = rows[owner[begin[b]]] + (begin[b] - first[owner[begin[b]]]) * STEP
-    held = _held(items, place, v, i, np.maximum(rows[owner[begin[b]]], lo - items.sizes[i]), np.minimum(rows[owner[begin[b]] + 1], lo + STEP * SPAN + items.sizes[i]), b)
-    enough = held >= PARAPHRASED * items.sizes[i]
-    for b, i in zip(b[enough].tolist(), i[enough].tolist()):
-        r = int(owner[begin[b]])
-        held = found[r].get(i)
-        if held and held[0] >= 1.0:
+    words = lambda lo, hi: [data[x:y].tobytes().lower() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+    for low in range(0, blocks, SLICE):
+        part = slice(*np.searchsorted(block, [low, low + SLICE + SPAN - 1]))
+        if part.start == part.stop:
             continue
-        n = len(items.words[i])
-        lo = int(rows[r] + (begin[b] - first[r]) * STEP)
-        lo, hi = max(int(rows[r]), lo - n), min(int(rows[r + 1]), lo + STEP * SPAN + n)
+        which, sums = _sums(space.word, v[part], block[part])
+        dense = np.zeros((min(SLICE, blocks - low) + 2 * SPAN, space.word.shape[1]), dtype=np.float32)
+        dense[which - low] = sums
+        # windows that begin at a block with such words, or up to SPAN - 1 blocks before it
+        begin = np.unique(np.concatenate([which - k for k in range(SPAN)]))
+        begin = begin[(begin >= low) & (begin < low + SLICE)]
+        total = dense[begin - low].copy()
+        for k in range(1, SPAN):
+            same = (begin + k < blocks) & (owner[np.minimum(begin + k, blocks - 1)] == owner[begin])
+            total += dense[begin - low + k] * same[:, None]
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        cosine = (total @ space.items.T) / np.maximum(norm, 1e-12)
+        b, i = np.nonzero(cosine >= NEAR)
+        r = owner[begin[b]]
+        lo = rows[r] + (begin[b] - first[r]) * STEP
+        lo, hi = np.maximum(rows[r], lo - items.sizes[i]), np.minimum(rows[r + 1], lo + STEP * SPAN + items.sizes[i])
         # no subsequence is longer than the item's words that are there at all
-        there = items.counts[i].keys() & h[lo:hi].tolist()
-        if sum(items.counts[i][w] for w in there) < PARAPHRASED * n:
-            continue
-        words = [data[x:y].tobytes().lower() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-        share = leaks(items.words[i], items.answers[i], words)
-        if share and (not held or share > held[0]):
-            found[r][i] = (share, float(cosine[b, i]))
-    for r, i, lo, k in _verbatim(items, space, h, rows, row, place, v):
-        if i not in found[r] or found[r][i][0] < 1.0:
-            words = [data[x:y].tobytes().lower() for x, y in zip(starts[lo : lo + len(items.words[i])].tolist(), ends[lo : lo + len(items.words[i])].tolist())]
-            if share := leaks(items.words[i], items.answers[i], words):
-                found[r][i] = (share, float(cosine[np.searchsorted(begin, block[k]), i]))
+        enough = np.flatnonzero(_held(items, place, v, i, lo, hi, b) >= PARAPHRASED * items.sizes[i])
+        for r, b, i, lo, hi in zip(*(x[enough].tolist() for x in (r, b, i, lo, hi))):
+            held = found[r].get(i)
+            if held and held[0] >= 1.0:
+                continue
+            there = items.counts[i].keys() & h[lo:hi].tolist()
+            if sum(items.counts[i][w] for w in there) < PARAPHRASED * len(items.words[i]):
+                continue
+            share = leaks(items.words[i], items.answers[i], words(lo, hi))
+            if share and (not held or share > held[0]):
+                found[r][i] = (share, float(cosine[b, i]))
+        part = slice(part.start, int(np.searchsorted(block, low + SLICE)))
+        for r, i, lo, k in _verbatim(items, space, h, rows, row[part], place[part], v[part]):
+            if i not in found[r] or found[r][i][0] < 1.0:
+                if share := leaks(items.words[i], items.answers[i], words(lo, lo + len(items.words[i]))):
+                    found[r][i] = (share, float(cosine[np.searchsorted(begin, block[part.start + k]), i]))
     return found
 
 
@@ -397,25 +413,27 @@ def common_words(items: DataFrame, count: int) -> set[int]:
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """``docs`` with ``leaks``: array of struct<item_id, share, cosine> by item_id; empty for clean texts."""
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("i is not null and t is not null")
-    count = items.count()
-    parts = max(1, -(-count // ITEMS))
+    count, size = items.agg(F.count("*"), F.sum(F.length("t"))).first()
+    parts = max(1, -(-count // ITEMS), -(-(size or 0) // PART_BYTES))
     common = common_words(items, items.select("t").distinct().count()) if parts > 1 else None
-    out = docs
+    names = [c for c in docs.columns if c != "leaks"]
+    spot = names.index(text)
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").toArrow()
         own = Items(list(zip(rows["i"].to_pylist(), rows["t"].to_pylist())), common)
-        out = _marked(out, docs, own, text, f"_leaks{part}")
-    lists = [F.col(f"_leaks{p}") for p in range(parts)]
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.flatten(F.array(*lists))).alias("leaks"))
+        out = _marked(out, docs, own, text, f"c{spot}", f"leaks{part}")
+    lists = [F.col(f"leaks{p}") for p in range(parts)]
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.array_sort(F.flatten(F.array(*lists))).alias("leaks"))
 
 
-def _marked(df: DataFrame, docs: DataFrame, items: Items, text: str, name: str) -> DataFrame:
+def _marked(df: DataFrame, docs: DataFrame, items: Items, text: str, own: str, name: str) -> DataFrame:
     size = len(items.vocabulary)
     if not size:
         return df.withColumn(name, F.array().cast(MATCHES))
-    space = Space(items, sketch(docs, text, items, min(RANK, size, len(items.ids) + 32)))
+    space = Space(items, sketch(docs, text, items))
     out = T.StructType([*df.schema.fields, T.StructField(name, MATCHES)])
-    spot = df.columns.index(text)
+    spot = df.columns.index(own)
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,7 +55,8 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
         # workers live on between tasks: what they free goes back to the system
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+            libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD: smaller ones cost a page fault for every page of every array
+            libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
         yield from run(batches)
         if hasattr(libc, "malloc_trim"):
             libc.malloc_trim(0)

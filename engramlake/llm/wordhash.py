@@ -26,6 +26,8 @@ MARKS = np.ones(256, dtype=bool)
 MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Bytes of text worked on at once, unless one text is longer.
 CHUNK = 1_000_000
+#: Bytes of one text beyond which it is read in pieces.
+LONG = 1 << 22
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,7 +56,25 @@ def runs(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray
 
 
 def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, offsets of rows into the words); ``breaks``: bytes between words."""
+    """(hashes, starts, ends, offsets of rows into the words); ``breaks``: bytes between words.
+
+    Long texts are read in pieces of about LONG bytes that end at a break.
+    """
+    if len(data) > LONG:
+        cuts = [0]
+        while cuts[-1] < len(data):
+            end = cuts[-1] + LONG
+            while end < len(data) and not breaks[data[end : end + 4096]].any():
+                end += 4096
+            cuts.append(end + int(breaks[data[end : end + 4096]].argmax()) if end < len(data) else len(data))
+        if len(cuts) > 2:
+            made = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own = at[(at >= a) & (at <= b)] - a
+                h, starts, ends, _ = words(data[a:b], np.unique(np.concatenate([[0], own, [b - a]])), breaks)
+                made.append((h, starts + a, ends + a))
+            h, starts, ends = (np.concatenate(x) for x in zip(*made))
+            return h, starts, ends, np.searchsorted(starts, at)
     if not len(data):
         z = np.zeros(0, dtype=np.int64)
         return np.zeros(0, dtype=U), z, z, np.zeros(len(at), dtype=np.int64)
