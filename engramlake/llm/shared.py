@@ -106,5 +106,5 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_class: int | dict) -
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(label) == value, F.lit(min(1.0, (per_class if isinstance(per_class, int) else per_class[value]) / n))).otherwise(share)
+        share = F.when(F.col(label) == value, F.lit(min(1.0, (per_class if isinstance(per_class, int) else per_class.get(value, 0)) / n))).otherwise(share)
     return df.where(place < share)

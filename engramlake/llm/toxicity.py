@@ -3,25 +3,31 @@
 The kernel compares words by their common subsequences of four characters (a
 word's beginning counts as one), each step of which may pass over an inserted
 character, at a decay per character passed over (Lodhi et al., 2002, with bounded gaps); it is normalised
-by the weight of a word's own subsequences.  So ``i.d.i.o.t``, ``idiiot`` and,
-as runs of single letters count as one word, ``i d i o t`` stay near ``idiot``.
-A sentence scores as its strongest word and a text as its strongest sentence.
+by the weight of a word's own subsequences.  So ``idxiot`` and ``idiiot`` stay
+near ``idiot``, and a word on the toxic side is read with each of its characters
+passed over as well, for an inserted one.  Runs of single letters count as one word, and a word with marks
+or spaces between letters is read without them besides, so ``i d i o t``,
+``i.d.i.o.t`` and ``id*iot`` score as ``idiot``.  A text scores by its strongest
+word and by its third strongest (distinct ones), as a stem that clean texts may
+hold once is telling where it is met again and again.
 
 Training is multiple-instance: labels are of texts, so the words of toxic
 training texts whose letter n-grams are far more frequent there start as
 positive, words of clean texts are negative, and a linear SVM (squared hinge,
 Newton steps) over Nystrom features relabels the positive texts' words and is
-fitted again.  A logistic fit of the strongest word against the text's label
-calibrates scores, clean texts as a class weighing CLEAN times the toxic ones.
+fitted again.  Logistic fits of either strength against the text's label calibrate
+scores, clean texts as a class weighing CLEAN times the toxic ones, and the
+higher one counts.
 
 In scoring, landmarks and coefficients fold into one weight per subsequence
 feature, which is the same number; words are never Python objects.
 
 Learning uses a sample of about ``SAMPLE`` labelled texts outside the held-out
-fold; everything else covers all rows and
+fold, of each its distinct words; everything else covers all rows and
 whole texts.  Defined results: null, empty or wordless texts get the score of
 no evidence; rows without doc_id are not held out; repeated rows get equal
-scores; without both labels to learn from, every score is 0.
+scores; labels other than 0 and 1 are not learnt from; without both labels to
+learn from, every score is 0; columns named ``score`` and ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -47,16 +53,24 @@ LANDMARKS = 440
 CLEAN = 6.0
 #: Log-likelihood ratio that an n-gram's words need to start as positive.
 EVIDENCE = 16.0
-#: Decay per character passed over, steps up to this long, bytes of a word.
-DECAY, STEP, WORD = 0.8, 2, 32
-ROUNDS, COST, HARD = 6, 100.0, 1200
-_SYMBOLS = 32
+#: Gapped copies of each of the hundred most frequent positive words.
+GAPPED = 12
+#: How many times likelier than chance its texts must be toxic.
+ODDS = 6.0
+#: Decay per character passed over, steps up to this long, bytes of a word; longer ones are read in pieces that share LAP bytes.
+DECAY, STEP, WORD, LAP = 0.8, 2, 32, 16
+ROUNDS, COST, HARD = 6, 3.0, 1200
+#: Bytes of words scored at once.
+PART = 1 << 20
+_SYMBOLS = 40
 
 _CODE = np.full(256, 28, dtype=np.int32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[48:58] = 27
 # bytes beyond ASCII: upper and lower case of Latin letters differ in one bit
-_CODE[128:] = 29 + (np.arange(128, 256) | 0x20) % 3
+_CODE[128:] = 29 + (np.arange(128, 256) | 0x20) % 11
+#: All ASCII bytes but letters.
+_MARKS = bytes(k for k in range(128) if not chr(k).isalpha())
 _STEPS = list(itertools.product(range(1, STEP + 1), repeat=3))
 _OWN = np.array([sum(max(0, n - sum(d)) * DECAY ** (2 * (sum(d) - 3)) for d in _STEPS) for n in range(WORD + 2)])
 _NORM = np.sqrt(np.maximum(_OWN, 1e-12))
@@ -66,7 +80,7 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """Starts and ends of the words to score, and offsets of rows into them.
 
     Words end at white space; three or more words of one byte in a row are one;
-    words beyond WORD bytes are cut.
+    words beyond WORD bytes are cut into pieces that overlap.
     """
     _, starts, ends, rows = W.words(data, at)
     if not len(starts):
@@ -84,11 +98,11 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         last = np.append(np.flatnonzero(head)[1:], len(starts)) - 1
         starts, ends, row = starts[head], ends[last], row[head]
         size = ends - starts
-    pieces = -(-size // WORD)
+    pieces = np.maximum(1, -(-(size - LAP) // (WORD - LAP)))
     if (pieces > 1).any():
         which = np.repeat(np.arange(len(starts)), pieces)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, row, ends = starts[which] + nth * WORD, row[which], ends[which]
+        starts, row, ends = starts[which] + nth * (WORD - LAP), row[which], ends[which]
         ends = np.minimum(ends, starts + WORD)
     return starts, ends, np.searchsorted(row, np.arange(len(at)))
 
@@ -116,10 +130,7 @@ def features(code: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield at, ids, DECAY ** (a + b + c - 3)
 
 
-def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The kernel expansion of each word, folded into ``weights``."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.float32)
+def _scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
     code, left, first = packed(data, starts, ends)
     total = np.zeros(len(code), dtype=np.float32)
     for at, ids, w in features(code, left):
@@ -127,6 +138,34 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights:
     return np.add.reduceat(total, first) / _NORM[ends - starts + 1].astype(np.float32)
 
 
+def _parted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words have something other than letters between letters."""
+    size = ends - starts
+    first = np.cumsum(size) - size
+    b = data[np.arange(int(size.sum())) - np.repeat(first - starts, size)]
+    letter = ((b | 0x20) >= 97) & ((b | 0x20) <= 122) | (b >= 128)
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    begins[first] = letter[first]
+    return np.add.reduceat(begins, first, dtype=np.int64) > 1
+
+
+def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The kernel expansion of each word, folded into ``weights``."""
+    out = np.zeros(len(starts), dtype=np.float32)
+    size = np.cumsum(ends - starts)
+    cuts = np.unique(np.searchsorted(size, np.arange(0, int(size[-1]) if len(size) else 0, PART)).tolist() + [len(starts)])
+    for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+        if lo == hi:
+            continue
+        a, z = starts[lo:hi], ends[lo:hi]
+        out[lo:hi] = _scores(data, a, z, weights)
+        if len(parted := np.flatnonzero(_parted(data, a, z))):
+            bare = [bytes(data[x:y]).translate(None, _MARKS) for x, y in zip(a[parted].tolist(), z[parted].tolist())]
+            out[lo + parted] = np.maximum(out[lo + parted], _scores(*_joined(bare), weights))
+    return out
+
+
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum([len(w) + 1 for w in words])
     return np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8), ends - [len(w) for w in words], ends
@@ -177,10 +216,16 @@ def _apart(bags: list[list[bytes]]) -> list[int]:
     return out
 
 
-def _words(text: bytes) -> list[bytes]:
+def bag(text: bytes) -> list[bytes]:
+    """Its distinct words as they are scored, in lower case."""
     data = np.frombuffer(text, dtype=np.uint8)
     starts, ends, _ = spans(data, np.array([0, len(data)]))
-    return [text[a:b].lower().strip(b".,;:!?\"'()") for a, b in zip(starts.tolist(), ends.tolist())]
+    return sorted({text[a:b].lower() for a, b in zip(starts.tolist(), ends.tolist())})
+
+
+def _plain(words: list[bytes]) -> list[bytes]:
+    """Words without punctuation about them."""
+    return sorted({w.strip(b".,;:!?\"'()") for w in words} - {b""})
 
 
 def _grams(word: bytes) -> list[bytes]:
@@ -190,10 +235,7 @@ def _grams(word: bytes) -> list[bytes]:
 
 
 def _gapped(word: bytes, rng: np.random.Generator) -> bytes:
-    """A copy with an inserted mark or letter, or marks throughout."""
-    mark = bytes([rng.choice(list(b".*-_ "))])
-    if rng.random() < 0.5:
-        return mark.join(word[i : i + 1] for i in range(len(word)))[:WORD]
+    """A copy with an inserted mark or letter."""
     k = int(rng.integers(1, max(2, len(word))))
     return (word[:k] + bytes([rng.choice(list(b".*-xaeiou"))]) + word[k:])[:WORD]
 
@@ -229,17 +271,30 @@ def _logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
+def _tops(scores: np.ndarray, rows: np.ndarray, none: float) -> np.ndarray:
+    """(strongest, third strongest) of the distinct scores of each row; ``none`` where there are fewer."""
+    out = np.full((len(rows) - 1, 3), none)
+    some = np.flatnonzero(np.diff(rows))
+    rest = scores.astype(np.float64)
+    for k in range(3):
+        if len(some):
+            out[some, k] = np.maximum(np.maximum.reduceat(rest, rows[some]), none)
+            rest = np.where(rest >= np.repeat(out[:, k], np.diff(rows)) - 1e-6, -np.inf, rest)
+    return out[:, [0, 2]]
+
+
 class Model:
     """Weights of subsequence features, a bias and a calibration; some hundred KB whatever the input."""
 
-    def __init__(self, texts: list[bytes], toxic: list[int], seed: int = 6):
+    def __init__(self, bags: list[list[bytes]], toxic: list[int], seed: int = 6):
+        """``bags``: the words of each labelled text, as ``bag`` gives them."""
         rng = np.random.default_rng(seed)
         y = np.array(toxic)
-        hot = [sorted(set(_words(texts[k])) - {b""}) for k in np.flatnonzero(y == 1)]
+        hot = [_plain(bags[k]) for k in np.flatnonzero(y == 1)]
         hot = [hot[k] for k in _apart(hot)]
         other: dict[bytes, int] = {}  # words of clean texts, and in how many
         for k in np.flatnonzero(y == 0):
-            for w in set(_words(texts[k])) - {b""}:
+            for w in _plain(bags[k]):
                 other[w] = other.get(w, 0) + 1
         calm = int((y == 0).sum())
         # n-grams of words: in how many toxic and clean texts
@@ -264,7 +319,7 @@ class Model:
         chosen = set()
         for g, n in seen.items():
             c = clean.get(g, 0)
-            if n / (n + c) > rate and n * (1 - rate) >= 9 * c * rate:
+            if n / (n + c) > rate and n * (1 - rate) >= ODDS * c * rate:
                 ratio = n * np.log(n / (n + c) / rate) + (c * np.log(c / (n + c) / (1 - rate)) if c else 0.0)
                 if ratio >= EVIDENCE:
                     chosen.add(g)
@@ -280,7 +335,7 @@ class Model:
         if rest:
             negative += [rest[i] for i in rng.choice(len(rest), min(4000, len(rest)), replace=False)]
         self.put(np.zeros(0, dtype=np.int64), np.zeros(0), -1.0)
-        self.line = (0.0, -5.0)
+        self.lines = ((0.0, -5.0),) * 2
         negative = list(dict.fromkeys(negative))
         hard: list[bytes] = []
         if positive and negative:
@@ -295,7 +350,7 @@ class Model:
                 values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
                 good = values > 1e-5 * values.max()
                 fold = z @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-                yes = positive + [_gapped(w, rng) for _ in range(min(20, max(1, 600 // len(positive)))) for w in positive[:600]]
+                yes = positive + [_gapped(w, rng) for k, w in enumerate(positive[:600]) for _ in range(GAPPED if k < 100 else 2)]
                 no = negative + hard + [_gapped(w, rng) for w in negative[:600]]
                 x = nystrom([w[:WORD] for w in yes + no], known, fold)
                 target = np.array([1.0] * len(yes) + [-1.0] * len(no))
@@ -309,9 +364,9 @@ class Model:
                 kept = self.of_words(positive)
                 positive = [w for w, s in zip(positive, kept.tolist()) if s > -0.5] or positive
         pos, neg = int((y == 1).sum()), int((y == 0).sum())
-        strongest = self.strongest(pa.array(texts, pa.binary()))
+        tops = np.concatenate([np.zeros((0, 2)), *(self.tops(*_joined(b), np.array([0, len(b)])) if b else np.full((1, 2), self.bias) for b in bags)])
         per = np.where(y == 1, 0.5 / max(1, pos), CLEAN * 0.5 / max(1, neg)) * len(y)
-        self.line = _logistic(np.clip(strongest, -3, 3), y.astype(float), per)
+        self.lines = tuple(_logistic(np.clip(tops[:, k], -3, 3), y.astype(float), per) for k in range(2))
 
     def put(self, known: np.ndarray, values: np.ndarray, bias: float) -> None:
         self.known, self.values, self.bias = known, values.astype(np.float32), bias
@@ -319,11 +374,11 @@ class Model:
         self.weights[known] = self.values
 
     def __getstate__(self) -> tuple:
-        return self.known, self.values, self.bias, self.line
+        return self.known, self.values, self.bias, self.lines
 
     def __setstate__(self, state: tuple) -> None:
         self.put(*state[:3])
-        self.line = state[3]
+        self.lines = state[3]
 
     def of_words(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -331,42 +386,49 @@ class Model:
         part = 5_000
         return np.concatenate([word_scores(*_joined([w[:WORD] for w in words[k : k + part]]), self.weights) for k in range(0, len(words), part)]) + self.bias
 
-    def strongest(self, column: pa.Array) -> np.ndarray:
-        """The strongest word's decision value of each text; the bias if it has none."""
-        out = np.full(len(column), self.bias, dtype=np.float64)
-        for row, data, at in W.runs(column):
-            starts, ends, rows = spans(data, at)
-            scores = word_scores(data, starts, ends, self.weights) + self.bias
-            some = np.flatnonzero(np.diff(rows))
-            if len(some):
-                out[row + some] = np.maximum.reduceat(scores, rows[some])
-        return out
+    def tops(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The strongest and the third strongest word's decision value of each row; the bias if it has none."""
+        own = word_scores(data, starts, ends, self.weights) + self.bias
+        near = np.flatnonzero((own > 0) & (ends - starts > 4))
+        if len(near):
+            words = [bytes(data[a:b]) for a, b in zip(starts[near].tolist(), ends[near].tolist())]
+            less = [w[:k] + w[k + 1 :] for w in words for k in range(len(w))]
+            size = np.array([len(w) for w in words])
+            own[near] = np.maximum(own[near], np.maximum.reduceat(word_scores(*_joined(less), self.weights), np.cumsum(size) - size) + self.bias)
+        return _tops(own, rows, self.bias)
 
     def score(self, column: pa.Array) -> np.ndarray:
-        slope, intercept = self.line
-        return 1 / (1 + np.exp(-np.clip(slope * np.clip(self.strongest(column), -3, 3) + intercept, -30, 30)))
+        tops = [np.zeros((0, 2)), *(self.tops(data, *spans(data, at)) for _, data, at in W.runs(column))]
+        slopes, intercepts = np.array(self.lines).T
+        both = np.clip(np.concatenate(tops), -3, 3) * np.maximum(slopes, 0) + intercepts
+        return 1 / (1 + np.exp(-np.clip(both.max(axis=1), -30, 30)))
 
 
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id") -> Model | None:
     """A model of rows with a text and a 0/1 label, or None without both labels."""
-    rows = bounded_sample(labelled.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()), toxic, key, SAMPLE)
-    rows = rows.select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    rows = bounded_sample(labelled.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()), toxic, key, SAMPLE)
+    rows = rows.select(F.col(key).cast("string").alias("k"), F.col(toxic).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([bag(t) for t in batch.column(2).to_pylist()], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["k", "y", "words"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         labels = [y for _, y, _ in found]
         if {0, 1} <= set(labels):
-            made = pickle.dumps(Model([t for _, _, t in found], labels))
+            made = pickle.dumps(Model([w for _, _, w in found], labels))
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     # the sample is bounded: one task trains, and only the model comes to the driver
-    made = arrow_map(rows.repartition(1), train, "model binary").toArrow()["model"].to_pylist()
+    made = arrow_map(arrow_map(rows, bags, "k string, y int, words array<binary>").repartition(1), train, "model binary").toArrow()["model"].to_pylist()
     return pickle.loads(made[0]) if made else None
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` (without the text, unless kept) and ``score``, ``predicted``.  A narrow step."""
-    names = [c for c in df.columns if keep_text or c != text]
+    names = [c for c in df.columns if (keep_text or c != text) and c not in ("score", "predicted")]
     schema = df.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,13 +441,13 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: boo
 
 def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that have a label and lie outside the held-out fold."""
-    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").where(~held_out("doc_id", 5, 0)).dropDuplicates(["doc_id"])
+    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic in (0, 1)").where(~held_out("doc_id", 5, 0)).dropDuplicates(["doc_id"])
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
 def fit_tables(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model | None:
     """Chooses the sample among labels first, so that only its texts are read on."""
-    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out("doc_id", 5, 0))
+    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id", 5, 0))
     chosen = bounded_sample(known.dropDuplicates(["doc_id"]), "toxic", "doc_id", SAMPLE)
     # about the numbers in SAMPLE, each a pair of numbers: small enough for every executor
     return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
