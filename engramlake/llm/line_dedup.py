@@ -7,15 +7,17 @@ back after an insertion.  A chunk of two or more lines that is not blank and
 whose hash occurs before (smallest doc_id, then place) is compared byte by byte
 with that first occurrence and, if equal, removed.
 
-Plan.  Hashes of chunks (not texts) are grouped with a map-side minimum and
-joined back, so a hot chunk is pre-aggregated and its join is one that AQE
-splits.  Texts are dealt once, by doc_id, and only repeated chunks are dealt
-again, by hash, for the comparison.
+Plan.  Hashes of chunks (not texts) are written once and grouped with a map-side
+minimum; the few chunks that hold a two-thousandth of all rows or more are joined back
+by broadcast, the others dealt.  Texts are dealt once, by doc_id, and only
+repeated chunks are dealt again, by hash, for the comparison; a chunk met more
+than ``SALT`` times goes to as many tasks as hold ``SALT`` each.
 
 Defined results: a null text stays null and has no lines; an empty text is one
 empty line; rows without doc_id stay as they are and count as no occurrence;
-rows with one doc_id are one document; other columns are untouched (their names
-may be anything but ``kept_text``, ``n_lines``, ``n_chunks``, ``lines_removed``).
+rows of one doc_id are documents of their own, in order of a hash of their
+texts, but equal rows get equal results; other columns are untouched, but those named
+``kept_text``, ``n_lines``, ``n_chunks`` or ``lines_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.shared import table
+from engramlake.llm.shared import join_counted, materialize, table
 
 WINDOW, DIVISOR, BASE, MODULUS = 2, 3, 31, 1 << 31
+#: Occurrences of a chunk that are compared in one task.
+SALT = 1000
+ADDED = ("kept_text", "n_lines", "n_chunks", "lines_removed")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -54,35 +59,39 @@ def _content(c: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines``, ``n_chunks`` and ``lines_removed``."""
-    own = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t"))
-    cut = _chunked(own.where("_d is not null and _t is not null"), "_t")
-    parts = cut.select("_d", "_lines", F.posexplode("_chunks").alias("pos", "c")).where("c.n > 1").select("_d", "pos", _content(F.col("c")).alias("content"))
+    names = [c for c in docs.columns if c not in ADDED]
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    own = held.select(F.col(f"c{names.index(key)}").alias("_d"), F.col(f"c{names.index(text)}").alias("_t")).where("_d is not null and _t is not null")
+    own = own.withColumn("_r", F.xxhash64("_t"))
+    here = F.struct("_d", "_r", "pos")
+    parts = _chunked(own, "_t").select("_d", "_r", "_lines", F.posexplode("_chunks").alias("pos", "c")).where("c.n > 1").select("_d", "_r", "pos", _content(F.col("c")).alias("content"))
     parts = parts.where(F.trim(F.translate("content", "\n\t\r", "")) != "")
-    light = parts.select("_d", "pos", F.xxhash64("content").alias("h"), F.length("content").alias("w"))
-    first = light.groupBy("h", "w").agg(F.min(F.struct("_d", "pos")).alias("first"), F.max(F.struct("_d", "pos")).alias("last")).where("first <> last")
-    marked = light.join(first.select("h", "w", "first"), ["h", "w"])
-    marked = marked.groupBy("_d").agg(F.collect_set(F.struct("pos", "h", "w", "first")).alias("marks"))
+    light = materialize(parts.select("_d", "_r", "pos", F.xxhash64("content").alias("h"), F.length("content").alias("w")), "chunks")
+    first = light.groupBy("h", "w").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    marked = join_counted(light, first, ["h", "w"], light.count())
+    marked = marked.groupBy("_d", "_r").agg(F.collect_set(F.struct("pos", "h", "w", "first", "n")).alias("marks"))
     # only repeated chunks' contents go on
-    again = _chunked(own.where("_d is not null and _t is not null").join(marked, "_d"), "_t")
-    again = again.select("_d", "_lines", "_chunks", F.explode("marks").alias("m")).select(
-        "_d", "m.*", _content(F.element_at("_chunks", F.col("m.pos") + 1)).alias("content")
+    again = _chunked(own.dropDuplicates(["_d", "_r"]).join(marked, ["_d", "_r"]), "_t")
+    again = again.select("_d", "_r", "_lines", "_chunks", F.explode("marks").alias("m")).select(
+        "_d", "_r", "m.*", _content(F.element_at("_chunks", F.col("m.pos") + 1)).alias("content")
     )
-    leads = again.where((F.col("_d") == F.col("first._d")) & (F.col("pos") == F.col("first.pos"))).select("h", "w", F.col("content").alias("lead")).dropDuplicates(["h", "w"])
-    rest = again.where((F.col("_d") != F.col("first._d")) | (F.col("pos") != F.col("first.pos")))
-    equal = rest.join(leads, ["h", "w"]).where(F.col("content").cast("binary") == F.col("lead").cast("binary"))
-    gone = equal.groupBy("_d").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.withColumnRenamed("_d", "_k")
-    out = _chunked(docs.join(gone, docs[key] == gone["_k"], "left").drop("_k"), text)
+    salts = F.ceil(F.col("n") / SALT).cast("int")
+    leads = again.where(here == F.col("first")).select("h", "w", F.col("content").alias("lead"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rest = again.where(here != F.col("first")).withColumn("salt", F.pmod(F.xxhash64("_d", "_r", "pos"), salts).cast("int"))
+    equal = rest.join(leads, ["h", "w", "salt"]).where(F.col("content").cast("binary") == F.col("lead").cast("binary"))
+    gone = equal.groupBy("_d", "_r").agg(F.collect_set("pos").alias("_gone"))
+    body = F.col(f"c{names.index(text)}")
+    out = _chunked(held.withColumn("_d", F.col(f"c{names.index(key)}")).withColumn("_r", F.xxhash64(body)).join(gone, ["_d", "_r"], "left"), f"c{names.index(text)}")
     out = _once(out, "_keep", F.filter("_chunks", lambda c, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))))
     out = _once(out, "_left", F.aggregate("_keep", F.lit(0), lambda n, c: n + c["n"]))
-    none = F.col(text).isNull()
+    none = body.isNull()
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(none, F.lit(None)).when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(F.transform("_keep", lambda c: F.slice("_lines", c["s"], c["n"]))), "\n")).alias("kept_text"),
-        F.when(none, 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size("_chunks")).cast("long").alias("n_chunks"),
-        F.when(none, 0).otherwise(F.size("_lines") - F.col("_left")).cast("long").alias("lines_removed"),
-    )
+        *[f"c{k}" for k in range(len(names))],
+        F.when(none, F.lit(None)).when(F.col("_gone").isNull(), body).otherwise(F.array_join(F.flatten(F.transform("_keep", lambda c: F.slice("_lines", c["s"], c["n"]))), "\n")).alias("a0"),
+        F.when(none, 0).otherwise(F.size("_lines")).cast("long").alias("a1"),
+        F.when(none, 0).otherwise(F.size("_chunks")).cast("long").alias("a2"),
+        F.when(none, 0).otherwise(F.size("_lines") - F.col("_left")).cast("long").alias("a3"),
+    ).toDF(*names, *ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage
     that survives the loss of executors, and columns that can be pruned."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the written table replaces
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Keys that hold a HOT-th of all rows or more are hot; there are at most HOT of them.
+HOT = 2000
+
+
+def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``known``, which has one row a key and says how many of
+    the ``total`` rows the key holds at most.
+
+    The hot keys are few whatever the input, so they are broadcast; the others are
+    dealt, and no task gets more than a HOT-th of the rows by one key.
+    """
+    least = max(1000, -(-total // HOT))
+    hot = F.broadcast(known.where(F.col(count) >= least))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(known.where(F.col(count) < least), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
@@ -68,25 +94,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     """Connected components of an edge table: (node, component), smallest id first.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014): every
-    step is an aggregate (with map-side combine) and an equi-join, so neither a
-    large component nor a hub node is gathered in one task, and nothing but two
-    sums per round reaches the driver.  Nodes without edges are not returned.
+    step is an aggregate (with map-side combine) and an equi-join whose hub nodes
+    are broadcast, so neither a large component nor a hub node is gathered in one
+    task, and nothing but two sums per round reaches the driver.  The folder of a
+    round goes when the next is written.  Nodes without edges are not returned.
     """
-    cur = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc-edges"
-    )
-    seen = None
+    spark = edges.sparkSession
+    cur, path = _written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc-edges")
+    count, seen = cur.count(), None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        cur = materialize(small.where("u <> v").distinct(), "cc-edges")
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        star = join_counted(both.where("v > u"), low, ["u"], 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_counted(star, low, ["u"], 2 * count).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        old = path
+        cur, path = _written(small.where("u <> v").distinct(), "cc-edges")
+        _remove(spark, old)
+        count, total = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (count, total) == seen:
             break
-        seen = tuple(state)
+        seen = count, total
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # every node now points at its component's smallest node

@@ -68,6 +68,35 @@ def test_repeated_and_keyless_rows(spark):
     assert out == [(-1, True, False), (1, True, False), (1, True, False), (2, False, True)]
 
 
+def test_rows_of_one_id_and_clashing_names(spark):
+    head, tail = (chr(10).join(f"{x} line {k}" for k in range(12)) for x in ("first", "second"))
+    rows = [(1, head, 7), (1, head + chr(10) + tail, 8), (1, tail, 9), (2, tail, 9), (3, None, 9)]
+    names = ["_lines", "_h", "_chunks", "_gone", "_k", "_d", "_t", "_r", "pos", "salt", "n_lines", "kept_text", "c0"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int").selectExpr("doc_id", "text", "x", *[f"x as {n}" for n in names])
+    out = L.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "x", *[n for n in names if n not in L.ADDED], *L.ADDED]
+    got = out.collect()
+    assert len(got) == 5 and all(r["_lines"] == r.x and r.c0 == r.x for r in got)
+    # each chunk of two lines or more stays once
+    for text in (head, tail):
+        for c in {c for c in chunks(text) if chr(10) in c}:
+            assert sum(c in chunks(r.kept_text or "") for r in got) == 1
+    assert not [c for r in got if r.doc_id == 2 for c in chunks(r.kept_text) if chr(10) in c]
+    assert out.select("x").collect() and L.dedup_lines(df).orderBy("doc_id", "x").select("kept_text").collect() == out.orderBy("doc_id", "x").select("kept_text").collect()
+
+
+def test_hot_chunks_in_parts(spark, monkeypatch):
+    from engramlake.llm import shared
+
+    rng = random.Random(4)
+    hot = chr(10).join(f"every one holds this {k}" for k in range(9))
+    rows = [(d, chr(10).join(f"own {d} {rng.random()}" for _ in range(3)) + chr(10) + hot) for d in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(L, "SALT", 40)
+    monkeypatch.setattr(shared, "HOT", 2)
+    assert {r.doc_id: r.kept_text for r in L.dedup_lines(df).collect()} == brute(rows)
+
+
 def test_only_native_nodes(spark):
     plan = L.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
