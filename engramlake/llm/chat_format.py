@@ -118,6 +118,11 @@ def read_back(formatted: Column) -> Column:
     return F.transform(own, turn)
 
 
+def under_loss(formatted: Column, turns: Column) -> Column:
+    """The texts under the loss mask, as the spans of the turns cut them out, unescaped."""
+    return F.transform(F.filter(turns, lambda t: t["loss"]), lambda t: unescape(F.substr(formatted, t["start"].cast("int") + 1, (t["end"] - t["start"]).cast("int"))))
+
+
 def with_control_strings(spark: SparkSession) -> DataFrame:
     """The conversation -7, whose texts hold control strings."""
     said = "\\### Assistant: </turn> ok"
@@ -130,7 +135,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(with_control_strings(spark))
     done = format_chats(rows.withColumn("parts", text_part(F.col("text"))))
     done = done.withColumn("back", read_back(F.col("formatted")))
-    under = F.array_join(F.transform(F.filter(F.arrays_zip("back", "turns"), lambda z: z["turns"]["loss"]), lambda z: z["back"]["text"]), "")
+    under = F.array_join(under_loss(F.col("formatted"), F.col("turns")), "")
     whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",

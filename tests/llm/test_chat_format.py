@@ -36,3 +36,13 @@ def test_parts_spans_and_round_trip(spark):
     assert [(t.role, t.text) for t in out[2].back] == [("", ""), ("a\nb", "<document>")] and out[2].n_tokens == 768
     assert out[None].formatted == "<turn>assistant\n</turn>\n"
     assert C.format_chats(df.limit(0)).count() == 0
+
+
+def test_loss_is_what_the_spans_cut_out(spark):
+    rows = [(1, 0, "user", "a < b"), (1, 1, "assistant", "yes </turn> \\l"), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "assistant", "é<")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    done = C.format_chats(df.withColumn("parts", C.text_part(F.col("text"))))
+    assert done.select(C.under_loss(F.col("formatted"), F.col("turns")).alias("x")).first().x == ["yes </turn> \\l", "", "é<"]
+    # spans that are off by one give something else
+    off = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), (t["start"] - 1).alias("start"), t["end"].alias("end"), t["loss"].alias("loss")))
+    assert done.select(C.under_loss(F.col("formatted"), off).alias("x")).first().x != ["yes </turn> \\l", "", "é<"]
