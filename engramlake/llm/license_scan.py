@@ -11,12 +11,15 @@ unique there need not be unique in the whole text.
 
 A template is aligned only if enough of its words occur in the text for the
 coverage asked for, which no alignment could reach otherwise; so the filter
-loses nothing.  After a finding the search goes on before and behind it.
+loses nothing.  After a finding the search goes on before and behind it, within
+a block of the text: long texts are read left to right in blocks, each from
+where the last finding ended, so their cost grows with their length alone.
 
 Scanning is a narrow step over whole texts; templates are a constant of some
 kilobytes.  Defined results: null, empty or wordless texts have no findings;
 equal coverage goes to the earlier, then the first template by name; repeated
-rows repeat their findings; other columns are untouched.
+rows repeat their findings; other columns are untouched, but one named
+``licenses`` is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import types as T
 from engramlake.llm.shared import arrow_map, table
 
 COVERAGE = 0.8
+#: Words of a block, in lengths of the longest stretch.
+BLOCKS = 4
 _WORD = re.compile(r"[^\W_]+")
 
 #: Fixed texts of public licenses and of their usual notices.
@@ -44,6 +49,19 @@ TEMPLATES = {
         on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
         the specific language governing permissions and limitations under the License.""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+        ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
         this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
@@ -60,6 +78,13 @@ TEMPLATES = {
         General Public License for more details.""",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+        SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    "ISC-permission": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation
@@ -67,7 +92,16 @@ TEMPLATES = {
         to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
         copyright notice and this permission notice shall be included in all copies or substantial portions of the
         Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
-        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+        IN THE SOFTWARE.""",
+    "MIT-permission": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software.""",
     "MIT-notice": "Released under the MIT License",
     "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
         MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
@@ -195,11 +229,9 @@ def best_match(template: list[str], words: list[str]) -> tuple[float, int, int]
 _PLAIN = {name: [w.lower() for w in _WORD.findall(t)] for name, t in sorted(TEMPLATES.items())}
 
 
-def findings(text: str, templates: dict[str, list[str]] = _PLAIN, least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, start, end) by start: stretches apart from each other, in code points."""
-    marks = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in marks]
-    out: list[tuple[str, float, int, int]] = []
+def _findings(words: list[str], templates: dict[str, list[str]], least: float) -> list[tuple[int, int, str, float]]:
+    """(first word, end, license, coverage) of stretches apart from each other, in order."""
+    out = []
     todo = [(0, len(words))]
     while todo:
         lo, hi = todo.pop()
@@ -211,14 +243,33 @@ def findings(text: str, templates: dict[str, list[str]] = _PLAIN, least: float =
                 tried.append((-len(t) * m[0], m[1], name, m))
         if tried:
             _, _, name, (share, a, b) = min(tried)
-            out.append((name, round(share, 6), marks[lo + a][0], marks[lo + b - 1][1]))
+            out.append((lo + a, lo + b, name, round(share, 6)))
             todo += [(lo, lo + a), (lo + b, hi)]
-    return sorted(out, key=lambda f: (f[2], f[0]))
+    return sorted(out)
+
+
+def findings(text: str, templates: dict[str, list[str]] = _PLAIN, least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, start, end) by start: stretches apart from each other, in code points."""
+    marks = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in marks]
+    reach = max((len(t) * 3 // 2 + 10 for t in templates.values()), default=0)
+    out: list[tuple[int, int, str, float]] = []
+    lo = 0
+    while lo < len(words):
+        hi = min(len(words), lo + BLOCKS * reach)
+        here = [(lo + a, lo + b, name, share) for a, b, name, share in _findings(words[lo:hi], templates, least)]
+        # what comes near the end may go on behind it: the next block has it whole
+        sure = [f for f in here if f[1] <= hi - reach or hi == len(words)]
+        out += sure
+        if hi == len(words):
+            break
+        lo = max([hi - 2 * reach, *(b for _, b, _, _ in sure)])
+    return [(name, share, marks[a][0], marks[b - 1][1]) for a, b, name, share in out]
 
 
 def scan(df: DataFrame, text: str = "text", least: float = COVERAGE) -> DataFrame:
     """``df`` without the text and with ``licenses``: array of struct<license, coverage, start, end>."""
-    names = [c for c in df.columns if c != text]
+    names = [c for c in df.columns if c not in (text, "licenses")]
     kind = T.ArrayType(T.StructType.fromDDL("license string, coverage double, start int, end int"))
     out = T.StructType([df.schema[c] for c in names] + [T.StructField("licenses", kind)])
     arrow = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))

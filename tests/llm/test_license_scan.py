@@ -85,3 +85,14 @@ def test_copies_close_together():
     text = "some words before " * 4 + f"{notice} {notice} " + "and many other words after that " * 6
     found = [text[a:b] for _, _, a, b in L.findings(text)]
     assert [f.lower().rstrip(".") for f in found] == ["all rights reserved"] * 2
+
+
+def test_long_texts_in_blocks():
+    rng = random.Random(6)
+    noise = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    # repeated notices, and whole licenses wherever blocks end
+    assert len(L.findings("All rights reserved. " * 3000)) == 3000
+    reach = max(len(t) for t in L._PLAIN.values()) * 3 // 2 + 10
+    for before in range(L.BLOCKS * reach - 320, L.BLOCKS * reach + 30, 35):
+        text = noise(before) + " " + L.TEMPLATES["MIT"] + " " + noise(200) + " " + L.TEMPLATES["MIT-notice"] + " " + noise(3 * reach)
+        assert [f[0] for f in L.findings(text)] == ["MIT", "MIT-notice"], before
