@@ -14,7 +14,8 @@ row: each set of a bucket is tied to the bucket's smallest set, so a bucket
 gives a row per member, never its pairs.  Sets that can be similar are thus in
 one cluster of tied sets.  A cluster is compared in cells of bounded size: a
 small one whole, a larger one by size bands and salted blocks, each pair of
-blocks that can hold links in a cell of its own.  In a cell, pairs that links
+blocks that can hold links in a cell of its own.  In a cell, the pairs that
+share a signature are met, once however many they share; pairs that links
 already join are skipped, a lower bound of the difference (from counts of the
 sets' hashes in 64 bins) drops most others, and the rest are verified exactly;
 only a spanning forest of links leaves it.  No link between components is lost.
@@ -203,36 +204,82 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(many)
 
 
+#: Sets of a bucket up to which its pairs are listed at once; pairs bounded at once.
+FEW, PAIRS = 12, 1 << 16
+
+
+def _buckets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sets that share a signature: the distinct pairs (as two columns) of small
+    buckets, and the members of each large one; buckets of the same sets count once."""
+    signed = [signatures(u, percent) for u in sets]
+    sig, own = np.concatenate(signed), np.repeat(np.arange(len(sets)), [len(x) for x in signed])
+    order = np.argsort(sig, kind="stable")
+    sig, own = sig[order], own[order]
+    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(head, len(sig)))
+    if not len(head):
+        return np.zeros((0, 2), dtype=np.int64), []
+    with np.errstate(over="ignore"):
+        same = np.add.reduceat(W.mix(own.astype(U) + U(1)), head)
+    once = np.unique(same, return_index=True)[1]
+    head, size = head[once], size[once]
+    listed = []
+    for d in range(1, FEW):
+        for k in range(FEW - d):
+            at = head[(size > k + d) & (size <= FEW)] + k
+            listed.append(own[at] * len(sets) + own[at + d])
+    pairs = np.unique(np.concatenate(listed))
+    large = sorted(((n, h) for n, h in zip(size.tolist(), head.tolist()) if n > FEW))
+    return np.stack([pairs // len(sets), pairs % len(sets)], axis=1), [own[h : h + n] for n, h in large]
+
+
 def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple]:
-    """A spanning forest of the links between sets of a cell, as pairs of ids."""
-    count = len(sets)
+    """A spanning forest of the links between sets of a cell, as pairs of ids.
+
+    Only sets that share a signature are compared, and of them only those that
+    links do not join already.
+    """
     sizes = np.array([len(u) for u in sets], dtype=np.int64)
-    bins = np.zeros((count, 64), dtype=np.int32 if sizes.max(initial=0) > 30_000 else np.int16)
+    bins = np.zeros((len(sets), 64), dtype=np.int32 if sizes.max(initial=0) > 30_000 else np.int16)
     for k, u in enumerate(sets):
         bins[k] = np.bincount((u >> U(58)).astype(np.int64), minlength=64)
-    comp = np.arange(count)
+    comp = np.arange(len(sets))
+    members = [[k] for k in range(len(sets))]
     two = sides.any()
     found = []
-    for i in range(count - 1):
-        with_i = comp[i + 1 :] != comp[i]
-        if two:
-            with_i &= sides[i + 1 :] != sides[i]
-        at = np.flatnonzero(with_i) + i + 1
-        if not len(at):
-            continue
+
+    def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of pairs not joined, across sides, whose difference may be small enough."""
+        at = np.flatnonzero((comp[i] != comp[j]) & ((sides[i] != sides[j]) | (not two)))
         # |difference| <= (100 - percent) / (100 + percent) * (sum of sizes) for links
-        apart = np.abs(bins[at] - bins[i]).sum(axis=1)
-        at = at[(100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[i])]
-        for j in at.tolist():
-            if comp[i] == comp[j]:
-                continue
-            u, v = sets[i], sets[j]
-            at_v = np.searchsorted(v, u)
-            at_v[at_v == len(v)] = 0
-            both = int((v[at_v] == u).sum())
-            if 100 * both >= percent * (len(u) + len(v) - both):
-                found.append((ids[i], ids[j]))
-                comp[comp == comp[j]] = comp[i]
+        apart = np.abs(bins[i[at]] - bins[j[at]]).sum(axis=1)
+        return at[(100 + percent) * apart <= (100 - percent) * (sizes[i[at]] + sizes[j[at]])]
+
+    def meet(i: int, j: int) -> None:
+        if comp[i] == comp[j]:
+            return
+        u, v = sets[i], sets[j]
+        at = np.searchsorted(v, u)
+        at[at == len(v)] = 0
+        both = int((v[at] == u).sum())
+        if 100 * both >= percent * (len(u) + len(v) - both):
+            found.append((ids[i], ids[j]))
+            a, b = sorted((comp[i], comp[j]), key=lambda c: len(members[c]))
+            comp[members[a]] = b
+            members[b] += members[a]
+
+    pairs, large = _buckets(sets, percent)
+    for k in range(0, len(pairs), PAIRS):
+        i, j = pairs[k : k + PAIRS].T
+        for p in open_pairs(i, j).tolist():
+            meet(int(i[p]), int(j[p]))
+    for bucket in large:
+        for k in range(len(bucket) - 1):
+            if (comp[bucket] == comp[bucket[0]]).all():
+                break
+            rest = bucket[k + 1 :]
+            for p in open_pairs(np.full(len(rest), bucket[k]), rest).tolist():
+                meet(int(bucket[k]), int(rest[p]))
     return found
 
 

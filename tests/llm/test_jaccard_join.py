@@ -79,3 +79,31 @@ def test_whole_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.query(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("few", [2, 12])
+def test_cells_join_what_links_join(monkeypatch, few):
+    monkeypatch.setattr(J, "FEW", few)
+    rng = np.random.default_rng(few)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 90)), dtype=np.uint64)
+        for _ in range(int(rng.integers(1, 20))):
+            some = np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64)])
+            sets.append(np.unique(some))
+    sets = sorted((u for u in sets if len(u)), key=len)
+    for sides in (np.zeros(len(sets), dtype=int), rng.integers(0, 2, len(sets))):
+        links = [
+            (i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+            if (not sides.any() or sides[i] != sides[j]) and 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)
+        ]
+
+        def joined(pairs):
+            up = list(range(len(sets)))
+            root = lambda x: x if up[x] == x else root(up[x])
+            for a, b in pairs:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+            return [root(x) for x in range(len(sets))]
+
+        got = J._compare(list(range(len(sets))), sets, sides, 80)
+        assert set(got) <= set(links) and joined(got) == joined(links) and len(got) == len(sets) - len(set(joined(links)))
