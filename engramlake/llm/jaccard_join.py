@@ -172,7 +172,7 @@ def _ties(rows: DataFrame, parts: int) -> DataFrame:
 
 
 #: Sets and shingles that a block of a cell holds at most, by its expected share.
-BLOCK_SETS, BLOCK_SHINGLES = 8192, 5_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 8192, 2_000_000
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
@@ -210,27 +210,35 @@ FEW, PAIRS = 12, 1 << 16
 
 def _buckets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sets that share a signature: the distinct pairs (as two columns) of small
-    buckets, and the members of each large one; buckets of the same sets count once."""
-    signed = [signatures(u, percent) for u in sets]
-    sig, own = np.concatenate(signed), np.repeat(np.arange(len(sets)), [len(x) for x in signed])
-    order = np.argsort(sig, kind="stable")
-    sig, own = sig[order], own[order]
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
-    size = np.diff(np.append(head, len(sig)))
-    if not len(head):
-        return np.zeros((0, 2), dtype=np.int64), []
-    with np.errstate(over="ignore"):
-        same = np.add.reduceat(W.mix(own.astype(U) + U(1)), head)
-    once = np.unique(same, return_index=True)[1]
-    head, size = head[once], size[once]
-    listed = []
-    for d in range(1, FEW):
-        for k in range(FEW - d):
-            at = head[(size > k + d) & (size <= FEW)] + k
-            listed.append(own[at] * len(sets) + own[at + d])
-    pairs = np.unique(np.concatenate(listed))
-    large = sorted(((n, h) for n, h in zip(size.tolist(), head.tolist()) if n > FEW))
-    return np.stack([pairs // len(sets), pairs % len(sets)], axis=1), [own[h : h + n] for n, h in large]
+    buckets, and the members of each large one; buckets of the same sets count once.
+
+    Signatures are held once and sorted by eighths of their domain.
+    """
+    held = []
+    for k in range(0, len(sets), 500):
+        signed = [signatures(u, percent) for u in sets[k : k + 500]]
+        held.append((np.concatenate(signed), np.repeat(np.arange(k, k + len(signed), dtype=np.int32), [len(x) for x in signed])))
+    pairs, large = [np.zeros(0, dtype=np.int64)], {}
+    for part in range(8):
+        here = [(sig >> U(61)) == U(part) for sig, _ in held]
+        sig, own = (np.concatenate([x[k][at] for x, at in zip(held, here)] or [np.zeros(0)]) for k in (0, 1))
+        if not len(sig):
+            continue
+        order = np.argsort(sig, kind="stable")
+        sig, own = sig[order], own[order].astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(head, len(sig)))
+        with np.errstate(over="ignore"):
+            same, once = np.unique(np.add.reduceat(W.mix(own.astype(U) + U(1)), head), return_index=True)
+        head, size = head[once], size[once]
+        for d in range(1, FEW):
+            for k in range(FEW - d):
+                at = head[(size > k + d) & (size <= FEW)] + k
+                pairs.append(own[at] * len(sets) + own[at + d])
+        pairs = [np.unique(np.concatenate(pairs))]
+        for k in np.flatnonzero(size > FEW).tolist():
+            large.setdefault(int(same[k]), own[head[k] : head[k] + size[k]].astype(np.int32))
+    return np.stack([pairs[0] // max(1, len(sets)), pairs[0] % max(1, len(sets))], axis=1), sorted(large.values(), key=len)
 
 
 def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple]:
