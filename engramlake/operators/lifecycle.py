@@ -65,22 +65,41 @@ def arm(query_id: Column) -> Column:
     return (F.conv(F.substring(F.sha2(query_id.cast("string"), 256), 1, 8), 16, 10).cast("long") % 2).cast("int")
 
 
-def two_sample(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: sizes, means and Welch's t of the values of groups 0 and 1."""
-    side = lambda g: F.when(F.col(group) == g, F.col(value))
-    one = df.agg(*[f(side(g)).alias(f"{n}{g}") for g in (0, 1) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
-    return one.select("n0", "n1", F.round("mean0", 6).alias("mean0"), F.round("mean1", 6).alias("mean1"), F.round((F.col("mean1") - F.col("mean0")) / F.sqrt(F.col("var0") / F.col("n0") + F.col("var1") / F.col("n1")), 6).alias("t"))
+def paired(df: DataFrame, pair: str, group: str, value: str) -> DataFrame:
+    """One row: pairs with both arms, mean difference of arm 1 over arm 0, and the paired t."""
+    side = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
+    d = df.groupBy(pair).agg((side(1) - side(0)).alias("d")).where("d IS NOT NULL")
+    one = d.agg(F.count("*").alias("pairs"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
+    return one.select("pairs", F.round("m", 6).alias("difference"), F.round(F.col("m") / (F.col("s") / F.sqrt("pairs")), 6).alias("t"))
 
 
 def chain(entries: DataFrame, order: str, body: Column) -> DataFrame:
-    """``entries`` with ``content_hash``: the link each record states about its own body."""
-    return entries.withColumn("content_hash", F.sha2(body, 256)).withColumn("previous", F.coalesce(F.lag("content_hash").over(Window.partitionBy("log").orderBy(order)), F.lit("")))
+    """(log, order, body, content_hash, previous): each hash covers its body and the hash before it.
 
+    A chain is sequential by nature: a log is folded in one task, logs in parallel.
+    """
+    rows = entries.select("log", F.col(order).cast("long").alias(order), body.alias("body"))
 
-def verify_chain(entries: DataFrame, order: str, body: Column) -> DataFrame:
-    """(log, entries, broken): records whose hash or link to the one before is wrong; parallel by log."""
+    def fold(log):
+        import hashlib
+
+        log = log.sort_values(order)
+        hashes, before = [], [""]
+        for text in log["body"]:
+            hashes.append(hashlib.sha256((before[-1] + text).encode()).hexdigest())
+            before.append(hashes[-1])
+        return log.assign(content_hash=hashes, previous=before[:-1])
+
+    return rows.groupBy("log").applyInPandas(fold, f"log long, {order} long, body string, content_hash string, previous string")
+
+
+def verify_chain(entries: DataFrame, order: str) -> DataFrame:
+    """(log, entries, broken): records whose hash or link to the one before is wrong.
+
+    Each record is checked by what it and its predecessor state, so it needs no fold.
+    """
     w = Window.partitionBy("log").orderBy(order)
-    good = (F.col("content_hash") == F.sha2(body, 256)) & (F.col("previous") == F.coalesce(F.lag("content_hash").over(w), F.lit("")))
+    good = (F.col("content_hash") == F.sha2(F.concat("previous", "body"), 256)) & (F.col("previous") == F.coalesce(F.lag("content_hash").over(w), F.lit("")))
     return entries.withColumn("good", good).groupBy("log").agg(F.count("*").alias("entries"), F.count_if(~F.col("good")).alias("broken"))
 
 

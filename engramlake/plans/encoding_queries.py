@@ -14,7 +14,7 @@ from engramlake.operators import relational as R
 from engramlake.operators import retrieval as Q
 from engramlake.plans.math_queries import COS, VEC_SQL
 from engramlake.plans.registry import query
-from engramlake.plans.text_queries import STOP, WORDS_SQL
+from engramlake.plans.text_queries import STOP, TOKENS_ALL_SQL, WORDS_SQL
 from engramlake.sources.tables import FACTS_SQL, PART_EDGES_SQL, events, facts, part_edges, table, vectors
 
 
@@ -155,9 +155,17 @@ def entry_points(spark, sf):
     return p.select("node").join(called, "node", "left_anti").union(p.where(F.col("p_name").startswith("small")).select("node")).distinct()
 
 
-@query(f"""WITH {FACTS_SQL} SELECT session_id, round(avg(sim), 6) AS gap FROM (SELECT session_id, 1 - round(confidence, 6) AS sim FROM facts) GROUP BY session_id""")
+@query(f"""WITH {VEC_SQL}, u AS (SELECT community, unnest(range(1, 65)) AS i, unnest(v) AS x FROM vec), m AS (SELECT community, i, avg(x) AS x FROM u GROUP BY 1, 2), c AS (SELECT community, list(x ORDER BY i) AS c FROM m GROUP BY 1)
+SELECT community, round(least(1.0, greatest(0.0, 1 - avg(list_cosine_similarity(v, c)))), 6) AS gap FROM vec JOIN c USING (community) GROUP BY 1""")
 def entropy_gap(spark, sf):
-    return facts(spark, sf).groupBy("session_id").agg(F.round(F.avg(1 - F.round("confidence", 6)), 6).alias("gap"))
+    """One less the mean cosine of a cluster's vectors with its centre."""
+    from engramlake.functions import vectors as V
+
+    v = vectors(spark, sf).select("community", "v")
+    mean = v.select("community", F.posexplode("v").alias("p", "x")).groupBy("community", "p").agg(F.avg("x").alias("x"))
+    centre = mean.groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("c"))
+    gap = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.avg(V.cosine(F.col("v"), F.col("c")))))
+    return v.join(centre, "community").groupBy("community").agg(F.round(gap, 6).alias("gap"))
 
 
 @query(f"""WITH {VEC_SQL}, c AS (SELECT community, list_transform(range(1, 65), lambda i: i) AS d FROM vec GROUP BY community), u AS (SELECT community, unnest(range(1, 65)) AS i, unnest(v) AS x FROM vec)
@@ -167,7 +175,7 @@ def community_centroids(spark, sf):
     return u.groupBy("community", (F.col("p") + 1).cast("long").alias("dim")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter({WORDS_SQL}, lambda x: x NOT IN ({STOP}) AND length(x) >= 4)) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM c)
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter({TOKENS_ALL_SQL}, lambda x: x NOT IN ({STOP}) AND length(x) >= 4)) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM c)
 SELECT doc_id, string_agg(w, ',' ORDER BY k) AS keywords FROM r WHERE k <= 3 GROUP BY doc_id""")
 def keyword_extraction(spark, sf):
     w = table(spark, sf, "documents").select("doc_id", F.explode(F.filter(T.tokenize(F.col("text")), lambda x: F.length(x) >= 4)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))

@@ -9,15 +9,15 @@ from engramlake.operators import graph as G
 from engramlake.operators import lifecycle as L
 from engramlake.operators import retrieval as Q
 from engramlake.plans.registry import query
-from engramlake.plans.text_queries import STOP, WORDS_SQL
+from engramlake.plans.text_queries import STOP, TOKENS_ALL_SQL, WORDS_SQL
 from engramlake.sources.tables import FACTS_SQL, PART_EDGES_SQL, events, facts, part_edges, table
 
 # ---- retrieval -----------------------------------------------------------------
 
-TOKENS_SQL = f"""tok AS (SELECT doc_id AS fact_id, list_filter({WORDS_SQL}, lambda x: x NOT IN ({STOP})) AS w FROM documents),
+TOKENS_SQL = f"""tok AS (SELECT doc_id AS fact_id, list_filter({TOKENS_ALL_SQL}, lambda x: x NOT IN ({STOP})) AS w FROM documents),
 post AS (SELECT fact_id, term, count(*) AS tf, max(n) AS n FROM (SELECT fact_id, len(w) AS n, unnest(w) AS term FROM tok) GROUP BY 1, 2),
 size AS (SELECT avg(len(w)) AS a, count(*) AS docs FROM tok),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({WORDS_SQL}, lambda x: x NOT IN ({STOP}))) AS term FROM benchmark WHERE item_id % 20 = 0),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({TOKENS_ALL_SQL}, lambda x: x NOT IN ({STOP}))) AS term FROM benchmark WHERE item_id % 20 = 0),
 df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
 bm AS (SELECT query_id, fact_id, sum(ln((docs + 1) / CAST(df AS DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / a)) + 1.0)) AS score FROM post JOIN qt USING (term) JOIN df USING (term), size GROUP BY 1, 2),
 lex AS (SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id) AS rank FROM bm)"""
@@ -143,9 +143,10 @@ def label_propagation(spark, sf):
     return G.label_propagation(part_edges(spark, sf), rounds=3)
 
 
-@query()
-def strong_components(spark, sf):
-    """Components of the part graph's edges of weight 2 or more; tests compare the operator with brute force."""
+@query(f"""WITH RECURSIVE {PART_EDGES_SQL}, e AS (SELECT src AS a, dst AS b FROM edges WHERE weight >= 2 UNION SELECT dst, src FROM edges WHERE weight >= 2),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root <= e.a) SELECT node, min(root) AS component FROM (SELECT * FROM r UNION SELECT a, least(a, (SELECT min(root) FROM r WHERE node = a)) FROM e) GROUP BY node""")
+def connected_component(spark, sf):
+    """Components of the part graph's edges of weight 2 or more, directions left aside."""
     return G.connected_components(part_edges(spark, sf).where("weight >= 2"))
 
 
@@ -193,9 +194,9 @@ def tier_evaluation(spark, sf):
     return facts(spark, sf).select("fact_id", t.alias("tier"))
 
 
-@query(f"WITH {PART_EDGES_SQL} SELECT src, dst, round(w, 6) AS weight FROM (SELECT src, dst, weight / 30.0::DOUBLE * exp(-0.3::DOUBLE) AS w FROM edges) WHERE w >= 0.05")
+@query(f"WITH {PART_EDGES_SQL} SELECT src, dst, round(w, 6) AS weight FROM (SELECT src, dst, weight / 10.0::DOUBLE * exp(-0.3::DOUBLE) AS w FROM edges) WHERE w >= 0.05")
 def edge_decay(spark, sf):
-    e = part_edges(spark, sf).withColumn("weight", F.col("weight") / 30.0)
+    e = part_edges(spark, sf).withColumn("weight", F.col("weight") / 10.0)
     return L.edge_decay(e).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
@@ -234,20 +235,21 @@ def shadow_routing(spark, sf):
     return events(spark, sf).select("event_id", L.arm(F.col("event_id")).cast("long").alias("arm"))
 
 
-@query(f"""WITH {SHADOW_SQL}, s AS (SELECT count(*) FILTER (arm = 0) AS n0, count(*) FILTER (arm = 1) AS n1, avg(value) FILTER (arm = 0) AS m0, avg(value) FILTER (arm = 1) AS m1, var_samp(value) FILTER (arm = 0) AS v0, var_samp(value) FILTER (arm = 1) AS v1 FROM arms)
-SELECT n0, n1, round(m0, 6) AS mean0, round(m1, 6) AS mean1, round((m1 - m0) / sqrt(v0 / n0 + v1 / n1), 6) AS t FROM s""")
+@query(f"""WITH {SHADOW_SQL}, d AS (SELECT user_id, avg(value) FILTER (arm = 1) - avg(value) FILTER (arm = 0) AS d FROM arms JOIN (SELECT event_id, user_id FROM events) USING (event_id) GROUP BY 1)
+SELECT count(d) AS pairs, round(avg(d), 6) AS difference, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t FROM d""")
 def shadow_decision(spark, sf):
-    return L.two_sample(events(spark, sf).withColumn("arm", L.arm(F.col("event_id"))), "arm", "value")
+    """Arms of the same user's queries are pairs."""
+    return L.paired(events(spark, sf).withColumn("arm", L.arm(F.col("event_id"))), "user_id", "arm", "value")
 
 
-@query("""WITH h AS (SELECT user_id AS log, event_id, sha256(event_type || ':' || CAST(event_id AS VARCHAR)) AS good, CASE WHEN event_id % 97 = 5 THEN 'forged' ELSE sha256(event_type || ':' || CAST(event_id AS VARCHAR)) END AS stated FROM events),
-p AS (SELECT *, lag(good) OVER w AS prev_good, lag(stated) OVER w AS prev_stated FROM h WINDOW w AS (PARTITION BY log ORDER BY event_id))
-SELECT log, count(*) AS entries, count(*) FILTER (stated <> good OR coalesce(prev_good, '') <> coalesce(prev_stated, '')) AS broken FROM p GROUP BY log""")
+@query("""WITH RECURSIVE o AS (SELECT user_id AS log, event_id, event_type || ':' || CAST(event_id AS VARCHAR) AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c AS (SELECT log, event_id, body, k, sha256(body) AS h, '' AS previous FROM o WHERE k = 1 UNION ALL SELECT o.log, o.event_id, o.body, o.k, sha256(c.h || o.body), c.h FROM c JOIN o ON o.log = c.log AND o.k = c.k + 1),
+f AS (SELECT log, k, CASE WHEN event_id % 97 = 5 THEN 'forged' ELSE body END AS body, h, previous FROM c), p AS (SELECT *, lag(h) OVER (PARTITION BY log ORDER BY k) AS before FROM f)
+SELECT log, count(*) AS entries, count(*) FILTER (h <> sha256(previous || body) OR previous <> coalesce(before, '')) AS broken FROM p GROUP BY log""")
 def audit_chain(spark, sf):
     body = F.concat_ws(":", "event_type", F.col("event_id").cast("string"))
     made = L.chain(events(spark, sf).withColumn("log", F.col("user_id")), "event_id", body)
-    forged = made.withColumn("content_hash", F.when(F.col("event_id") % 97 == 5, "forged").otherwise(F.col("content_hash")))
-    return L.verify_chain(forged, "event_id", body)
+    return L.verify_chain(made.withColumn("body", F.when(F.col("event_id") % 97 == 5, "forged").otherwise(F.col("body"))), "event_id")
 
 
 @query(f"""WITH {FACTS_SQL}, rules AS (SELECT * FROM (VALUES ('en', 200), ('en', 120), ('fr', 300), ('de', 90)) t(profile_id, days)), m AS (SELECT profile_id, min(days) AS days FROM rules GROUP BY 1) SELECT fact_id, CAST(days AS BIGINT) AS days FROM facts JOIN m USING (profile_id) WHERE date_diff('day', created_on, DATE '2024-12-31') > days""")

@@ -9,7 +9,7 @@ from engramlake.functions import text as T
 from engramlake.functions import vectors as V
 from engramlake.operators import relational as R
 from engramlake.plans.registry import query
-from engramlake.plans.text_queries import STOP, VALID_SQL, WORDS_SQL
+from engramlake.plans.text_queries import STOP, TOKENS_ALL_SQL, VALID_SQL
 from engramlake.sources.tables import FACTS_SQL, PART_EDGES_SQL, events, facts, part_edges, table, validity
 
 # ---- joins ---------------------------------------------------------------------
@@ -145,7 +145,7 @@ def dominant_types(spark, sf):
     return R.top_per_group(best, "session_id", [F.col("n").desc(), F.col("fact_type")], 1).select("session_id", F.col("fact_type").alias("dominant"), F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
-@query(f"""WITH w AS (SELECT source, doc_id, unnest({WORDS_SQL}) AS term FROM documents), t AS (SELECT source, term, count(*) AS tf FROM w WHERE term NOT IN ({STOP}) AND length(term) >= 5 GROUP BY 1, 2),
+@query(f"""WITH w AS (SELECT source, doc_id, unnest({TOKENS_ALL_SQL}) AS term FROM documents), t AS (SELECT source, term, count(*) AS tf FROM w WHERE term NOT IN ({STOP}) AND length(term) >= 5 GROUP BY 1, 2),
 d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(DISTINCT source) AS n FROM documents), r AS (SELECT source, term, tf * ln(1 + n / CAST(1 + df AS DOUBLE)) AS s FROM t JOIN d USING (term), n),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(s, 6) DESC, term) AS k FROM r) SELECT source, term, round(s, 4) AS score, k AS rank FROM k WHERE k <= 3""")
 def community_labels(spark, sf):
@@ -250,9 +250,9 @@ def arms_intersect(spark, sf):
     return e.where("event_type = 'error'").select("user_id").intersect(e.where("event_type = 'purchase'").select("user_id"))
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def unmapped_entities(spark, sf):
-    used = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf, "part").select("p_partkey").distinct().join(used, "p_partkey", "left_anti")
 
 

@@ -11,6 +11,7 @@ from engramlake.sources.tables import FACTS_SQL, events, facts, table, validity
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TOKENS_ALL_SQL = f"regexp_extract_all(lower(text), '{T.TOKEN}')"
 POSITIVE, NEGATIVE = ("heat", "then", "reed"), ("thing", "rest", "ent")
 
 
@@ -60,8 +61,8 @@ def forgetting_filter(spark, sf):
     return out.select("fact_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(w, lambda x: x NOT IN ({STOP}))) AS BIGINT) AS n_tokens
-FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)""")
+@query(f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(t, lambda x: x NOT IN ({STOP}))) AS BIGINT) AS n_tokens
+FROM (SELECT doc_id, {WORDS_SQL} AS w, {TOKENS_ALL_SQL} AS t FROM documents)""")
 def tokenize_stats(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"), F.size(T.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
@@ -123,7 +124,7 @@ def shannon_entropy(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.round(T.entropy(F.col("text")), 6).alias("entropy"))
 
 
-@query(f"""SELECT item_id, substr(sha256(array_to_string(list_sort(list_distinct(list_filter({WORDS_SQL}, lambda x: x NOT IN ({STOP}) AND length(x) >= 5))), ' ')), 1, 16) AS signature FROM benchmark""")
+@query(f"""SELECT item_id, substr(sha256(array_to_string(list_sort(list_distinct(list_filter({TOKENS_ALL_SQL}, lambda x: x NOT IN ({STOP}) AND length(x) >= 5))), ' ')), 1, 16) AS signature FROM benchmark""")
 def topic_signature(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.topic_signature(F.col("text")).alias("signature"))
 

@@ -47,7 +47,8 @@ def settled_outcomes(plays: DataFrame, signals: DataFrame, key: str, within: str
     p = plays.withWatermark("ts", late).select(F.col(key), F.col("ts"), F.col("event_id").alias("play"))
     s = signals.withWatermark("ts", late).select(F.col(key).alias("k2"), F.col("ts").alias("at"), F.lit(1.0).alias("hit"))
     near = (F.col(key) == F.col("k2")) & (F.col("at") > F.col("ts")) & (F.col("at") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
-    return p.join(s, near, "leftOuter").select(key, "ts", "play", F.coalesce("hit", F.lit(0.5)).alias("reward"))
+    joined = p.join(s, near, "leftOuter").select(key, "ts", "play", F.coalesce("hit", F.lit(0.5)).alias("reward"))
+    return joined.dropDuplicatesWithinWatermark(["play"])  # a play with several signals settles once
 
 
 def limiter(events: DataFrame, key: str, most: int, seconds: int, late: str) -> DataFrame:

@@ -37,8 +37,8 @@ def test_vectors_at_their_edges(spark):
 
 def test_redaction_and_entropy(spark):
     text = "mail a.b@c.org, call 555-123-4567 from 10.0.0.1, card 4026083977531332 [REDACTED:email]"
-    assert one(spark, T.redact_pii(F.lit(text))) == "mail [REDACTED:email], call [REDACTED:phone] from [REDACTED:ip], card [REDACTED:card] [REDACTED:email]"
-    assert one(spark, T.pii_kinds(F.lit(text))) == ["email", "ip", "card", "phone"]
+    assert one(spark, T.redact_pii(F.lit(text))) == "mail [REDACTED:email], call [REDACTED:phone] from [REDACTED:ip_address], card [REDACTED:credit_card] [REDACTED:email]"
+    assert one(spark, T.pii_kinds(F.lit(text))) == ["email", "credit_card", "ip_address", "phone"]
     assert one(spark, T.redact_secrets(F.lit('token = "abcdef0123"'))) == 'token = "[SECRET]"'
     assert one(spark, T.entropy(F.lit(""))) == 0.0 and one(spark, T.entropy(F.lit("abab"))) == 1.0
     assert T.jaro_winkler("martha", "marhta") == pytest.approx(0.961, abs=1e-3)
