@@ -17,7 +17,8 @@ def causal_edges(rows: DataFrame, group: str, key: str, cue: str, reach: int, mo
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def noisy_step(old: Column, gain: float) -> Column:
@@ -56,19 +57,51 @@ def survivors(pairs: DataFrame, better: list[Column], a: str = "a", b: str = "b"
     return pairs.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(F.col(b).alias("loser"), F.col(a).alias("winner"))
 
 
-def chained(rows: DataFrame, log: str, order: str, body: str) -> DataFrame:
-    """``rows`` with ``hash`` and ``previous``: each hash covers the one before it in its log.
+def activate(seeds: DataFrame, edges: DataFrame, hops: int, keep: float = 0.7, least: float = 0.05) -> DataFrame:
+    """(node, activation): the strongest way a seed's activation reaches a node in up to
+    ``hops`` steps, each of which keeps ``keep`` times the edge's weight; weak ones stop."""
+    from engramlake.operators.graph import cut
 
-    A log is folded in order; logs are independent, so long histories are to be
-    kept as several of them.
-    """
-    entry = F.struct(F.col(order).alias("o"), F.col(body).alias("b"))
-    none = F.array().cast("array<struct<o:bigint,hash:string,previous:string>>")
+    seen = front = cut(seeds.select("node", "activation"))
+    for _ in range(hops):
+        sent = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("activation") * keep * F.col("weight")).alias("activation"))
+        front = cut(sent.where(F.col("activation") >= least))
+        seen = seen.unionByName(front)
+    return seen.groupBy("node").agg(F.max("activation").alias("activation"))
 
-    def step(done: Column, x: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(done, F.lit(-1))["hash"], F.lit("genesis"))
-        made = F.struct(x["o"].alias("o"), F.sha2(F.concat(previous, x["b"]), 256).alias("hash"), previous.alias("previous"))
-        return F.concat(done, F.array(made))
 
-    folded = rows.groupBy(log).agg(F.explode(F.aggregate(F.sort_array(F.collect_list(entry)), none, step)).alias("x"))
-    return folded.select(log, F.col("x.o").alias(order), "x.hash", "x.previous")
+def suppressed(scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """Scores (node, score, made) after ``supersedes`` edges (what they start from
+    counts .3) and ``contradiction`` edges (the older end counts .5, if both were found)."""
+    gone = edges.where("kind = 'supersedes'").select(F.col("src").alias("node")).distinct().withColumn("gone", F.lit(0.3))
+    ends = edges.where("kind = 'contradiction'").select("src", "dst")
+    a, b = (scores.select(F.col("node").alias(k), F.col("made").alias(f"{k}_made")) for k in ("src", "dst"))
+    both = ends.join(a, "src").join(b, "dst")
+    old = both.select(F.when(F.col("src_made") < F.col("dst_made"), F.col("src")).otherwise(F.col("dst")).alias("node")).distinct().withColumn("old", F.lit(0.5))
+    out = scores.join(gone, "node", "left").join(old, "node", "left")
+    return out.select("node", (F.col("score") * F.coalesce("gone", F.lit(1.0)) * F.coalesce("old", F.lit(1.0))).alias("score"))
+
+
+def hmac_sha256(text: Column, key: str) -> Column:
+    """The keyed hash of RFC 2104 over SHA-256, from the plain hash."""
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(x ^ pad for x in raw).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
+
+
+def debounced(rows: DataFrame, key: str, at: str, quiet: str) -> DataFrame:
+    """The rows after which a key is quiet for a time: the last of each burst."""
+    after = F.lead(at).over(Window.partitionBy(key).orderBy(at))
+    return rows.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") - F.col(at) > F.expr(f"INTERVAL {quiet}"))).drop("_next")
+
+
+def fair_order(rows: DataFrame, lane: str, order: str, shares: dict[str, float]) -> DataFrame:
+    """``rows`` with ``place``: lanes served by their shares, each in its own order."""
+    share = F.lit(None).cast("double")
+    for name, s in shares.items():
+        share = F.when(F.col(lane) == name, s).otherwise(share)
+    k = F.row_number().over(Window.partitionBy(lane).orderBy(order))
+    return rows.withColumn("_due", F.round(k / share, 9)).withColumn("place", F.row_number().over(Window.orderBy("_due", lane))).drop("_due")
