@@ -7,7 +7,9 @@ within the block's share of it by dimensions.  Each block is range-joined under
 budget: pivots cut the block's space into cells, every vector is at home in
 its nearest pivot's cell and a guest of each cell (of a later pivot) whose
 bisecting plane it is within the radius of.  Cells are dealt out in pieces of
-bounded size; a piece verifies its candidates with the full vectors.
+bounded size; a piece verifies its candidates with the full vectors, which are
+dealt as they came (in single precision if that is how they are stored) and
+normalised where they are compared, so a row is as small as its input.
 
 A pair is counted in the first block within budget only, so the union of the
 blocks counts each link once; of the links a piece sends out counts per vector and
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from engramlake.llm.shared import arrow_map, components, materialize, table
 
 #: Dimensions of a block, rows of a cell aimed at, pivots at most, rows of a piece.
-BLOCK, CELL, MOST_PIVOTS, PIECE = 16, 8000, 4096, 4000
+BLOCK, CELL, MOST_PIVOTS, PIECE = 16, 8000, 4096, 16000
 #: Slack for rounding: budgets are widened by it; the cosine itself is not.
 SLACK, COARSE = 1e-9, 1e-5
 
@@ -156,8 +158,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id", vec
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero
     same = materialize(rows.where("sound").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     found = None
+    narrow = df.select(F.col(vector)).schema[0].dataType == T.ArrayType(T.FloatType())
     for r in same.groupBy(F.size("v").alias("dims")).count().collect():  # vectors of one length each time
-        one = _links(same.where(F.size("v") == r.dims), r["count"], cosine)
+        one = _links(same.where(F.size("v") == r.dims), r["count"], cosine, "float" if narrow else "double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = df.sparkSession.createDataFrame([], "id long, links long, low long")
@@ -179,31 +182,34 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id", vec
 SAMPLE = 20_000
 
 
-def _links(same: DataFrame, count: int, cosine: float) -> DataFrame:
-    """(id, links, null) and (id, null, low): link counts weighted by copies, and forest edges."""
+def _links(same: DataFrame, count: int, cosine: float, number: str) -> DataFrame:
+    """(id, links, null) and (id, null, low): link counts weighted by copies, and forest edges.
+
+    ``number`` is the type that holds the vectors' components without loss.
+    """
     share = min(1.0, SAMPLE / max(1, count))
     place = F.pmod(F.xxhash64(F.lit("pivots"), "rep"), F.lit(1 << 40)) / float(1 << 40)
     sample, _ = unit([r.v for r in same.where(place < share * 1.05).select("v", "rep").orderBy("rep").toLocalIterator()] or [same.first().v])
     blocks = Blocks(sample, count, cosine)
-    home = T.StructType.fromDDL("block int, cell int, home boolean, id long, copies long, v array<double>")
+    home = T.StructType.fromDDL(f"block int, cell int, home boolean, id long, copies long, v array<{number}>")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            x, _ = unit(flat.reshape(len(batch), -1)) if len(batch) else unit([])
-            if not len(x):
+            if not len(batch):
                 continue
+            raw = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            x, _ = unit(raw)
             for block, row, cell, own in blocks.cells(x @ blocks.turn):
                 for k in range(0, len(row), 4000):
                     part = pa.array(row[k : k + 4000])
-                    values = x[row[k : k + 4000]]
+                    values = raw[row[k : k + 4000]]
                     vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]), pa.array(values.ravel()))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(part), block, dtype=np.int32)), pa.array(cell[k : k + 4000].astype(np.int32)), pa.array(own[k : k + 4000]), batch.column(0).take(part), batch.column(1).take(part), vectors],
                         names=home.names,
                     )
 
-    dealt = materialize(arrow_map(same.select("rep", "copies", "v"), deal, home), "cells")
+    dealt = materialize(arrow_map(same.select("rep", "copies", F.col("v").cast(f"array<{number}>")), deal, home), "cells")
     # pieces of a cell: homes p meet homes and guests q >= p; guests count on after the homes
     sizes = dealt.groupBy("block", "cell").agg(F.ceil(F.count_if("home") / PIECE).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / PIECE).cast("int").alias("guests")).where("homes > 0")
     placed = dealt.join(sizes, ["block", "cell"])
@@ -218,7 +224,7 @@ def _links(same: DataFrame, count: int, cosine: float) -> DataFrame:
         group = group.combine_chunks()
         block = group.column("block")[0].as_py()
         ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
-        v = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        v, _ = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
         second = group.column("second").to_numpy()
         alone = group.column("x")[0].as_py() == group.column("y")[0].as_py()
         order = np.argsort(ids, kind="stable")
