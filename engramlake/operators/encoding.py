@@ -53,12 +53,12 @@ def semantic_edges(new: DataFrame, vectors: DataFrame, least: float = 0.7, most:
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def entity_profiles(bridge: DataFrame, facts: DataFrame, last: int = 20, chars: int = 40) -> DataFrame:
-    """(entity, facts, summary): the beginnings of an entity's last facts, joined."""
+def entity_profiles(bridge: DataFrame, facts: DataFrame, last: int = 20) -> DataFrame:
+    """(entity, facts, summary): an entity's last facts, joined."""
     rows = bridge.join(facts.select("fact_id", "content"), "fact_id")
     w = Window.partitionBy("entity").orderBy(F.col("fact_id").desc())
     kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last)
-    out = kept.groupBy("entity").agg(F.count("*").alias("facts"), F.sort_array(F.collect_list(F.struct("fact_id", F.substring("content", 1, chars).alias("s")))).alias("_l"))
+    out = kept.groupBy("entity").agg(F.count("*").alias("facts"), F.sort_array(F.collect_list(F.struct("fact_id", F.col("content").alias("s")))).alias("_l"))
     return out.select("entity", "facts", F.array_join(F.transform("_l", lambda x: x["s"]), " | ").alias("summary"))
 
 

@@ -62,10 +62,10 @@ def semantic_edges(spark, sf):
 
 
 @query(f"""WITH {FACTS_SQL}, b AS (SELECT DISTINCT l_orderkey AS fact_id, l_partkey AS entity FROM lineitem), r AS (SELECT entity, fact_id, content, row_number() OVER (PARTITION BY entity ORDER BY fact_id DESC) AS n FROM b JOIN facts USING (fact_id))
-SELECT entity, count(*) AS facts, string_agg(substr(content, 1, 40), ' | ' ORDER BY fact_id) AS summary FROM r WHERE n <= 20 GROUP BY entity""")
+SELECT entity, count(*) AS facts, md5(string_agg(content, ' | ' ORDER BY fact_id)) AS summary FROM r WHERE n <= 20 GROUP BY entity""")
 def entity_profiles(spark, sf):
     b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").alias("entity")).distinct()
-    return E.entity_profiles(b, facts(spark, sf))
+    return E.entity_profiles(b, facts(spark, sf)).withColumn("summary", F.md5("summary"))
 
 
 @query(f"""WITH {FACTS_SQL}, r AS (SELECT session_id, fact_id, row_number() OVER (PARTITION BY session_id ORDER BY round(importance * confidence, 9) DESC, fact_id) AS n, count(*) OVER (PARTITION BY session_id) AS facts FROM facts) SELECT session_id, fact_id AS gist, facts FROM r WHERE n = 1""")

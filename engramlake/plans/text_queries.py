@@ -141,16 +141,16 @@ def emotion_tags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(v, 6).alias("valence"), F.round(a, 6).alias("arousal"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS similarity FROM part a JOIN part b ON substr(a.p_name, 1, 2) = substr(b.p_name, 1, 2) AND a.p_partkey < b.p_partkey
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS similarity FROM part a JOIN part b ON a.p_partkey < b.p_partkey
 WHERE a.p_partkey % 20 = 0 AND jaro_winkler_similarity(a.p_name, b.p_name) >= 0.85""")
 def fuzzy_names(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name")
-    left = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), F.substring("p_name", 1, 2).alias("block"))
-    right = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), F.substring("p_name", 1, 2).alias("block"))
-    # names repeat: each pair of distinct names is compared once
-    names = left.select("x", "block").distinct().join(right.select("y", "block").distinct(), "block")
+    left = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
+    right = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
+    # names repeat: the distinct names of the stated parts meet each distinct name once
+    names = right.select("y").distinct().crossJoin(left.select("x").distinct())
     near = names.withColumn("similarity", T.jaro_winkler_udf()(F.col("x"), F.col("y"))).where("similarity >= 0.85").select("x", "y", F.round("similarity", 6).alias("similarity"))
-    return left.join(near, "x").join(right.drop("block"), "y").where("a < b").select("a", "b", "similarity")
+    return left.join(near, "x").join(right, "y").where("a < b").select("a", "b", "similarity")
 
 
 @query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, string_agg(coalesce(role, ''), '>' ORDER BY turn) AS path FROM conversations GROUP BY conv_id""")
