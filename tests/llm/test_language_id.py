@@ -39,3 +39,38 @@ def test_edges(spark):
     assert [r.lang_pred for r in out] == ["und", "und", "und", "en", "en", "de", "de"]
     assert L.fit(df.limit(0)) is None
     assert {r.lang_pred for r in L.predict(df, None).collect()} == {"und"}
+
+
+def test_scores_are_those_of_the_kernel_by_enumeration():
+    texts = [b"the cat sat on the mat", b"a dog and the cat", b"der hund und die katze", b"die katze und das haus", b"le chat et la maison", b"la maison du chien"]
+    langs = ["en", "en", "de", "de", "fr", "fr"]
+    probe = [b"the dog", b"das haus der katze", b"le chien", b""]
+
+    def grams(t):
+        """Places of the blended 1- to 3-grams of a text."""
+        code = L._CODE[np.frombuffer(t, dtype=np.uint8)].tolist()
+        out = set()
+        for n in (1, 2, 3):
+            for i in range(len(code) - n + 1):
+                out.add((n, tuple(code[i : i + n])))
+        return out
+
+    def bits(ts):
+        data = np.frombuffer(b"".join(ts), dtype=np.uint8)
+        return L.presence(data, np.cumsum([0, *map(len, ts)]))
+
+    x, z = bits(texts), bits(probe)
+    sets, probes = [set(np.flatnonzero(r).tolist()) for r in x], [set(np.flatnonzero(r).tolist()) for r in z]
+    # n-grams that hash apart give as many features as there are distinct n-grams
+    assert all(abs(len(s) - len(grams(t))) <= 2 for s, t in zip(sets, texts))
+    kernel = lambda a, b: len(a & b) / max(1, len(a)) ** 0.5 / max(1, len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(k)
+    root = vectors / np.sqrt(values)
+    features = lambda of: np.hstack([np.array([[kernel(a, b) for b in sets] for a in of]) @ root, np.ones((len(of), 1))])
+    y = np.array([[float(a == b) for b in ("de", "en", "fr")] for a in langs])
+    phi = features(sets)
+    solved = np.linalg.solve(phi.T @ phi + L.RIDGE * np.eye(phi.shape[1]), phi.T @ y)
+    got = L.Model(x, langs).scores(z)
+    assert np.allclose(got, features(probes) @ solved, atol=1e-3)
+    assert got[:3].argmax(axis=1).tolist() == [1, 0, 2]
