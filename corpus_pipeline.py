@@ -39,7 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = linked.where("doc_id = component_id").select("doc_id").distinct()
     out = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     if not linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])  # repeated rows
+        # of rows with one doc_id the first by text, then by the other columns: the same at any partitioning
+        row = F.struct("text", *[c for c in docs.columns if c != "text"])
+        out = out.groupBy("doc_id").agg(F.min(row).alias("r")).select("r.*")
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
