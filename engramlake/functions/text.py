@@ -20,7 +20,7 @@ STOP_WORDS = (
     "it", "its", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "they", "them", "their",
 )
 #: A token holds hyphens and apostrophes within.
-TOKEN = r"[a-zA-Z0-9][\p{L}\p{N}_\x27-]*[a-zA-Z0-9]|[a-zA-Z0-9]"
+TOKEN = r"[a-zA-Z0-9]+(?:[\p{L}\p{N}_\x27-]*[a-zA-Z0-9])?"
 #: Personal data: kind and pattern, redacted in this order.
 PII = (
     ("api_key", r"(?i)\b(?:sk-|pk-|api[_-]?key[_-]?)[A-Za-z0-9_-]{20,}\b"),
