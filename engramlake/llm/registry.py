@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, secrets_scan, toxicity, vector_dedup
+from engramlake.llm import byte_bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, secrets_scan, structure_repair, toxicity, vector_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_chat_format": chat_format.query,
     "op10_language_id": language_id.query,
     "op11_fill_in_middle": fill_in_middle.query,
+    "op12_structure_repair": structure_repair.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_structure_repair": structure_repair.ORACLE,
 }
