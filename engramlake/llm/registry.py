@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engramlake.llm import byte_bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, secrets_scan, structure_repair, toxicity, vector_dedup
+from engramlake.llm import byte_bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, language_model, license_scan, line_dedup, secrets_scan, structure_repair, toxicity, vector_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.query,
     "op11_fill_in_middle": fill_in_middle.query,
     "op12_structure_repair": structure_repair.query,
+    "op13_language_model": language_model.query,
 }
 
 ORACLES: dict[str, str] = {
