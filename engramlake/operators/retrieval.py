@@ -45,6 +45,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0)
     return top(scored, k)
 
 
+def semantic_blend(near: DataFrame, facts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, fact_id, score): cosine and Fisher similarity of candidates, the
+    latter by a weight from .15 to 1 that grows with the fact's ``access_count``."""
+    w = F.least(F.lit(1.0), F.greatest(F.lit(0.15), F.col("access_count") / 10.0 * 1.2))
+    rows = near.join(facts.select("fact_id", F.col("v").alias("x"), "access_count"), "fact_id").join(queries.select("query_id", F.col("v").alias("q")), "query_id")
+    fisher = V.fisher_similarity(F.col("q"), F.col("x"), V.fisher_variance(F.col("x")))
+    return rows.select("query_id", "fact_id", (w * fisher + (1 - w) * F.col("cosine")).alias("score"))
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best of each query; ties by fact_id."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("fact_id"))

@@ -101,14 +101,6 @@ def importance_table(spark, sf):
     return rank.join(label, "node").join(G.degree_centrality(e).select("node", F.round("centrality", 4).alias("degree")), "node")
 
 
-@query(f"""WITH {VEC_SQL}, s AS (SELECT a.fact_id AS src, b.fact_id AS dst, round({COS}(a.v, b.v), 9) AS w FROM vec a JOIN vec b ON a.community = b.community AND a.fact_id <> b.fact_id WHERE a.fact_id % 20 = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM s WHERE w >= 0.25) SELECT src, dst, round(w, 6) AS weight FROM k WHERE k <= 10""")
-def auto_links(spark, sf):
-    """New facts and up to ten neighbours each."""
-    v = vectors(spark, sf)
-    return E.semantic_edges(v.where("fact_id % 20 = 1"), v, 0.25, 10).select("src", "dst", F.round("weight", 6).alias("weight"))
-
-
 @query(f"WITH {VEC_SQL}, p AS (SELECT a.fact_id, b.fact_id AS other, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) + sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) AS d FROM vec a JOIN vec b ON b.fact_id IN (a.fact_id + 1, a.fact_id + 2)) SELECT fact_id, other, round(d, 6) AS severity FROM p WHERE d > 0.7")
 def contradiction_edges(spark, sf):
     """Neighbours whose vectors disagree, with the clipped severity as weight."""
@@ -127,15 +119,6 @@ def extractive_merge(spark, sf):
     return d.groupBy("user_id").agg(F.substring(F.array_join(F.transform(rows, lambda x: x["s"]), ". "), 1, 2000).alias("merged"))
 
 
-@query(f"""WITH {VEC_SQL}, p AS (SELECT a.fact_id AS a, b.fact_id AS b FROM vec a JOIN vec b ON a.community = b.community AND a.fact_id < b.fact_id AND {COS}(a.v, b.v) > 0.4), o AS (SELECT a AS winner, b AS loser FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY loser ORDER BY winner % 70 DESC, winner) AS k FROM o) SELECT loser, winner FROM k WHERE k = 1""")
-def near_duplicate_merge(spark, sf):
-    """Near vectors of a community: each later one goes into the best earlier one."""
-    v = vectors(spark, sf).select("fact_id", "v", "community")
-    p = v.select(F.col("fact_id").alias("a"), F.col("v").alias("x"), "community").join(v.select(F.col("fact_id").alias("b"), F.col("v").alias("y"), "community"), "community").where("a < b")
-    near = p.where(V.cosine(F.col("x"), F.col("y")) > 0.4).select("a", "b")
-    return S.survivors(near, [(F.col("a") % 70).desc(), F.col("a")])
-
-
 @query(f"WITH {FACTS_SQL}, l AS (SELECT session_id, fact_id, CASE WHEN access_count >= 10 OR importance >= 0.8 THEN 1 WHEN access_count = 0 THEN 0 END AS label FROM facts), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, label ORDER BY fact_id) AS k FROM l WHERE label IS NOT NULL) SELECT session_id, fact_id, label FROM k WHERE k <= 20")
 def implicit_labels(spark, sf):
     """Labels from use and importance, twenty of a kind from each source."""
