@@ -46,8 +46,7 @@ def words(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Tokens in lower case without stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def sentences(text: Column, shortest: int = 8) -> Column:

@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
 from engramlake.functions import vectors as V
-
-
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length) of the content words."""
-    tokens = docs.select(key, T.tokenize(F.col(text)).alias("_w")).withColumn("length", F.size("_w"))
-    return tokens.select(key, "length", F.explode("_w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+from engramlake.sources.scratch import written
 
 
 def bm25(facts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, delta: float = 1.0) -> DataFrame:
     """BM25+ over (fact_id, content) for (query_id, query): ln((N + 1) / df) times the
-    saturated term frequency plus delta, for terms that occur."""
+    saturated term frequency plus delta, for terms that occur.
+
+    Texts are tokenised once: what is written is a row of each text, under an empty
+    term, for the sizes, and its counts of words that some query has.
+    """
     words = facts.select("fact_id", T.tokenize(F.col("content")).alias("_w")).withColumn("length", F.size("_w"))
-    sizes = words.agg(F.avg("length").alias("avg_len"), F.count("*").alias("docs"))  # one row
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
-    # only words that some query has go on to the shuffle
-    hits = words.select("fact_id", "length", F.explode("_w").alias("term")).join(terms, "term").groupBy("query_id", "fact_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    wanted = terms.select("term").unionByName(facts.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = words.select("fact_id", "length", F.explode(F.concat(F.array(F.lit("")), F.coalesce("_w", F.array().cast("array<string>")))).alias("term"))
+    counted = written(each.join(wanted, "term", "left_semi").groupBy("fact_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "bm25")
+    sizes = counted.where("term = ''").agg(F.avg("length").alias("avg_len"), F.count("*").alias("docs"))  # one row
+    hits = counted.join(terms, "term")
     df = hits.groupBy("term").agg(F.count_distinct("fact_id").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(sizes))
     tf, length = F.col("tf"), F.col("length")
