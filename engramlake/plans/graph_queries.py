@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engramlake.functions import vectors as V
+from engramlake.operators import centrality as C
+from engramlake.operators import communities as M
 from engramlake.operators import graph as G
 from engramlake.operators import lifecycle as L
 from engramlake.operators import retrieval as Q
@@ -115,6 +117,20 @@ def degree_centrality(spark, sf):
     return G.degree_centrality(part_edges(spark, sf)).select("node", "degree", F.round("centrality", 6).alias("centrality"))
 
 
+@query()
+def bridge_scores(spark, sf):
+    """Betweenness of parts by paths from every twentieth part; no SQL, tested against a plain pass over small graphs."""
+    e = part_edges(spark, sf)
+    sources = e.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
+    return C.betweenness(e, sources).select("node", F.round("betweenness", 9).alias("bridge_score"))
+
+
+@query()
+def modular_communities(spark, sf):
+    """Communities of parts by modularity; no SQL, as levels depend on those before."""
+    return M.communities(part_edges(spark, sf))
+
+
 def _pagerank_sql(rounds: int) -> str:
     steps = ""
     for k in range(1, rounds + 1):
