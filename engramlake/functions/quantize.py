@@ -123,3 +123,55 @@ def thompson(posteriors: DataFrame, keys: list[str], arm: str, seed: int) -> Dat
     fields = dict(posteriors.dtypes)
     drawn = posteriors.select(*keys, arm, "alpha", "beta").mapInPandas(run, ", ".join(f"{c} {fields[c]}" for c in [*keys, arm]) + ", sample double")
     return drawn.groupBy(*keys).agg(F.max_by(arm, F.struct("sample", arm)).alias(arm), F.max("sample").alias("sample"))
+
+
+def byte_tables(q: np.ndarray, bits: int, turn: np.ndarray) -> np.ndarray:
+    """For each byte of a packed row and each of its 256 values, what it adds to the
+    dot product of ``q`` with the decoded direction: (bytes, 256)."""
+    c, per = codebook(bits, len(q)), 8 // bits
+    turned = np.zeros(-(-len(q) // per) * per)
+    turned[: len(q)] = turn @ q
+    values = np.arange(256)
+    out = np.zeros((len(turned) // per, 256))
+    for k in range(per):
+        code = (values >> (8 - bits * (k + 1))) & ((1 << bits) - 1)
+        out += turned[k::per, None] * c[code][None, :]
+    return out
+
+
+def polar_encode(x: np.ndarray, bits: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(radii, codes) of the rows: the angles of the rotated vector in equal steps, those up
+    to the last between 0 and pi, the last over the whole circle."""
+    y = x @ turn.T
+    tail = np.sqrt(np.cumsum((y * y)[:, ::-1], axis=1))[:, ::-1]  # length of what is left from a component on
+    angles = np.arccos(np.clip(y[:, :-1] / np.maximum(tail[:, :-1], 1e-300), -1, 1))
+    angles[:, -1] = np.arctan2(y[:, -1], y[:, -2]) % (2 * math.pi)
+    span = np.full(angles.shape[1], math.pi)
+    span[-1] = 2 * math.pi
+    codes = np.minimum(angles / span * (1 << bits), (1 << bits) - 1).astype(np.uint8)
+    return tail[:, 0], codes
+
+
+def polar_decode(radius: np.ndarray, codes: np.ndarray, bits: int, turn: np.ndarray) -> np.ndarray:
+    span = np.full(codes.shape[1], math.pi)
+    span[-1] = 2 * math.pi
+    angles = (codes + 0.5) * span / (1 << bits)
+    sines = np.cumprod(np.hstack([np.ones((len(codes), 1)), np.sin(angles)]), axis=1)
+    y = np.hstack([sines[:, :-1] * np.cos(angles), sines[:, -1:]])
+    return (y * radius[:, None]) @ turn
+
+
+def polar(df: DataFrame, bits: int, key: str = "fact_id", vector: str = "v") -> DataFrame:
+    """(key, radius, codes, error) by polar angles."""
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b[vector].to_numpy()).astype(float)
+            turn = rotation(x.shape[1])
+            radius, codes = polar_encode(x, bits, turn)
+            error = ((polar_decode(radius, codes, bits, turn) - x) ** 2).sum(axis=1) / np.maximum(radius**2, 1e-24)
+            yield pd.DataFrame({key: b[key], "radius": radius, "codes": pack(codes, bits), "error": error})
+
+    return df.select(key, vector).mapInPandas(run, f"{key} long, radius double, codes binary, error double")

@@ -10,6 +10,7 @@ from engramlake.functions import vectors as V
 from engramlake.operators import encoding as E
 from engramlake.operators import graph as G
 from engramlake.operators import lifecycle as L
+from engramlake.operators import quantized_store as QS
 from engramlake.operators import relational as R
 from engramlake.operators import retrieval as Q
 from engramlake.plans.math_queries import COS, VEC_SQL
@@ -73,6 +74,41 @@ def cluster_gists(spark, sf):
     return E.gist(facts(spark, sf), "session_id")
 
 
+def _widths(spark, sf):
+    """Vectors with the width that their retention leaves them: full, 8, 4, 2 bits or none."""
+    f = facts(spark, sf).select("fact_id", "importance", "created_on")
+    v = vectors(spark, sf).join(f, "fact_id")
+    strength = V.memory_strength(F.col("access_count"), F.col("importance"), F.lit(0), F.lit(0.0))
+    kept = V.retention(F.datediff(F.lit("2025-01-01").cast("date"), F.col("created_on")) / 24.0, strength)
+    return v.select("fact_id", "v", V.precision_bits(kept).alias("bits"))
+
+
+@query()
+def mixed_precision(spark, sf):
+    """What the vectors of each width take and lose; seeded rotation, no SQL."""
+    w = _widths(spark, sf)
+    coded = [Z.quantise(w.where(F.col("bits") == b), b).select(F.lit(b).alias("bits"), (F.octet_length("codes")).cast("long").alias("bytes"), "error") for b in (2, 4, 8)]
+    full = w.where("bits = 32").select("bits", (4 * F.size("v")).cast("long").alias("bytes"), F.lit(0.0).alias("error"))
+    for c in coded:
+        full = full.unionByName(c)
+    return full.groupBy("bits").agg(F.count("*").alias("facts"), F.sum("bytes").alias("bytes"), F.round(F.avg("error"), 6).alias("mean_error"))
+
+
+@query()
+def quantised_search(spark, sf):
+    """Ten nearest of every twentieth vector from the quantised store, forgotten facts left out; recall is tested."""
+    w = _widths(spark, sf)
+    asked = vectors(spark, sf).where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "v")
+    found = QS.search(QS.write_store(w), asked, w.where("bits > 0"), 10)
+    return found.select("query_id", "fact_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def polar_codes(spark, sf):
+    """Four-bit polar angles of every vector with their error; seeded rotation, no SQL."""
+    return Z.polar(vectors(spark, sf), 4).select("fact_id", F.round("radius", 6).alias("radius"), F.hex("codes").alias("codes"), F.round("error", 6).alias("error"))
+
+
 @query()
 def vector_quantisation(spark, sf):
     """Four-bit codes of every vector with their error; seeded rotation, no SQL."""

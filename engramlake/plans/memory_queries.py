@@ -88,14 +88,6 @@ def hopfield_update(spark, sf):
     return u.groupBy("query_id", (F.col("p") + 1).cast("long").alias("dim")).agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 6).alias("x"))
 
 
-@query(f"WITH {VEC_SQL}, s AS (SELECT a.fact_id, {COS}(a.v, b.v) AS c FROM vec a JOIN vec b ON b.fact_id = a.fact_id + 1) SELECT fact_id, round(greatest(c, CASE WHEN fact_id % 2 = 0 THEN 0.98 * (c + 0.03) ELSE 0.97 * (c + 0.05) END), 6) AS score FROM s")
-def mixed_precision(spark, sf):
-    """The best of the exact and the discounted quantised similarities of a pair."""
-    v = vectors(spark, sf).select("fact_id", "v")
-    s = v.join(v.select((F.col("fact_id") - 1).alias("fact_id"), F.col("v").alias("b")), "fact_id").withColumn("c", V.cosine(F.col("v"), F.col("b")))
-    return s.select("fact_id", F.round(F.greatest("c", F.when(F.col("fact_id") % 2 == 0, 0.98 * (F.col("c") + 0.03)).otherwise(0.97 * (F.col("c") + 0.05))), 6).alias("score"))
-
-
 @query(f"WITH {FACTS_SQL} SELECT fact_id, CASE WHEN b > c THEN 'up' WHEN b < c THEN 'down' ELSE 'keep' END AS action, b AS bits FROM (SELECT fact_id, greatest([2, 4, 8, 32][CAST(fact_id % 4 AS INTEGER) + 1], [2, 4, 8, 32][CAST(access_count % 4 AS INTEGER) + 1]) AS b, [32, 8, 4][CAST(fact_id % 3 AS INTEGER) + 1] AS c FROM facts)")
 def precision_merge(spark, sf):
     """The higher of the two schedules' precisions against the present one."""
