@@ -14,7 +14,8 @@ many), of which executors send packed presence bits only.  Everything else
 covers all rows and whole texts; long texts are read in segments.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
-other columns are ignored; rows without doc_id are not held out and not learnt
+other columns are untouched, but those named ``lang_pred`` or ``score`` are
+replaced; rows without doc_id are not held out and not learnt
 from; ties go to the first language in order; with nothing to learn from, all
 rows are ``und``.
 """
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` without the text and with lang_pred and score.  A narrow step."""
-    names = [c for c in df.columns if c != text]
+    names = [c for c in df.columns if c not in (text, "lang_pred", "score")]
     schema = df.select(*[F.col(f"`{c}`") for c in names], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ def test_edges(spark):
     model = L.fit(df)
     out = L.predict(df.selectExpr("doc_id", "text", "lang as _letter"), model).collect()
     assert [r.lang_pred for r in out] == ["und", "und", "und", "en", "en", "de", "de"]
+    clash = L.predict(df.selectExpr("doc_id", "text", "lang as lang_pred", "7.0 as score", "1 as t"), model)
+    assert clash.columns == ["doc_id", "t", "lang_pred", "score"] and [r.lang_pred for r in clash.collect()][3:] == ["en", "en", "de", "de"]
     assert L.fit(df.limit(0)) is None
     assert {r.lang_pred for r in L.predict(df, None).collect()} == {"und"}
 
