@@ -82,31 +82,74 @@ def quantise(df: DataFrame, bits: int, key: str = "fact_id", vector: str = "v")
     return df.select(key, vector).mapInPandas(run, f"{key} long, radius double, codes binary, error double")
 
 
-def langevin(df: DataFrame, key: str, temperature: float = 0.0, step: float = 0.01, rounds: int = 5, dims: int = 8) -> DataFrame:
-    """(key, radius, weight): Euler-Maruyama steps in the ball from a seeded start.
-
-    The pull is 2 (3 + .08 ln(1 + accesses) - .005 min(age, 365) / 365 + .5 importance);
-    a row's generator is seeded by its key, so results do not depend on partitions.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose outputs look independent of their inputs' order."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gaussian_noise(keys: np.ndarray, step: int, dims: int, seed: int = 0) -> np.ndarray:
+    """Standard normal numbers (keys, dims) that depend on seed, key, step and dimension alone, by the Box-Muller rule."""
+    with np.errstate(over="ignore"):
+        row = _mixed(keys.astype(np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * seed + 1))
+        place = np.uint64((step + 1) << 20) + np.arange(2 * dims, dtype=np.uint64)
+        bits = _mixed(row[:, None] + _mixed(place)[None, :])
+    u = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return np.sqrt(-2 * np.log(u[:, :dims])) * np.cos(2 * math.pi * u[:, dims:])
+
+
+def langevin_steps(x: np.ndarray, keys: np.ndarray, accesses: np.ndarray, age: np.ndarray, importance: np.ndarray, temperature: float, step: float, rounds: int, first: int = 0, seed: int = 0) -> np.ndarray:
+    """Euler-Maruyama steps of rows of positions in the unit ball, kept within MOST_RADIUS.
+
+    Pulled inwards by 2 (3 + .08 ln(1 + accesses) - .005 min(age, 365) / 365 + .5
+    importance), outwards by forgetting, a tenth over max(.5, .3 ln(1 + accesses) + .4
+    importance); noise and its correction go with the ball's metric.
+    """
+    pull = (2 * (3 + 0.08 * np.log1p(accesses) - 0.005 * np.minimum(age, 365) / 365 + 0.5 * importance))[:, None]
+    forget = (0.1 / np.maximum(0.5, 0.3 * np.log1p(accesses) + 0.4 * importance))[:, None]
+    dims = x.shape[1]
+    for k in range(first, first + rounds):
+        square = np.minimum((x * x).sum(axis=1, keepdims=True), MOST_RADIUS**2)
+        metric = (1 - square) / 2
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        out = np.divide(x, length, out=np.zeros_like(x), where=length > 1e-12)
+        x = x + step * (-(metric**2) * pull * x + forget * out + 0.5 * temperature * (dims - 2) * metric * x)
+        x = x + math.sqrt(2 * step * temperature) * metric * gaussian_noise(keys, k, dims, seed)
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = np.where(length > MOST_RADIUS, x * (MOST_RADIUS / np.maximum(length, 1e-12)), x)
+    return x
+
+
+#: Positions stay within this radius.
+MOST_RADIUS = 0.99
+
+
+def langevin(df: DataFrame, key: str, temperature: float = 0.0, step: float = 0.01, rounds: int = 5, dims: int = 8, first: int = 0, seed: int = 0) -> DataFrame:
+    """(key, radius, weight, position) after ``rounds`` steps, numbered from ``first``.
+
+    Facts start at ``position`` if ``df`` has one, where it is null or missing at a
+    place of radius .5 that their key gives.  Noise is a function of key and step,
+    so results depend on neither partitions nor batches, and a run may be cut in two.
     """
+    held = "position" in df.columns
 
     def run(batches):
         for b in batches:
-            out = []
-            for k, acc, age, imp in zip(b[key], b["access_count"], b["age_days"], b["importance"]):
-                rng = np.random.default_rng(int(k) & 0x7FFFFFFF)
-                x = rng.normal(size=dims)
-                x *= 0.5 / np.linalg.norm(x)
-                pull = 2 * (3 + 0.08 * math.log1p(acc) - 0.005 * min(age, 365) / 365 + 0.5 * imp)
-                for _ in range(rounds):
-                    metric = ((1 - x @ x) / 2) ** 2
-                    x = x - step * metric * pull * x + math.sqrt(2 * step * temperature * metric) * rng.normal(size=dims)
-                    r = np.linalg.norm(x)
-                    if r > 0.99:
-                        x *= 0.99 / r
-                out.append(float(np.linalg.norm(x)))
-            yield pd.DataFrame({key: b[key], "radius": out, "weight": [1 - (1 - 0.0) * r / 0.99 for r in out]})
-
-    return df.select(key, "access_count", "age_days", "importance").mapInPandas(run, f"{key} long, radius double, weight double")
+            if not len(b):
+                continue
+            keys = b[key].to_numpy()
+            x = gaussian_noise(keys, -1, dims, seed)
+            x *= 0.5 / np.linalg.norm(x, axis=1, keepdims=True)
+            for i, p in enumerate(b["position"] if held else ()):
+                if p is not None and len(p) == dims:
+                    x[i] = p
+            x = langevin_steps(x, keys, *[b[c].to_numpy(dtype=float) for c in ("access_count", "age_days", "importance")], temperature, step, rounds, first, seed)
+            radius = np.linalg.norm(x, axis=1)
+            yield pd.DataFrame({key: keys, "radius": radius, "weight": 1 - radius / MOST_RADIUS, "position": list(x)})
+
+    return df.select(key, "access_count", "age_days", "importance", *(["position"] if held else [])).mapInPandas(run, f"{key} long, radius double, weight double, position array<double>")
 
 
 def thompson(posteriors: DataFrame, keys: list[str], arm: str, seed: int) -> DataFrame:

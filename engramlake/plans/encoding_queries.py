@@ -117,9 +117,9 @@ def vector_quantisation(spark, sf):
 
 @query()
 def langevin_step(spark, sf):
-    """Drift at temperature 0 from a start seeded by the fact; no SQL."""
+    """Steps at temperature .3, drift and noise, from a start that the fact's key gives; no SQL."""
     f = facts(spark, sf).withColumn("age_days", F.datediff(F.lit("2025-01-01").cast("date"), F.col("created_on")))
-    return Z.langevin(f, "fact_id").select("fact_id", F.round("radius", 6).alias("radius"), F.round("weight", 6).alias("weight"))
+    return Z.langevin(f, "fact_id", 0.3, rounds=20).select("fact_id", F.round("radius", 6).alias("radius"), F.round("weight", 6).alias("weight"))
 
 
 @query()
