@@ -1,10 +1,9 @@
 """Full-text search over positional postings: phrases, prefixes and set algebra, as joins.
 
-A text index is two written tables: postings (term, key, tf, positions), in
-order of term and key, so that a scan for stated terms skips row groups; and
-sizes (key, length).  Texts are exploded and dealt once, by ranges of (term,
-key): a term that most texts have is split over tasks, and the grouping needs no
-other shuffle.
+A text index is two written tables: postings (term, key, tf, positions) and
+sizes (key, length).  A task writes the postings of the texts it reads, in order
+of their terms, so that nothing is dealt, no term is hot and a scan for stated
+terms skips most of every file.
 
 Queries are a table of clauses, (query_id, clause, role, kind, words): role
 ``all``, ``any`` or ``none``, kind ``phrase`` (one word or several in a row) or
@@ -15,12 +14,16 @@ clause matches it; a query without ``all`` and ``any`` matches nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from engramlake.functions import text as T
+from engramlake.functions.arrow import arrow_map
 from engramlake.sources.scratch import new_path, written
 
 CLAUSES = "query_id long, clause int, role string, kind string, words array<string>"
@@ -37,12 +40,10 @@ class TextIndex:
         spark = docs.sparkSession
         words = docs.select(F.col(key).alias("key"), F.coalesce(T.words(F.col(text)), F.array().cast("array<string>")).alias("w"))
         sizes = written(words.select("key", F.size("w").alias("length")), "sizes")
-        each = words.select("key", F.posexplode("w").alias("position", "term"))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        schema = T_.StructType([T_.StructField("term", T_.StringType()), T_.StructField("key", words.schema["key"].dataType), T_.StructField("tf", T_.LongType()), T_.StructField("positions", T_.ArrayType(T_.IntegerType()))])
         path = new_path(spark, "postings")
-        grouped = each.repartitionByRange(n, "term", "key").groupBy("term", "key").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-        grouped.sortWithinPartitions("term", "key").write.parquet(path)
-        return cls(spark.read.schema(grouped.schema).parquet(path), sizes)
+        arrow_map(words, _own_postings, schema).sortWithinPartitions("term", "key").write.parquet(path)
+        return cls(spark.read.schema(schema).parquet(path), sizes)
 
     def occurrences(self, clauses: DataFrame) -> DataFrame:
         """(query_id, clause, role, key, tf): how often a clause occurs in a text."""
@@ -65,9 +66,8 @@ class TextIndex:
         lengths = [r[0] for r in asked.select(F.length("beginning")).distinct().collect()]  # few: no longer than a word
         if not lengths:
             return asked.limit(0).select("query_id", "clause", "role", F.lit(None).cast(self.postings.schema["key"].dataType).alias("key"), F.lit(0).cast("long").alias("tf"))
-        terms = self.postings.select("term").distinct().where(F.length("term") >= min(lengths))
-        begun = terms.select("term", F.explode(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(lengths)])).alias("beginning")).where("beginning IS NOT NULL")
-        found = asked.join(begun, "beginning").join(self.postings, "term")
+        begun = self.postings.where(F.length("term") >= min(lengths)).select("key", "tf", F.explode(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(lengths)])).alias("beginning"))
+        found = begun.where("beginning IS NOT NULL").join(asked, "beginning")
         return found.groupBy("query_id", "clause", "role", "key").agg(F.sum("tf").alias("tf"))
 
     def search(self, clauses: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -87,6 +87,21 @@ class TextIndex:
         return rows.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
+def _own_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each text from (key, words)."""
+    for batch in batches:
+        terms, counts, positions = [], [], []
+        for words in batch.column(1).to_pylist():
+            found: dict[str, list[int]] = {}
+            for i, w in enumerate(words):
+                found.setdefault(w, []).append(i)
+            terms += found
+            positions += found.values()
+            counts.append(len(found))
+        of = pa.array([k for k, n in enumerate(counts) for _ in range(n)], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(of), pa.array([len(p) for p in positions], pa.int64()), pa.array(positions, pa.list_(pa.int32()))], names=["term", "key", "tf", "positions"])
+
+
 def fused(channels: list[DataFrame], boost: Column, about: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, key, score): reciprocal ranks of (query_id, key, score) lists, a
     hundred of each, summed and then multiplied by ``boost``, a column of ``about`` (by key)."""
