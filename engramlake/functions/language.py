@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engramlake.functions.text import java
+
 # Results are only comparable with these very words and numbers.
 SIGNALS = {
     "request": r"please|could you|would you|can you|help|need|want|looking for|searching|find|tell me|show me|remind me|remember",
@@ -58,7 +60,7 @@ DAY_MONTH = r"(?i)\b([0-9]{1,2}) (" + "|".join(MONTHS) + r"),? ([0-9]{4})\b"
 
 def whole(words: str) -> str:
     """A pattern of whole words, any case."""
-    return rf"(?i)\b(?:{words})\b"
+    return java(rf"(?i)\b(?:{words})\b")
 
 
 def first_kind(text: Column, kinds: dict[str, str], default: str) -> Column:
@@ -76,7 +78,7 @@ def signal_score(text: Column, kind: str) -> Column:
 
 def foresight(text: Column) -> Column:
     """The words that tell of the future by the first pattern that does, else null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, "(?i)" + p, 0), F.lit("")) for p in FORESIGHT])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, java("(?i)" + p), 0), F.lit("")) for p in FORESIGHT])
 
 
 def informative(text: Column) -> Column:
@@ -135,22 +137,22 @@ def in_first_person(text: Column) -> Column:
     name = F.regexp_extract(text, r"^\[([A-Za-z ]+)\]: ", 1)
     rest = F.regexp_replace(text, r"^\[[A-Za-z ]+\]: ", "")
     for word, put in (("I", F.lit("")), ("my", F.lit("'s")), ("me", F.lit(""))):
-        rest = F.regexp_replace(rest, F.lit(rf"\b{word}\b"), F.concat(name, put))
+        rest = F.regexp_replace(rest, F.lit(java(rf"\b{word}\b")), F.concat(name, put))
     return F.when(name == "", text).otherwise(rest)
 
 
 def dates(text: Column) -> Column:
     """Dates written as 2024-03-05 or 8 May, 2023; in order, distinct."""
-    iso = F.transform(F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(0)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
+    iso = F.transform(F.regexp_extract_all(text, F.lit(java(ISO_DATE)), F.lit(0)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
     month = lambda m: F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.lower(m)).cast("int")
-    parts = [F.regexp_extract_all(text, F.lit(DAY_MONTH), F.lit(k)) for k in (1, 2, 3)]
+    parts = [F.regexp_extract_all(text, F.lit(java(DAY_MONTH)), F.lit(k)) for k in (1, 2, 3)]
     written = F.transform(F.arrays_zip(*parts), lambda z: F.try_to_date(F.concat_ws("-", z["2"], F.lpad(month(z["1"]).cast("string"), 2, "0"), F.lpad(z["0"], 2, "0")), "yyyy-MM-dd"))
     return F.array_sort(F.array_distinct(F.filter(F.concat(iso, written), lambda d: d.isNotNull())))
 
 
 def interval(text: Column) -> Column:
     """struct<first, last> of ``from X to Y`` or ``between X and Y`` in ISO dates, else null."""
-    pattern = r"(?i)\b(?:from|between) ([0-9]{4}-[0-9]{2}-[0-9]{2}) (?:to|and) ([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
+    pattern = java(r"(?i)\b(?:from|between) ([0-9]{4}-[0-9]{2}-[0-9]{2}) (?:to|and) ([0-9]{4}-[0-9]{2}-[0-9]{2})\b")
     ends = [F.try_to_date(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")), "yyyy-MM-dd") for k in (1, 2)]
     return F.when(ends[0].isNotNull() & ends[1].isNotNull(), F.struct(ends[0].alias("first"), ends[1].alias("last")))
 
@@ -163,11 +165,11 @@ def unit_shift(day: Column, count: Column, unit: Column) -> Column:
 def relative_day(text: Column, day: Column) -> Column:
     """What ``yesterday``, ``today``, ``tomorrow``, ``next month``, ``3 weeks ago`` and the like mean on ``day``, else null."""
     low = F.lower(text)
-    ago = [F.nullif(F.regexp_extract(low, r"\b([0-9]+) (day|week|month|year)s? ago\b", k), F.lit("")) for k in (1, 2)]
-    ahead = [F.nullif(F.regexp_extract(low, r"\bin ([0-9]+) (day|week|month|year)s?\b", k), F.lit("")) for k in (1, 2)]
-    turn = [F.nullif(F.regexp_extract(low, r"\b(last|next) (week|month|year)\b", k), F.lit("")) for k in (1, 2)]
+    ago = [F.nullif(F.regexp_extract(low, java(r"\b([0-9]+) (day|week|month|year)s? ago\b"), k), F.lit("")) for k in (1, 2)]
+    ahead = [F.nullif(F.regexp_extract(low, java(r"\bin ([0-9]+) (day|week|month|year)s?\b"), k), F.lit("")) for k in (1, 2)]
+    turn = [F.nullif(F.regexp_extract(low, java(r"\b(last|next) (week|month|year)\b"), k), F.lit("")) for k in (1, 2)]
     return F.coalesce(
-        F.when(low.rlike(r"\byesterday\b"), F.date_add(day, -1)).when(low.rlike(r"\btomorrow\b"), F.date_add(day, 1)).when(low.rlike(r"\btoday\b"), day),
+        F.when(low.rlike(java(r"\byesterday\b")), F.date_add(day, -1)).when(low.rlike(java(r"\btomorrow\b")), F.date_add(day, 1)).when(low.rlike(java(r"\btoday\b")), day),
         unit_shift(day, -ago[0].cast("int"), ago[1]),
         unit_shift(day, ahead[0].cast("int"), ahead[1]),
         unit_shift(day, F.when(turn[0] == "last", -1).otherwise(1), turn[1]),
