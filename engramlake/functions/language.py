@@ -181,17 +181,24 @@ def part_of_day(hour: Column, starts: tuple[int, int, int] = (5, 12, 17), night:
     return F.when((hour >= starts[0]) & (hour < starts[1]), "morning").when((hour >= starts[1]) & (hour < starts[2]), "afternoon").when((hour >= starts[2]) & (hour < night), "evening").otherwise("night")
 
 
+#: Zero-width marks: of the bits of small keys, of the hex digits of others (variation selectors), and of no key.
+BIT_MARKS, DIGIT_MARKS, NO_KEY = "\u200b\u200c", "".join(map(chr, range(0xFE00, 0xFE10))), "\u2060"
+
+
 def watermark(text: Column, key: Column) -> Column:
-    """``text`` with the bits of a key (16 of them) as zero-width characters behind its first character."""
-    bits = F.lpad(F.bin(F.pmod(key, F.lit(1 << 16))), 16, "0")
-    marks = F.translate(bits, "01", "​‌")
+    """``text`` with a key as 16 zero-width characters behind its first character: the bits
+    of a key below 2^16, the hex digits of any other, marks of its own for a null."""
+    bits = F.translate(F.lpad(F.bin(key), 16, "0"), "01", BIT_MARKS)
+    digits = F.translate(F.lpad(F.hex(key), 16, "0"), "0123456789ABCDEF", DIGIT_MARKS)
+    marks = F.when(key.between(0, (1 << 16) - 1), bits).when(key.isNotNull(), digits).otherwise(NO_KEY * 16)
     return F.concat(F.substring(text, 1, 1), marks, F.substr(text, F.lit(2)))
 
 
 def read_watermark(text: Column) -> Column:
     """The key that ``watermark`` put in, else null."""
-    bits = F.translate(F.regexp_extract(text, "[​‌]{16}", 0), "​‌", "01")
-    return F.conv(F.nullif(bits, F.lit("")), 2, 10).cast("long")
+    marks = F.regexp_extract(text, f"[{BIT_MARKS}]{{16}}|[{DIGIT_MARKS}]{{16}}|{NO_KEY}{{16}}", 0)
+    bits, digits = F.translate(marks, BIT_MARKS, "01"), F.translate(marks, DIGIT_MARKS, "0123456789ABCDEF")
+    return F.when(bits.rlike("^[01]{16}$"), F.conv(bits, 2, 10)).when(digits.rlike("^[0-9A-F]{16}$"), F.conv(digits, 16, -10)).cast("long")
 
 
 def fts_query(text: Column, most: int = 500) -> Column:
