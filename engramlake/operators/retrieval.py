@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
 from engramlake.functions import vectors as V
+from engramlake.operators import pairwise as P
 from engramlake.sources.scratch import written
 
 
@@ -35,15 +36,19 @@ def bm25(facts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     return scored.groupBy("query_id", "fact_id").agg(F.sum(part).alias("score"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, fact_id, score): the k vectors of largest cosine for each query.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, fact_id, score, rank): the k vectors of largest cosine for each query.
 
-    The stated queries meet all vectors; each task keeps its best k a query
-    (a partial top-k) before the shuffle, by the group-limit of ranked windows.
+    The stated queries meet all vectors in blocks; a task keeps its best k a query.
     """
-    pairs = vectors.select("fact_id", F.col("v").alias("x")).crossJoin(queries.select("query_id", F.col("v").alias("q")))
-    scored = pairs.select("query_id", "fact_id", V.cosine(F.col("q"), F.col("x")).alias("score")).where(F.col("score") > least)
-    return top(scored, k)
+    return top(P.candidates(P.products(queries, vectors, k)), k)
+
+
+def scaled_nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``nearest`` with scores scaled so that each query's cosines with all vectors reach from 0 to 1."""
+    found = written(P.products(queries, vectors, k), "products")
+    ranked = top(P.candidates(found), k).join(P.sums(found), "query_id")
+    return ranked.select("query_id", "fact_id", F.try_divide(F.col("score") - F.col("low"), F.col("high") - F.col("low")).alias("score"), "rank")
 
 
 def semantic_blend(near: DataFrame, facts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -78,14 +83,11 @@ def cross_channel(fused: DataFrame) -> DataFrame:
     return fused.withColumn("score", F.col("score") * boost)
 
 
-def hopfield(queries: DataFrame, vectors: DataFrame, beta: Column) -> DataFrame:
-    """Attention softmax(beta x.q) of each query over the stored vectors: (query_id, fact_id, score)."""
-    pairs = vectors.select("fact_id", F.col("v").alias("x")).crossJoin(queries.select("query_id", F.col("v").alias("q")))
-    logits = pairs.select("query_id", "fact_id", (beta * V.dot(F.col("q"), F.col("x"))).alias("z"))
-    best = logits.groupBy("query_id").agg(F.max("z").alias("m"))
-    shifted = logits.join(best, "query_id").withColumn("e", F.exp(F.col("z") - F.col("m")))
-    total = shifted.groupBy("query_id").agg(F.sum("e").alias("total"))
-    return shifted.join(total, "query_id").select("query_id", "fact_id", (F.col("e") / F.col("total")).alias("score"))
+def hopfield(queries: DataFrame, vectors: DataFrame, beta: float, k: int) -> DataFrame:
+    """(query_id, fact_id, score, rank): the k largest of the attention softmax(beta x.q) of each query over the stored vectors."""
+    # shares of many vectors are small and tie at nine digits, so the best are known only after the sums
+    known = written(P.sums(P.products(queries, vectors, 0, beta)), "sums")
+    return top(P.candidates(P.products(queries, vectors, k, beta, known)), k)
 
 
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int = 3, keep: float = 0.5, share: float = 0.8, top_n: int = 20) -> DataFrame:
