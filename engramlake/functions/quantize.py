@@ -62,8 +62,8 @@ def sign_sketch(x: np.ndarray, width: int = 128, seed: int = 7) -> np.ndarray:
 
 def sketch_dot(q: np.ndarray, signs: np.ndarray, norms: np.ndarray, seed: int = 7) -> np.ndarray:
     """Estimates q . x from sign sketches: sqrt(pi / 2) |x| mean((R q) sign(R x))."""
-    rq = q @ np.random.default_rng(seed).normal(size=(len(q), signs.shape[1]))
-    return math.sqrt(math.pi / 2) * norms * ((2 * signs - 1) @ rq) / signs.shape[1]
+    rq = q @ np.random.default_rng(seed).normal(size=(q.shape[-1], signs.shape[1]))
+    return math.sqrt(math.pi / 2) * norms * (rq @ (2 * signs - 1).T) / signs.shape[1]
 
 
 def quantise(df: DataFrame, bits: int, key: str = "fact_id", vector: str = "v") -> DataFrame:

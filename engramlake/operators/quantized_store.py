@@ -3,8 +3,8 @@
 The store is a written table of blocks, one width a block: ids, radii, packed
 codes and, for 4 bits or fewer, a sign sketch of what quantising has lost with
 its length.  A query becomes a table of what each value of each packed byte adds
-to the dot product, so codes are looked up, never decoded; the sketch's estimate
-of the lost part is added.  Stated queries, packed in blocks too, meet all
+to the dot product, so codes are looked up; blocks of queries read a block's codes
+once and multiply.  The sketch's estimate of the lost part is added.  Stated queries, packed in blocks too, meet all
 blocks, each pair keeps the best of each query, and the best overall are scored
 anew by the full vectors of the facts.
 """
@@ -88,6 +88,27 @@ def similarities(q: np.ndarray, block: dict, turn: np.ndarray, sketched: bool =
     return np.divide(dots, norms * size, out=np.zeros(n), where=norms * size > 1e-12)
 
 
+def block_similarities(q: np.ndarray, block: dict, turn: np.ndarray) -> np.ndarray:
+    """``similarities`` of the rows of ``q``: the codes' vectors are read once and multiplied with all queries."""
+    n, bits, dims = len(block["ids"]), block["bits"], q.shape[1]
+    numbers = lambda c: np.frombuffer(block[c], dtype=np.float32).astype(float)
+    if bits == 32:
+        x = np.frombuffer(block["codes"], dtype=np.float32).reshape(n, -1).astype(float)
+    else:
+        x = Z.decode(numbers("radius"), Z.unpack(_cut(block["codes"], n), bits, dims), bits, turn)
+    dots, norms = q @ x.T, numbers("norm")
+    if block["sketch"]:
+        signs = np.unpackbits(np.frombuffer(block["sketch"], dtype=np.uint8).reshape(n, -1), axis=1).astype(float)
+        dots, norms = dots + Z.sketch_dot(q, signs, numbers("lost")), numbers("radius")  # the whole vector's length now
+    lengths = np.linalg.norm(q, axis=1)[:, None] * norms[None, :]
+    return np.divide(dots, lengths, out=np.zeros(dots.shape), where=lengths > 1e-12)
+
+
+def _cut(raw: bytes, n: int) -> list[bytes]:
+    size = len(raw) // n
+    return [raw[i : i + size] for i in range(0, len(raw), size)]
+
+
 def approximate(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, fact_id, score): the k best of each (query_id, v) by approximate cosine."""
 
@@ -106,12 +127,14 @@ def approximate(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 q = np.frombuffer(row["q"]).reshape(len(row["qids"]), -1)
                 turn = turns.setdefault(q.shape[1], Z.rotation(q.shape[1]))
                 ids = np.array(row["ids"])
-                found = []
-                for i, vector in zip(row["qids"], q):
-                    s = np.round(similarities(vector, row, turn), 9)
-                    best = np.lexsort((ids, -s))[:k]
-                    found += [(i, int(ids[j]), float(s[j])) for j in best]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "fact_id", "score"])
+                s = np.round(block_similarities(q, row, turn), 9)
+                floor = np.partition(s, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+                a, b = np.nonzero(s >= floor[:, None])
+                order = np.lexsort((ids[b], -s[a, b], a))
+                a, b = a[order], b[order]
+                best = np.arange(len(a)) - np.searchsorted(a, a) < k
+                a, b = a[best], b[best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["qids"])[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(s[a, b])], names=["query_id", "fact_id", "score"])
 
     pairs = store.crossJoin(asked)  # the stated queries, in blocks, against all blocks
     return _top(arrow_map(pairs, run, "query_id long, fact_id long, score double"), k)

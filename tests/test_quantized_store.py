@@ -83,3 +83,12 @@ def test_queries(spark):
     assert all(r.mean_error < {2: 0.5, 4: 0.02, 8: 0.005, 32: 1e-9}[b] for b, r in widths.items())
     assert all(r.bytes == r.facts * 64 * b // 8 for b, r in widths.items())
     assert QUERIES["quantised_search"](spark, sf).count() == 250
+
+
+@pytest.mark.parametrize("bits", [2, 4, 8, 32])
+def test_blocks_of_queries_score_as_one_query_does(bits):
+    rng = np.random.default_rng(3)
+    x, q, turn = rng.normal(size=(40, 12)), rng.normal(size=(5, 12)), S.Z.rotation(12)
+    block = S._block(bits, np.arange(40), x, turn).to_pylist()[0]
+    got = S.block_similarities(q, block, turn)
+    assert np.allclose(got, [S.similarities(v, block, turn) for v in q], atol=1e-12)
