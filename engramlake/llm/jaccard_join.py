@@ -9,9 +9,14 @@ three subsets of two sub-partitions are enumerated: one of them is the same for
 both sets, and its hash is a shared signature (Arasu, Ganti and Kaushik, 2006).
 
 Scale.  Equal sets are one node (a pre-aggregated minimum) and send their
-signatures once a task.  Signatures are two longs a row, dealt once by signature and read as a sorted stream that keeps one
-row: each set of a bucket is tied to the bucket's smallest set, so a bucket
-gives a row per member, never its pairs.  Sets that can be similar are thus in
+signatures once a task.  Signatures are two longs a row, dealt once by signature and read as a sorted stream that keeps
+the bucket it is in, as far as it is small.  A small bucket gives its pairs, of
+which those stay that a lower bound of the difference (from counts of the sets'
+hashes in bins) allows.  A large one gives a row per member, never its pairs.
+Similar sets have the same signature in more partitions than one (``spare`` more);
+so a set with no more large buckets than it has partitions to spare meets all
+its like in small ones, and leaves the large ones.  The sets that stay in one are tied to
+the smallest of them.  Sets that can be similar are thus in
 one cluster of tied sets.  A cluster is compared in cells of bounded size: a
 small one whole, a larger one by size bands and salted blocks, each pair of
 blocks that can hold links in a cell of its own.  In a cell, the pairs that
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramlake.llm import wordhash as W
-from engramlake.llm.shared import arrow_map, components, materialize, table
+from engramlake.llm.shared import arrow_map, components, join_counted, materialize, table
 
 U = np.uint64
 #: Ratio of a band's ends.
@@ -61,9 +66,15 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
 
     Similar means 100 * intersection >= percent * union.
     """
-    n = len(u)
+    return _signatures(u, percent)[0]
+
+
+def _signatures(u: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """``signatures``, and how many of them may be left out: whichever they are, each
+    similar set shares another one."""
+    n, room = len(u), 1 << 30
     if not n:
-        return np.zeros(0, dtype=U)
+        return np.zeros(0, dtype=U), 0
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, dtype=U), np.cumsum(W.mix(u + U(0x632BE59BD9B4E019)))])
         own = int(np.searchsorted(_BANDS, n, side="right")) - 1
@@ -75,7 +86,7 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
             apart = most * (100 - percent) // (100 + percent)
             # one partition at least has one difference at most; with ``spare`` more, so
             # many, and one besides, do
-            spare = 1 + apart // 12 if apart else 0
+            spare = 1 + apart // 6 if apart else 0
             parts = apart // 2 + 1 + spare
             subs = 3 if apart else 1
             # sub-partition j holds hashes from j / (parts * subs) of the domain on
@@ -90,9 +101,11 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
             sigs = W.mix(left ^ W.mix(tag))
             # an empty subset says nothing; a set with few of them is found by others:
             # of the partitions that agree, one has no empty subset
-            few = (~filled).any(axis=1).sum() <= spare
+            empty = int((~filled).any(axis=1).sum())
+            few = empty <= spare
             out.append(sigs[filled] if few else sigs.ravel())
-        return np.concatenate(out)
+            room = min(room, spare - empty if few else spare)
+        return np.concatenate(out), room
 
 
 def _shingled(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -108,17 +121,55 @@ def _fingerprint(u: np.ndarray) -> tuple[int, int]:
         return int(u.sum(dtype=U).view(np.int64)), int(W.mix(u ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=U).view(np.int64))
 
 
-def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, n and f1, f2 (fingerprint) of the set of every text."""
+#: Bins in which the hashes of a set are counted, for those up to LONG shingles and for larger ones.
+BINS, LONG = (64, 512), 1000
+
+
+def _counts(u: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each bin; a bin of 65,535 and more counts as that, which no bound exceeds."""
+    shift = 64 - BINS[len(u) > LONG].bit_length() + 1
+    return np.minimum(np.bincount((u >> U(shift)).astype(np.int64), minlength=BINS[len(u) > LONG]), 65_535).astype("<u2").tobytes()
+
+
+def _may_be_similar(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False only if sets of n and m shingles with counts x and y are not similar."""
+    both = [np.frombuffer(k, dtype="<u2").astype(np.int64) for k in (x, y)]
+    least = min(map(len, both))
+    if any(len(k) > least and k.max() == 65_535 for k in both):
+        return True
+    # |difference| <= (100 - percent) / (100 + percent) * (sum of sizes) for links
+    p, q = (k.reshape(least, -1).sum(axis=1) for k in both)
+    return (100 + percent) * int(np.abs(p - q).sum()) <= (100 - percent) * (n + m)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the counts of their sets allow to be similar."""
+    known = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "bins")).alias("x"))
+    rows = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("x").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("x").alias("y")), "b")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    rows = rows.where(sizes).select("a", "b", F.col("x.n").alias("n"), F.col("x.bins").alias("x"), F.col("y.n").alias("m"), F.col("y.bins").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [_may_be_similar(*row, percent) for row in zip(n, x, m, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(rows, run, "a long, b long")
+
+
+def _sets(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """doc_id, n, f1, f2 (fingerprint), bins (counts) and room (signatures that may be left out) of the set of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _shingled(batch, size):
                 prints = [_fingerprint(u) for u in sets]
                 columns = [pa.array([len(u) for u in sets], pa.int64()), *(pa.array([f[k] for f in prints], pa.int64()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n", "f1", "f2"])
+                columns += [pa.array([_counts(u) for u in sets], pa.binary()), pa.array([_signatures(u, percent)[1] for u in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n", "f1", "f2", "bins", "room"])
 
-    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")), run, "doc_id long, n long, f1 long, f2 long")
+    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("t")), run, "doc_id long, n long, f1 long, f2 long, bins binary, room long")
 
 
 #: Fingerprints a task remembers, to send the signatures of a set once.
@@ -149,26 +200,60 @@ def _signed(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     return made.select(F.explode("sigs").alias("sig"), "doc")
 
 
+#: Sets of a bucket up to which it is small.
+SMALL = 8
+
+
 def _ties(rows: DataFrame, parts: int) -> DataFrame:
-    """(a, b) for every doc b of a bucket and the bucket's smallest doc a, of rows (sig, doc)."""
+    """Of rows (sig, doc): (null, a, b) for the pairs of small buckets and (sig, doc, null) for each doc of a large one."""
+    small = SMALL
+
+    def told(sigs: np.ndarray, docs: np.ndarray, large: np.int64 | None) -> pa.RecordBatch:
+        """Of whole buckets, but for that of ``large``, of which members have been told."""
+        head = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        size = np.repeat(np.diff(np.append(head, len(sigs))), np.diff(np.append(head, len(sigs))))
+        big = (size > small) | (sigs == large if large is not None else False)
+        a, b = [], []
+        for d in range(1, min(small, len(sigs))):
+            at = np.flatnonzero((sigs[d:] == sigs[:-d]) & ~big[d:] & (docs[d:] != docs[:-d]))
+            a.append(docs[at])
+            b.append(docs[at + d])
+        pairs = sum(map(len, a))
+        nulls = pa.nulls(pairs, pa.int64()), pa.nulls(int(big.sum()), pa.int64())
+        columns = [[nulls[0], pa.array(sigs[big])], [pa.array(np.concatenate([*a, docs[:0]])), pa.array(docs[big])], [pa.array(np.concatenate([*b, docs[:0]])), nulls[1]]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["sig", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, first = None, None
+        sigs = docs = np.zeros(0, dtype=np.int64)
+        large = None
         for batch in batches:
             if not len(batch):
                 continue
-            sigs, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            new = np.ones(len(sigs), dtype=bool)
-            new[1:] = sigs[1:] != sigs[:-1]
-            new[0] = sig is None or sigs[0] != sig
-            heads = np.where(new, np.arange(len(sigs)), -1)
-            heads = np.maximum.accumulate(heads)
-            lead = np.where(heads >= 0, docs[heads], first if first is not None else 0)
-            sig, first = sigs[-1], lead[-1]
-            tied = lead != docs
-            yield pa.RecordBatch.from_arrays([pa.array(lead[tied]), pa.array(docs[tied])], names=["a", "b"])
-
-    return arrow_map(rows.repartition(parts, "sig").sortWithinPartitions("sig", "doc").select("sig", "doc"), run, "a long, b long")
+            sigs, docs = (np.concatenate([held, batch.column(k).to_numpy(zero_copy_only=False)]) for k, held in enumerate((sigs, docs)))
+            # the last bucket may go on; of a large one nothing is held
+            cut = int(np.searchsorted(sigs, sigs[-1]))
+            if len(sigs) - cut > small or sigs[-1] == large:
+                cut = len(sigs)
+            if cut:
+                yield told(sigs[:cut], docs[:cut], large)
+                large = sigs[cut - 1] if cut == len(sigs) else None
+            sigs, docs = sigs[cut:], docs[cut:]
+        if len(sigs):
+            yield told(sigs, docs, large)
+
+    return arrow_map(rows.repartition(parts, "sig").sortWithinPartitions("sig", "doc").select("sig", "doc"), run, "sig long, a long, b long")
+
+
+def _tied(signed: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(a, b): docs tied by shared signatures, so that similar sets are in one cluster of them."""
+    ties = materialize(_ties(signed, parts).distinct(), "ties")
+    near = _near(ties.where("sig is null").select("a", "b"), sets, percent)
+    held = ties.where("sig is not null").select("sig", F.col("a").alias("doc"))
+    room = sets.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("room").alias("room"))
+    stay = held.groupBy("doc").count().join(room, "doc").where("count > room").select("doc")
+    held = held.join(stay, "doc")
+    first = held.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.count("*").alias("n")).where("a <> last").drop("last")
+    return near.unionByName(join_counted(held, first, ["sig"], held.count()).where("a <> doc").select("a", F.col("doc").alias("b")))
 
 
 #: Sets and shingles that a block of a cell holds at most, by its expected share.
@@ -316,11 +401,11 @@ def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select("doc_id", text)
-    sets = materialize(_sets(docs, text, size), "sets")
+    sets = materialize(_sets(docs, text, size, percent), "sets")
     copies = materialize(
         sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "copies"
     )
-    ties = materialize(_ties(_signed(docs, text, size, percent), parts).distinct(), "ties")
+    ties = materialize(_tied(_signed(docs, text, size, percent), sets, parts, percent).distinct(), "tied")
     # of copies, the smallest doc_id stands for the set
     named = sets.where("doc_id is not null").join(copies, ["n", "f1", "f2"]).select("doc_id", "rep").distinct()
     ties = ties.join(named.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")

@@ -107,3 +107,50 @@ def test_cells_join_what_links_join(monkeypatch, few):
 
         got = J._compare(list(range(len(sets))), sets, sides, 80)
         assert set(got) <= set(links) and joined(got) == joined(links) and len(got) == len(sets) - len(set(joined(links)))
+
+
+@pytest.mark.parametrize("small", [1, 2, 8])
+def test_a_shared_passage_makes_no_large_cluster(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "SMALL", small)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(14))
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(rng.randint(250, 330))]
+        rows.append((2 * k, " ".join([*own, passage])))
+        if k % 6 == 0:
+            rows.append((2 * k + 1, " ".join([*own[:-4], passage])))
+    found, cells = [], J._cells
+    monkeypatch.setattr(J, "_cells", lambda members, percent: found.extend(r["count"] for r in members.groupBy("cluster").count().collect()) or cells(members, percent))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 80)
+    assert small < 8 or max(found) == 2
+
+
+def test_what_may_be_left_out_loses_no_pair():
+    rng = np.random.default_rng(11)
+    seen = 0
+    for _ in range(1500):
+        u = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 600)), dtype=np.uint64) * np.uint64(2))
+        v = np.unique(np.concatenate([u[rng.random(len(u)) > rng.random() * 0.2], rng.integers(0, 1 << 63, int(rng.integers(0, len(u) // 8 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(u, v))
+        if not len(v) or 100 * both < 80 * (len(u) + len(v) - both):
+            continue
+        assert J._may_be_similar(len(u), J._counts(u), len(v), J._counts(v), 80)
+        shared = len(np.intersect1d(J.signatures(u, 80), J.signatures(v, 80)))
+        for x in (u, v):
+            room = J._signatures(x, 80)[1]
+            assert shared > room
+            seen += room > 0
+    assert seen > 300
+
+
+def test_bounds_of_counts_of_two_widths():
+    rng = np.random.default_rng(3)
+    u = np.unique(rng.integers(0, 1 << 63, 1080, dtype=np.uint64) * np.uint64(2))
+    w = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2))
+    v = u[rng.permutation(len(u))[:980]]
+    assert len(J._counts(u)) == 1024 and len(J._counts(v)) == 128
+    assert J._may_be_similar(len(u), J._counts(u), len(v), J._counts(v), 80)
+    assert not J._may_be_similar(len(u), J._counts(u), len(w), J._counts(w), 80)
