@@ -131,9 +131,11 @@ def implicit_labels(spark, sf):
 def closest_path(spark, sf):
     """Of the symbols of a name, the one least far in the tree of files."""
     p = table(spark, sf, "part")
-    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"), "p_name", F.col("p_brand").alias("f"), F.col("p_type").alias("t"))
-    j = a.join(p, "p_name").where("target <> p_partkey").withColumn("far", F.when(F.col("f") == F.col("p_brand"), 0).when(F.col("t") == F.col("p_type"), 1).otherwise(2))
-    return _rank(j, ["target"], ["far", "p_partkey"], "k").where("k = 1").select("target", F.col("p_partkey").alias("closest"))
+    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"), "p_name", "p_brand", "p_type")
+    # the two smallest of a name, and of a name in a file or folder, hold the nearest: nothing else meets
+    near = lambda far, keys: a.select("target", *keys).join(_rank(p.select("p_partkey", *keys).distinct(), keys, ["p_partkey"], "k").where("k <= 2"), keys).where("target <> p_partkey").select("target", F.lit(far).alias("far"), "p_partkey")
+    j = near(0, ["p_name", "p_brand"]).unionByName(near(1, ["p_name", "p_type"])).unionByName(near(2, ["p_name"]))
+    return j.groupBy("target").agg(F.min(F.struct("far", "p_partkey")).alias("m")).select("target", F.col("m.p_partkey").alias("closest"))
 
 
 @query(f"WITH {PART_EDGES_SQL}, c AS (SELECT p_partkey AS node FROM part WHERE md5(p_name || p_brand) < '1') SELECT node, 'changed' AS why FROM c UNION ALL SELECT DISTINCT src, 'dependent' FROM edges JOIN c ON dst = node WHERE src NOT IN (SELECT node FROM c)")
