@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import language as L
+from engramlake.operators import relational as R
 from engramlake.operators import store as S
 from engramlake.plans.registry import query
 from engramlake.sources.tables import FACTS_SQL, PART_EDGES_SQL, events, facts, part_edges, table
@@ -316,9 +317,8 @@ def degradation_trigger(spark, sf):
 
 @query("WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a, b, n FROM (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2) ORDER BY n DESC, a, b LIMIT 10")
 def skill_correlations(spark, sf):
-    s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
-    one = s.select("l_orderkey", F.explode("s").alias("a"))
-    pairs = one.join(one.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")
+    lines = table(spark, sf, "lineitem")
+    pairs = R.co_occurrences(lines.select("l_orderkey", "l_suppkey").distinct(), "l_orderkey", "l_suppkey", rows=lines.count()).where("n >= 2")
     return pairs.orderBy(F.desc("n"), "a", "b").limit(10)
 
 

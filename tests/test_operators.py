@@ -1,6 +1,9 @@
 """Edge cases and operators whose results SQL does not check."""
 
+import random
+
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from engramlake.operators import graph as G
 from engramlake.operators import lifecycle as L
 from engramlake.operators import relational as R
 from engramlake.operators import retrieval as Q
+from engramlake.plans.catalog import ORACLES, QUERIES
 from engramlake.sources import files
 
 
@@ -127,3 +131,47 @@ def test_extraction_and_chunks(spark):
     assert {r.conv_id for r in got} == {1} and got[0].fact_type in ("temporal", "semantic", "episodic")
     t = spark.range(21).select(F.lit(1).alias("c"), F.col("id").alias("turn"))
     assert sorted((r.chunk, r.turns) for r in R.turn_chunks(t, "c", "turn").collect()) == [(0, 10), (1, 10), (2, 5)]
+
+
+def _parts(df):
+    """Partitions of the exchanges that a query states itself."""
+    import re
+
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
+
+
+@pytest.mark.parametrize("name", ["co_retrieval", "co_retrieval_neighbours", "co_access_strengthening", "skill_correlations", "two_hop_paths"])
+def test_joins_of_a_table_with_itself_have_tasks_in_proportion(spark, monkeypatch, name):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for dealt in (1000, 200):
+        monkeypatch.setattr(R, "DEALT", dealt)
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert min(_parts(df), default=0) >= rows // dealt
+        assert oracle.differences(df, ORACLES[name], "/root/testdata/sf0.001") is None
+
+
+def test_shared_entities_meet_by_pairs_of_entities(spark):
+    rng = random.Random(4)
+    rows = {(f, rng.randrange(25)) for f in range(60) for _ in range(rng.randrange(9))} | {(f, 99) for f in range(60)} | {(7, None), (8, None)}
+    bridge = spark.createDataFrame(sorted(rows, key=str), "fact_id long, entity long")
+    held = {f: {e for g, e in rows if g == f and e is not None} for f in range(60)}
+    for least in (1, 2, 3, 4):
+        df = G.shared_entity_pairs(bridge, least)
+        want = sorted((a, b, n) for a in held for b in held if a < b and (n := len(held[a] & held[b])) >= least)
+        assert sorted((r.a, r.b, r.shared) for r in df.collect()) == want and want
+        # facts that share one entity only are not joined
+        assert ("[x#" in df._jdf.queryExecution().executedPlan().toString()) == (least > 1)
+
+
+def test_closest_path_joins_no_name_with_itself(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["f", "g", "h", None]), rng.choice(["s", "t", None])) for k in range(400)] + [(500, "c", "f", "s"), (520, "d", "f", "s"), (521, "d", "g", "t"), (541, "d", "g", "s")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["closest_path"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 3  # two of each group meet the targets
+    want = {}
+    for k, name, brand, kind in rows:
+        far = [((0 if brand and brand == b else 1 if kind and kind == t else 2), p) for p, n, b, t in rows if name and n == name and p != k]
+        if k % 20 == 0 and far:
+            want[k] = min(far)[1]
+    assert {r.target: r.closest for r in df.collect()} == want
