@@ -129,3 +129,33 @@ def test_communities_of_parts(spark):
     by_label = {r.node: r.label for r in G.label_propagation(part_edges(spark, sf)).collect()}
     assert hangs_together(edges, of)
     assert plain_modularity(edges, of) >= plain_modularity(edges, by_label)
+
+
+def test_batches_of_sources_keep_their_tables_no_longer_than_they_run(spark, monkeypatch):
+    import os
+
+    pairs = [(0, 1), (1, 2), (0, 3), (3, 2), (2, 4), (4, 0)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    monkeypatch.setattr(C, "ROWS", 15)
+    left = []
+    taken = C._through
+    monkeypatch.setattr(C, "_through", lambda *a: left.append(sum(len(os.listdir(f"{at}/{p}")) for p in os.listdir(at) if p.startswith("paths-"))) or taken(*a))
+    got = {r.node: r.betweenness for r in C.betweenness(edges, weighted=False).collect()}
+    assert len(left) == 2 and not any(left)
+    want = brandes([(a, b, 1.0) for a, b in pairs], range(5), range(5), False)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in range(5))
+
+
+def test_second_edges_of_chains_go(spark):
+    rng = random.Random(6)
+    rows = {(rng.randrange(30), rng.randrange(30)): float(rng.randint(1, 9)) for _ in range(60)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "src long, dst long, weight double")
+    df = G.collapse_chains(edges)
+    chains = [(a, c, w) for (a, b), w in rows.items() for (d, c) in rows if b == d]
+    want = {e: w for e, w in rows.items() if not any(d == e[0] for _, d in rows)}
+    for a, c, w in chains:
+        if a != c:
+            want[a, c] = max(w, want.get((a, c), 0))
+    assert {(r.src, r.dst): r.weight for r in df.collect()} == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the chains are listed once; three joins before
