@@ -86,6 +86,22 @@ def test_scenes_are_a_plain_loop(spark):
     assert 20 < len(set(got.values())) < 400
 
 
+def test_scenes_are_the_same_in_blocks(spark):
+    df = made(spark)
+    for block in (7, 50):
+        got = {r.fact_id: r.scene for r in O.scenes(df, 0.6, block).collect()}
+        assert got == plain_scenes(in_order(df), 0.6)
+    assert O.scenes(df.limit(0)).count() == 0
+
+
+def test_a_likeness_at_the_threshold_counts(spark):
+    # 0.6 to nine digits, whatever the order of a sum; copies of a text go to the earliest scene
+    rows = [(k, "a", dt.date(2024, 1, 1), v, v) for k, v in enumerate(([1.0, 0.0], [3.0, 4.0], [0.0, 1.0], [3.0, 4.0], [0.3 * 3, 0.3 * 4]))]
+    df = spark.createDataFrame(rows, "fact_id long, profile_id string, created_on date, v array<double>, theme array<double>")
+    for block in (1, 2, 9):
+        assert {r.fact_id: r.scene for r in O.scenes(df, 0.6, block).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2}
+
+
 def test_over_texts(spark):
     f = _with_vectors(spark, SF)
     rows = in_order(f)
