@@ -14,9 +14,10 @@ Plan.  (1) Words of all training texts are counted: each task counts what it
 reads, then one shuffle of (word, count); the table is written.  (2) Words above
 a count that at most ``KNOWN`` words reach go with the model to the tasks; the
 endings' sums are an aggregate.  (3) The network's weights are fitted by
-truncated backpropagation on about ``SAMPLE`` tokens of training texts, chosen
-by hash, in ``SHARDS`` tasks at once whose weights are averaged after each of
-``ROUNDS`` rounds; all counts come from the whole corpus.  (4) All texts are
+truncated backpropagation on every token of all training texts.  Texts are dealt
+by hash to shards of about ``PIECE`` tokens, each a task of one of ``ROUNDS`` rounds, after
+which the weights of its tasks are averaged; a corpus of ``SHARDS`` shards or fewer
+takes all of them in every round.  (4) All texts are
 scored in a narrow step; the words beyond those known are dealt by word to the
 table of counts (a join that skew splitting applies to), and their sums of a
 text come back, keyed by row.
@@ -30,6 +31,7 @@ untouched, but those named as in ``ADDED`` are replaced.
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -44,9 +46,9 @@ from engramlake.llm.byte_bpe import _slices
 from engramlake.llm.shared import arrow_map, materialize, table
 
 HEAD, ENDINGS, CLASSES, KNOWN = 2048, 96, 48, 1 << 16
-HIDDEN, STEPS, LANES = 24, 32, 64
-#: Tokens that the weights are fitted on, tasks that fit them, rounds, and updates of a task in a round.
-SAMPLE, SHARDS, ROUNDS, UPDATES = 1_600_000, 4, 4, 120
+HIDDEN, STEPS, LANES, MOST_LANES = 24, 32, 64, 256
+#: Tokens of a shard, the fewest shards, rounds, and the fewest updates of a task in a round.
+PIECE, SHARDS, ROUNDS, UPDATES = 1_000_000, 4, 4, 120
 RATE, CLIP = 0.02, 1.0
 #: Lanes and steps of scoring, and distinct words that a task counts before it hands them on.
 WIDE, LONG, DISTINCT = 256, 64, 400_000
@@ -339,46 +341,67 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Model
     return model, counts
 
 
-def _train(model: Model, train: DataFrame, text: str, key: str) -> None:
-    """Fits the network on a sample that has about SAMPLE tokens, in SHARDS tasks, and averages their weights after each round."""
-    place = F.pmod(F.xxhash64(F.lit("lm"), F.col(f"`{key}`")), F.lit(1 << 40))
-    chosen = train.where(place < F.lit(int(min(1.0, SAMPLE / model.total) * (1 << 40)))).select((place % SHARDS).cast("int").alias("shard"), place.alias("place"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
+def _shards(total: int) -> int:
+    """Shards of ``total`` tokens: SHARDS that all rounds take, or more, each of one round."""
+    return SHARDS if total <= SHARDS * PIECE else -(-total // (PIECE * ROUNDS)) * ROUNDS
+
+
+def _train(model: Model, train: DataFrame, text: str, key: str) -> list[int]:
+    """Fits the network on all tokens of ``train``, a task a shard, and averages the weights after each round; the tokens that rounds read."""
+    shards = _shards(model.total)
+    column = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    place = F.pmod(F.xxhash64(F.lit("lm"), F.col(f"`{key}`"), column), F.lit(1 << 40))
+    dealt = train.select((place % shards).cast("int").alias("shard"), place.alias("place"), column.alias("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, rows in _slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([model.read(x)[1].tobytes() for x in rows], pa.binary())], names=["shard", "place", "symbols"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([model.read(x)[1].astype(np.uint16).tobytes() for x in rows], pa.binary())], names=["shard", "place", "symbols"])
 
-    sample = materialize(arrow_map(chosen, encode, "shard int, place long, symbols binary"), "lm-sample")
-    sample = sample.repartition(4 * SHARDS, "shard")  # a task for each shard; grouping deals it no further
-    names = sorted(model.network.w)
+    texts = materialize(arrow_map(dealt, encode, "shard int, place long, symbols binary"), "lm-symbols")
+    names, end = sorted(model.network.w), model.end
     shapes = {k: model.network.w[k].shape for k in names}
 
-    def round_of(k: int):
+    def round_of(begun: Network, k: int):
         def run(shard: pa.Table) -> pa.Table:
-            network = model.network
+            network = copy.deepcopy(begun)  # a task may get two shards
             rows = sorted(zip(shard["place"].to_pylist(), shard["symbols"].to_pylist()))
-            y = np.frombuffer(b"".join(s for _, s in rows), dtype=np.int32)
-            lanes = max(1, min(LANES, len(y) // (2 * STEPS)))
-            steps = len(y) // lanes
-            y = y[: steps * lanes].reshape(lanes, steps).T
-            x = np.vstack([np.full((1, lanes), model.end, np.int32), y[:-1]])
-            keep = (x != model.end).astype(np.float32)
-            network.train(x, y, keep, k * UPDATES * STEPS, UPDATES, RATE / (1 + k))
+            y = np.frombuffer(b"".join(s for _, s in rows), dtype=np.uint16).astype(np.int32)
+            tokens = y.size
+            lanes = max(1, min(MOST_LANES, max(LANES, tokens // (UPDATES * STEPS)), tokens // (2 * STEPS)))
+            # whole windows, the last ones filled from the beginning: a pass reads every token
+            windows = -(-tokens // (lanes * STEPS))
+            y = np.resize(y, windows * STEPS * lanes).reshape(lanes, windows * STEPS).T
+            x = np.vstack([np.full((1, lanes), end, np.int32), y[:-1]])
+            keep = (x != end).astype(np.float32)
+            offset = 0 if shards > SHARDS else k * UPDATES * STEPS
+            network.train(x, y, keep, offset, max(UPDATES, windows), RATE / (1 + k))
             whole = np.concatenate([network.w[n].ravel() for n in names])
-            return pa.table({"weights": [whole.tobytes()], "tokens": pa.array([y.size], pa.int64())})
+            return pa.table({"shard": shard["shard"][:1], "weights": [(whole.astype(float) * tokens).tobytes()], "tokens": pa.array([tokens], pa.int64())})
 
         return run
 
+    def summed(part: pa.Table) -> pa.Table:
+        part = part.sort_by("shard")
+        total = sum(np.frombuffer(w.as_py()) for w in part["weights"])
+        return pa.table({"weights": [total.tobytes()], "tokens": pa.array([sum(part["tokens"].to_pylist())], pa.int64())})
+
+    read = []
     for k in range(ROUNDS):
-        # a few weight vectors of fixed size, SHARDS at most
-        done = sample.groupBy("shard").applyInArrow(round_of(k), "weights binary, tokens long").collect()
-        parts = sorted((bytes(r.weights), r.tokens) for r in done if r.tokens)
-        if not parts:
-            return
-        mean = sum(np.frombuffer(w, dtype=np.float32).astype(float) * n for w, n in parts) / sum(n for _, n in parts)
+        own = texts if shards <= SHARDS else texts.where(F.col("shard") % ROUNDS == k)
+        tasks = shards if shards <= SHARDS else shards // ROUNDS
+        done = own.repartition(4 * tasks, "shard").groupBy("shard").applyInArrow(round_of(model.network, k), "shard int, weights binary, tokens long")
+        # weights are added up in as many parts as a part has shards, so neither a task nor the driver holds all
+        parts = done.groupBy(F.pmod(F.xxhash64("shard"), F.lit(max(1, int(np.sqrt(tasks))))).alias("part"))
+        rows = sorted((r.tokens, bytes(r.weights)) for r in parts.applyInArrow(summed, "weights binary, tokens long").collect())
+        tokens = sum(n for n, _ in rows)
+        read.append(tokens)
+        if not tokens:
+            continue
+        mean = sum(np.frombuffer(w) for _, w in rows) / tokens
         cuts = np.cumsum([0, *[int(np.prod(shapes[n])) for n in names]])
         model.network.w = {n: mean[a:b].astype(np.float32).reshape(shapes[n]) for n, a, b in zip(names, cuts, cuts[1:])}
+    return read
 
 
 _LOCAL = T.StructType(

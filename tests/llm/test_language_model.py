@@ -123,6 +123,20 @@ def test_counts_are_those_of_the_contract_and_scores_beat_them(spark):
     assert sum(r.score > r.base_score for r in held) > 0.95 * len(held)
 
 
+def test_weights_are_fitted_on_every_token(spark, monkeypatch):
+    """In many shards, each of one round, the rounds together read the whole training corpus once; in few, each round does."""
+    monkeypatch.setattr(L, "UPDATES", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rounds, fitted = [], L._train
+    monkeypatch.setattr(L, "_train", lambda *a: rounds.append(fitted(*a)))
+    model, _ = L.fit(docs)
+    assert rounds.pop() == [model.total] * L.ROUNDS
+    monkeypatch.setattr(L, "PIECE", 2_000)
+    model, _ = L.fit(docs)
+    assert sum(rounds[0]) == model.total > L.SHARDS * L.PIECE
+    assert all(0 < n < model.total for n in rounds[0])
+
+
 def test_rare_words_go_by_the_join(spark, monkeypatch):
     """Few known words: the rest of the sums comes from the table of counts."""
     monkeypatch.setattr(L, "KNOWN", 20)
