@@ -159,3 +159,13 @@ def test_second_edges_of_chains_go(spark):
             want[a, c] = max(w, want.get((a, c), 0))
     assert {(r.src, r.dst): r.weight for r in df.collect()} == want
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the chains are listed once; three joins before
+
+
+def test_label_propagation_deals_in_proportion_to_the_links(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b, float(1 + (a + b) % 3)) for a in range(40) for b in range(a + 1, 40) if (a * b) % 3 == 1], "src long, dst long, weight double")
+    want = {r.node: r.label for r in G.label_propagation(edges).collect()}
+    asked, deal = [], G.dealt
+    monkeypatch.setattr(G, "dealt", lambda df, rows, *keys: asked.append((rows, *keys)) or deal(df, rows * 2000, *keys))
+    assert {r.node: r.label for r in G.label_propagation(edges, rounds=5).collect()} == want
+    n = 2 * edges.count()
+    assert asked == [(n, "dst"), (n, "node")] * 5
