@@ -55,3 +55,30 @@ def test_attention_ties_at_nine_digits_go_to_the_smaller_id(spark, monkeypatch):
     total = sum(math.exp(x - top) for x in z.values())
     want = sorted(z, key=lambda i: (-round(math.exp(z[i] - top) / total, 9), i))[:5]
     assert got == [(i, k + 1) for k, i in enumerate(want)]
+
+
+def test_neighbours_within_a_community_by_blocks(spark, monkeypatch):
+    from engramlake.operators import encoding as E
+
+    monkeypatch.setattr(P, "PAIRS", 300)  # several parts of a community
+    monkeypatch.setattr(P, "COLUMNS", 33)
+    facts, _ = _rows()
+    of = {i: None if i == 9 else i % 3 for i in facts}
+    v = spark.createDataFrame([(i, of[i], x) for i, x in facts.items()], "fact_id long, community int, v array<double>")
+    new = v.where("fact_id % 20 = 0 OR fact_id > 800")
+    df = P.nearest_within(new.withColumnRenamed("fact_id", "query_id"), v, 4, earlier=True)
+    assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().toString()
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.fact_id, round(r.score, 9) + 0.0))
+    near = {(r.src, r.dst): round(r.weight, 9) for r in E.semantic_edges(new, v, 0.5, 3).collect()}
+    want = set()
+    for i in facts:
+        if i % 20 and i <= 800:
+            continue
+        every = sorted((-round(_cosine(facts[i], facts[j]) if facts[i] and None not in facts[i] else 0.0, 9) + 0.0, j) for j in facts if j != i and of[i] is not None and of[j] == of[i])
+        before = [(n + 1, j, -s + 0.0) for n, (s, j) in enumerate([x for x in every if x[1] < i][:4])]
+        assert sorted(got.get(i, [])) == before
+        want |= {(i, j, -s) for s, j in [x for x in every if x[0] <= -0.5][:3]}
+    assert {(a, b, w) for (a, b), w in near.items()} == want
+    assert P.nearest_within(new.withColumnRenamed("fact_id", "query_id").limit(0), v, 4).count() == 0
