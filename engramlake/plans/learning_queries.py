@@ -11,6 +11,7 @@ from engramlake.operators import graph as G
 from engramlake.operators import store as S
 from engramlake.plans.math_queries import COS, VEC_SQL
 from engramlake.plans.registry import ORACLES, query
+from engramlake.sources.scratch import written
 from engramlake.sources.tables import FACTS_SQL, NOTES_SQL, PART_EDGES_SQL, events, facts, notes, part_edges, table, vectors
 
 
@@ -95,8 +96,8 @@ def ensemble_rerank(spark, sf):
 @query(f"WITH pr AS ({ORACLES['pagerank']}), lp AS ({ORACLES['label_propagation']}), {PART_EDGES_SQL}, d AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT node, rank, label AS community, round(d / (count(*) OVER () - 1.0::DOUBLE), 4) AS degree FROM pr JOIN lp USING (node) JOIN d USING (node)")
 def importance_table(spark, sf):
     """Rank, community and degree of every node, one row each."""
-    e = part_edges(spark, sf)
-    rank = G.pagerank(e, rounds=8, cut_every=4).select("node", F.round("rank", 6).alias("rank"))
+    e = written(part_edges(spark, sf), "edges")  # three operators read them
+    rank = G.pagerank(e, rounds=8).select("node", F.round("rank", 6).alias("rank"))
     label = G.label_propagation(e, rounds=3).select("node", F.col("label").alias("community"))
     return rank.join(label, "node").join(G.degree_centrality(e).select("node", F.round("centrality", 4).alias("degree")), "node")
 

@@ -190,7 +190,7 @@ SELECT node, round(0.5 * rank / max(rank) OVER () + 0.3 * d / max(d) OVER () + 0
 def sagq_centrality(spark, sf):
     """Half rank, three tenths degree, a fifth recent use, each against its maximum."""
     e = part_edges(spark, sf)
-    rank = G.pagerank(e, rounds=8, cut_every=4).select("node", F.round("rank", 6).alias("r"))
+    rank = G.pagerank(e, rounds=8).select("node", F.round("rank", 6).alias("r"))
     used = table(spark, sf, "lineitem").where("l_shipdate >= TIMESTAMP'1998-01-01 00:00:00'").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("a"))
     j = rank.join(G.degree_centrality(e).select("node", F.col("degree").alias("d")), "node").join(used, "node", "left").fillna(0, ["a"])
     top = j.agg(*[F.max(c).alias(f"{c}m") for c in "rda"])  # one row

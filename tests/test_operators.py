@@ -175,3 +175,29 @@ def test_closest_path_joins_no_name_with_itself(spark, tmp_path):
         if k % 20 == 0 and far:
             want[k] = min(far)[1]
     assert {r.target: r.closest for r in df.collect()} == want
+
+
+def test_ranks_read_edges_once_and_each_round_once(spark):
+    from pyspark.sql.functions import udf
+
+    computed = spark.sparkContext.accumulator(0)
+
+    @udf("double")
+    def weight(i):
+        computed.add(1)
+        return 1.0 + i % 3
+
+    e = spark.range(60).select((F.col("id") % 12).alias("src"), ((F.col("id") * 7 + 1) % 17).alias("dst"), weight("id").alias("weight"))
+    df = G.pagerank(e, rounds=3)
+    ranks = {r.node: r.rank for r in df.collect()}
+    assert computed.value == 60  # every use of the edges computed them before
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()  # rounds are written; a plan of three held the first four times before
+    rows = [(i % 12, (i * 7 + 1) % 17, 1.0 + i % 3) for i in range(60)]
+    total = {}
+    for a, _, w in rows:
+        total[a] = total.get(a, 0.0) + w
+    want = {x: 1 / len(ranks) for a, b, _ in rows for x in (a, b)}
+    for _ in range(3):
+        lost = sum(v for x, v in want.items() if x not in total)
+        want = {x: 0.15 / len(want) + 0.85 * (sum(want[a] * w / total[a] for a, b, w in rows if b == x) + lost / len(want)) for x in want}
+    assert ranks == pytest.approx(want)
