@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from engramlake.functions import text as T
 from engramlake.functions.arrow import arrow_map
 from engramlake.sources.scratch import new_path, written
 
+#: Terms that an index may be asked to hold alone; it holds all if clauses have more.
+ASKED = 1 << 14
 CLAUSES = "query_id long, clause int, role string, kind string, words array<string>"
 
 
@@ -35,14 +38,35 @@ class TextIndex:
     sizes: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str = "fact_id", text: str = "content") -> TextIndex:
-        """Null texts have no words and count as texts."""
+    def build(cls, docs: DataFrame, key: str = "fact_id", text: str = "content", clauses: DataFrame | None = None) -> TextIndex:
+        """Null texts have no words and count as texts.
+
+        An index for stated ``clauses`` holds the postings of their terms and beginnings only, with
+        those terms' places in the whole texts; all texts are read and all sizes kept.
+        """
         spark = docs.sparkSession
         words = docs.select(F.col(key).alias("key"), F.coalesce(T.words(F.col(text)), F.array().cast("array<string>")).alias("w"))
-        sizes = written(words.select("key", F.size("w").alias("length")), "sizes")
+        asked = None if clauses is None else _asked(clauses)
         schema = T_.StructType([T_.StructField("term", T_.StringType()), T_.StructField("key", words.schema["key"].dataType), T_.StructField("tf", T_.LongType()), T_.StructField("positions", T_.ArrayType(T_.IntegerType()))])
+        if asked is None:
+            sizes = written(words.select("key", F.size("w").alias("length")), "sizes")
+            found = arrow_map(words, _own_postings, schema)
+        else:
+            terms, beginnings = asked
+
+            def wanted(place: Column) -> Column:
+                word = place["term"]
+                of = [word.isin(terms)] if terms else []
+                of += [F.substring(word, 1, n).isin([x for x in beginnings if len(x) == n]) for n in sorted({len(x) for x in beginnings})]
+                return reduce(lambda x, y: x | y, of, F.lit(False))
+
+            # one pass over the texts: sizes and, of the terms asked for, places
+            kept = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.cast("int").alias("at"))), wanted)
+            rows = written(words.select("key", F.size("w").alias("length"), kept.alias("found")), "texts")
+            sizes = rows.select("key", "length")
+            found = arrow_map(rows.where(F.size("found") > 0).select("key", F.col("found.term").alias("w"), F.col("found.at").alias("at")), _own_postings, schema)
         path = new_path(spark, "postings")
-        arrow_map(words, _own_postings, schema).sortWithinPartitions("term", "key").write.parquet(path)
+        found.sortWithinPartitions("term", "key").write.parquet(path)
         return cls(spark.read.schema(schema).parquet(path), sizes)
 
     def occurrences(self, clauses: DataFrame) -> DataFrame:
@@ -87,13 +111,22 @@ class TextIndex:
         return rows.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
+def _asked(clauses: DataFrame) -> tuple[list[str], list[str]] | None:
+    """Terms of the phrases and beginnings of the prefixes of ``clauses``, or None if either are more than ASKED."""
+    of = clauses.where("kind = 'phrase'").select(F.explode("words").alias("x"))
+    begun = clauses.where("kind = 'prefix'").select(F.get("words", F.lit(0)).alias("x")).where(F.length("x") > 0)
+    terms, beginnings = ([r[0] for r in df.where("x IS NOT NULL").distinct().limit(ASKED + 1).collect()] for df in (of, begun))
+    return None if max(len(terms), len(beginnings)) > ASKED else (sorted(terms), sorted(beginnings))
+
+
 def _own_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of each text from (key, words)."""
+    """Postings of each text from (key, words), or (key, words, their places)."""
     for batch in batches:
         terms, counts, positions = [], [], []
-        for words in batch.column(1).to_pylist():
+        at = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+        for row, words in enumerate(batch.column(1).to_pylist()):
             found: dict[str, list[int]] = {}
-            for i, w in enumerate(words):
+            for i, w in zip(at[row], words) if at else enumerate(words):
                 found.setdefault(w, []).append(i)
             terms += found
             positions += found.values()

@@ -62,3 +62,16 @@ def test_against_a_scan(spark, name):
     df = QUERIES[name](spark, sf)
     assert df.count() > 10
     assert oracle.differences(df, ORACLES[name], sf) is None
+
+
+def test_an_index_for_stated_clauses_holds_their_postings_only(spark, index, monkeypatch):
+    docs = spark.createDataFrame(list(TEXTS.items()), "fact_id long, content string")
+    clauses = spark.createDataFrame([(1, 1, "all", "phrase", ["quick", "brown"]), (1, 2, "any", "prefix", ["fo"]), (2, 1, "all", "phrase", ["a", "b", "a"]), (2, 2, "any", "prefix", []), (2, 3, "none", "phrase", [])], X.CLAUSES)
+    few = X.TextIndex.build(docs, clauses=clauses)
+    held = lambda i: {(r.term, r.key): (r.tf, list(r.positions)) for r in i.postings.collect()}
+    assert held(few) == {k: v for k, v in held(index).items() if k[0] in ("quick", "brown", "a", "b") or k[0].startswith("fo")}
+    assert sorted(map(tuple, few.sizes.collect())) == sorted(map(tuple, index.sizes.collect()))
+    rows = lambda i: sorted(map(tuple, i.search(clauses).collect()))
+    assert rows(few) == rows(index) and rows(few)
+    monkeypatch.setattr(X, "ASKED", 2)  # more terms than that: the whole index
+    assert held(X.TextIndex.build(docs, clauses=clauses)) == held(index)
