@@ -169,3 +169,11 @@ def test_label_propagation_deals_in_proportion_to_the_links(spark, monkeypatch):
     assert {r.node: r.label for r in G.label_propagation(edges, rounds=5).collect()} == want
     n = 2 * edges.count()
     assert asked == [(n, "dst"), (n, "node")] * 5
+
+
+def test_tables_of_many_nodes_are_not_broadcast(spark):
+    links = M.undirected(spark.createDataFrame([(a, (a * 7 + 1) % 30, 1.0) for a in range(30)], "src long, dst long, weight double"))
+    nodes = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node") % 3)
+    plan = lambda n: M._gains(links, nodes, "c", 60.0, 1.0, n)
+    assert "Broadcast" not in plan(M.FEW + 1)._jdf.queryExecution().executedPlan().toString()  # whatever was small was broadcast before
+    assert sorted(map(tuple, plan(M.FEW + 1).collect())) == sorted(map(tuple, plan(1).collect()))
