@@ -128,11 +128,11 @@ def implicit_labels(spark, sf):
     return _rank(l, ["session_id", "label"], ["fact_id"], "k").where("k <= 20").drop("k")
 
 
-@query("SELECT a.p_partkey AS target, b.p_partkey AS closest FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_brand = b.p_brand THEN 0 WHEN a.p_type = b.p_type THEN 1 ELSE 2 END, b.p_partkey) = 1")
+@query("SELECT a.p_partkey AS target, b.p_partkey AS closest FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_brand = b.p_brand THEN 0 WHEN a.p_type = b.p_type THEN 1 ELSE 2 END, b.p_partkey) = 1")
 def closest_path(spark, sf):
     """Of the symbols of a name, the one least far in the tree of files."""
     p = table(spark, sf, "part")
-    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"), "p_name", "p_brand", "p_type")
+    a = p.select(F.col("p_partkey").alias("target"), "p_name", "p_brand", "p_type")
     # the two smallest of a name, and of a name in a file or folder, hold the nearest: nothing else meets
     near = lambda far, keys: a.select("target", *keys).join(_rank(p.select("p_partkey", *keys).distinct(), keys, ["p_partkey"], "k").where("k <= 2"), keys).where("target <> p_partkey").select("target", F.lit(far).alias("far"), "p_partkey")
     j = near(0, ["p_name", "p_brand"]).unionByName(near(1, ["p_name", "p_type"])).unionByName(near(2, ["p_name"]))

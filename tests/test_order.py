@@ -146,3 +146,12 @@ def test_large_clusters_are_cut(spark):
     assert sizes == {0: 20, 20: 20, 40: 5}
     g = {r.cluster: r for r in C.gists(facts, entities, members).collect()}
     assert len(g[0].gist) == 500 and g[0].gist.endswith("...") and g[0].representative == 0 and g[0].shared == "A, B" and g[40].sources == [40, 41, 42, 43, 44]
+
+
+def test_closest_path_is_found_for_every_symbol(spark):
+    sf = "/root/testdata/sf0.01"
+    df = QUERIES["closest_path"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    shared = parts.groupBy("p_name").count().where("count > 1")
+    assert df.count() == parts.join(shared, "p_name").count() > parts.count() // 2
+    assert oracle.differences(df, ORACLES["closest_path"], sf) is None
