@@ -18,7 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -122,17 +124,18 @@ def _asked(clauses: DataFrame) -> tuple[list[str], list[str]] | None:
 def _own_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of each text from (key, words), or (key, words, their places)."""
     for batch in batches:
-        terms, counts, positions = [], [], []
-        at = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-        for row, words in enumerate(batch.column(1).to_pylist()):
-            found: dict[str, list[int]] = {}
-            for i, w in zip(at[row], words) if at else enumerate(words):
-                found.setdefault(w, []).append(i)
-            terms += found
-            positions += found.values()
-            counts.append(len(found))
-        of = pa.array([k for k, n in enumerate(counts) for _ in range(n)], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(of), pa.array([len(p) for p in positions], pa.int64()), pa.array(positions, pa.list_(pa.int32()))], names=["term", "key", "tf", "positions"])
+        words, sizes = batch.column(1), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        at = batch.column(2).flatten().to_numpy() if batch.num_columns > 2 else np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        coded = words.flatten().dictionary_encode(null_encoding="encode")
+        name = coded.indices.to_numpy().astype(np.int64)
+        # a text's places are in order, and stay so
+        order = np.lexsort((name, row))
+        row, name, at = row[order], name[order], at[order].astype(np.int32)
+        head = np.flatnonzero(np.concatenate([row[:1] >= 0, (row[1:] != row[:-1]) | (name[1:] != name[:-1])]))
+        ends = np.append(head, len(row))
+        columns = [coded.dictionary.take(pa.array(name[head])), batch.column(0).take(pa.array(row[head])), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "key", "tf", "positions"])
 
 
 def fused(channels: list[DataFrame], boost: Column, about: DataFrame, k: int = 60) -> DataFrame:

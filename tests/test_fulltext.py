@@ -75,3 +75,11 @@ def test_an_index_for_stated_clauses_holds_their_postings_only(spark, index, mon
     assert rows(few) == rows(index) and rows(few)
     monkeypatch.setattr(X, "ASKED", 2)  # more terms than that: the whole index
     assert held(X.TextIndex.build(docs, clauses=clauses)) == held(index)
+
+
+@pytest.mark.parametrize("name", ["boolean_search"])
+def test_every_item_of_the_benchmark_is_asked(spark, name):
+    sf = "/root/testdata/sf0.01"
+    asked = {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()}
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    assert len(asked) > items // 2 and any(q % 20 for q in asked)
