@@ -77,7 +77,7 @@ def test_an_index_for_stated_clauses_holds_their_postings_only(spark, index, mon
     assert held(X.TextIndex.build(docs, clauses=clauses)) == held(index)
 
 
-@pytest.mark.parametrize("name", ["boolean_search"])
+@pytest.mark.parametrize("name", ["boolean_search", "hybrid_search"])
 def test_every_item_of_the_benchmark_is_asked(spark, name):
     sf = "/root/testdata/sf0.01"
     asked = {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()}
