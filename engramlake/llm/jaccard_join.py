@@ -291,6 +291,10 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
 
 #: Sets of a bucket up to which its pairs are listed at once; pairs bounded at once.
 FEW, PAIRS = 12, 1 << 16
+#: A set whose large buckets hold more members than so many times the cell's sets meets all of the cell.
+ALL = 64
+#: Rows of a partition of cells; what they cost does not follow their bytes, so partitions are not merged.
+CELL_ROWS = 500
 
 
 def _buckets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -326,6 +330,13 @@ def _buckets(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[np.
     return np.stack([pairs[0] // max(1, len(sets)), pairs[0] % max(1, len(sets))], axis=1), sorted(large.values(), key=len)
 
 
+def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(v, u)
+    at[at == len(v)] = 0
+    both = int((v[at] == u).sum())
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
 def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple]:
     """A spanning forest of the links between sets of a cell, as pairs of ids.
 
@@ -351,11 +362,7 @@ def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int)
     def meet(i: int, j: int) -> None:
         if comp[i] == comp[j]:
             return
-        u, v = sets[i], sets[j]
-        at = np.searchsorted(v, u)
-        at[at == len(v)] = 0
-        both = int((v[at] == u).sum())
-        if 100 * both >= percent * (len(u) + len(v) - both):
+        if _similar(sets[i], sets[j], percent):
             found.append((ids[i], ids[j]))
             a, b = sorted((comp[i], comp[j]), key=lambda c: len(members[c]))
             comp[members[a]] = b
@@ -366,13 +373,19 @@ def _compare(ids: list, sets: list[np.ndarray], sides: np.ndarray, percent: int)
         i, j = pairs[k : k + PAIRS].T
         for p in open_pairs(i, j).tolist():
             meet(int(i[p]), int(j[p]))
+    # sets of like contents are in thousands of large buckets together: a pair of them is met once
+    mine: list[list[np.ndarray]] = [[] for _ in sets]
     for bucket in large:
-        for k in range(len(bucket) - 1):
-            if (comp[bucket] == comp[bucket[0]]).all():
-                break
-            rest = bucket[k + 1 :]
-            for p in open_pairs(np.full(len(rest), bucket[k]), rest).tolist():
-                meet(int(bucket[k]), int(rest[p]))
+        for i in bucket.tolist():
+            mine[i].append(bucket)
+    for i, own in enumerate(mine):
+        mates = np.ones(len(sets), dtype=bool) if sum(map(len, own)) > ALL * len(sets) else np.zeros(len(sets), dtype=bool)
+        if not mates.all():
+            for bucket in own:
+                mates[bucket] = True
+        rest = i + 1 + np.flatnonzero(mates[i + 1 :])
+        for p in open_pairs(np.full(len(rest), i), rest).tolist():
+            meet(i, int(rest[p]))
     return found
 
 
@@ -393,7 +406,8 @@ def _links(docs: DataFrame, cells: DataFrame, text: str, size: int, percent: int
         found = _compare([ids[k] for k in order], [sets[k] for k in order], sides[order], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("cell").applyInArrow(run, "a long, b long")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // CELL_ROWS))
+    return rows.repartition(parts, "cell").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -412,7 +426,7 @@ def link(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80)
     clusters = components(ties.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     members = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     members = materialize(members.join(copies.select(F.col("rep").alias("doc"), "n"), "doc").dropDuplicates(["doc"]), "members")
-    cells = _cells(members, percent)
+    cells = materialize(_cells(members, percent), "cells")
     # rows that repeat a doc_id repeat its text
     found = materialize(_links(docs, cells, text, size, percent), "links")
     labels = components(found)

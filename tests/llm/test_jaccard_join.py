@@ -154,3 +154,18 @@ def test_bounds_of_counts_of_two_widths():
     assert len(J._counts(u)) == 1024 and len(J._counts(v)) == 128
     assert J._may_be_similar(len(u), J._counts(u), len(v), J._counts(v), 80)
     assert not J._may_be_similar(len(u), J._counts(u), len(w), J._counts(w), 80)
+
+
+def test_a_pair_in_many_large_buckets_is_met_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    common = draw(3000)
+    sets = [np.unique(np.concatenate([common, draw(900)])) for _ in range(40)]
+    sets.append(np.unique(np.concatenate([sets[7][:-5], draw(5)])))
+    met = []
+    similar = J._similar
+    monkeypatch.setattr(J, "_similar", lambda u, v, percent: met.append((id(u), id(v))) or similar(u, v, percent))
+    _, large = J._buckets(sets, 80)
+    found = J._compare(list(range(41)), sets, np.zeros(41, dtype=np.int32), 80)
+    assert sum(map(len, large)) > 1000 and [set(x) for x in found] == [{7, 40}]
+    assert len(met) <= 2 * 41 * 40 // 2
